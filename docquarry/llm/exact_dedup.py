@@ -3,7 +3,8 @@
 Each input partition is a memtable: flush_run() writes its digests sorted, as one Parquet file with a Bloom
 filter on the digest. compact() merges any number of runs into one entry per digest (identifier that stays,
 number of rows). Digests that occur twice are hits; verify() compares the hits' bytes, and two texts that
-share a digest stop the job. Only digests are shuffled for the whole corpus; texts travel for hits alone to the comparison.
+share a digest stop the job. The comparison groups by digest and bytes: copies meet in the map tasks before the one
+shuffle that carries texts, so a group of copies of any size sends one text from each task.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
 def verify(df: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
     """digest, texts: how many different byte strings stand behind each hit digest (1, or the job must stop)."""
     rows = df.select(F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"), normalised(text_col).alias("body"))
-    kinds = rows.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    kinds = rows.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).join(hits.select("digest"), "digest", "left_semi")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", index: str | None = None) -> DataFrame:
