@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +41,17 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(ones * 2 > len(packed), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(x) for x in batch["body"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc": batch["doc"], "fp": prints.view(np.int64)})
+        prints = np.fromiter((fingerprint(x.as_py()) for x in batch["body"]), np.uint64, len(batch))
+        yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(prints.view(np.int64))], ["doc", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, fp (the 64 bits as a signed long) for each row."""
     rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     kind = dict(rows.dtypes)["doc"]
-    return rows.mapInPandas(_fingerprints, f"doc {kind}, fp long")
+    return rows.mapInArrow(_fingerprints, f"doc {kind}, fp long")
 
 
 def ball_links(prints: DataFrame) -> DataFrame:
@@ -72,7 +72,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = materialize(fingerprints(df, id_col, text_col), "simhash")
     prints = rows.groupBy("fp").agg(F.min("doc").alias("least"))
-    groups = connected_components(ball_links(prints.select("fp")), "fp", "other")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = connected_components(ball_links(prints.select("fp").repartition(n, "fp")), "fp", "other")  # n tasks emit the variants
     named = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = materialize(named, "simhash-roots")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -85,7 +86,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(simhash_components(df, id_col, text_col), "near")
     stay = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("doc").count()
     stay = materialize(stay.select(F.col("doc").alias("__dq_doc"), F.col("count").alias("__dq_n")), "near-kept")
-    left = df.join(stay, df[id_col].eqNullSafe(stay["__dq_doc"]), "left_semi")
+    left = df.join(stay.hint("merge"), df[id_col].eqNullSafe(stay["__dq_doc"]), "left_semi")
     return left.dropDuplicates([id_col]) if stay.where("__dq_n > 1").limit(1).count() else left
 
 
