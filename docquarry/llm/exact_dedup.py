@@ -69,7 +69,7 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(exact_dedup(df, id_col, text_col, keep), "exact")
     gone = found.where("not kept").select(F.col("doc").alias("__dq_doc"), F.unhex("text_sha256").alias("__dq_digest"))
     keyed = df.withColumn("__dq_key", F.unhex(F.sha2(normalised(text_col), 256)))
-    left = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__dq_doc"]) & (keyed["__dq_key"] == gone["__dq_digest"]), "left_anti")
+    left = keyed.join(gone.hint("merge"), keyed[id_col].eqNullSafe(gone["__dq_doc"]) & (keyed["__dq_key"] == gone["__dq_digest"]), "left_anti")
     repeats = found.where("kept").groupBy("doc", "text_sha256").count().where("count > 1").limit(1).count()
     return (left.dropDuplicates([id_col, "__dq_key"]) if repeats else left).drop("__dq_key")
 

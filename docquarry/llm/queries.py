@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import exact_dedup, simhash
+from docquarry.llm import exact_dedup, mixing, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_near_dedup": simhash.query,
+        "op4_quality_classifier": quality.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op6_mix_sources": mixing.query,
+        "op9_best_fit_packing": packing.query,
     }
 
 
