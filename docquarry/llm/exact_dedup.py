@@ -36,10 +36,13 @@ def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
 
 
 def verify(df: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
-    """digest, texts: how many different byte strings stand behind each hit digest (1, or the job must stop)."""
+    """hits with texts: how many different byte strings stand behind each digest (1, or the job must stop).
+
+    An inner join, not a semi-join: the optimizer would take that below the grouping and shuffle every copy's text.
+    """
     rows = df.select(F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"), normalised(text_col).alias("body"))
     kinds = rows.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).join(hits.select("digest"), "digest", "left_semi")
+    return kinds.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).join(hits, "digest")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", index: str | None = None) -> DataFrame:
@@ -53,7 +56,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     spark = df.sparkSession
     runs = flush_run(df, id_col, text_col, index or scratch_path(spark, "digest-runs"))
     hits = materialize(compact(runs, keep).where("group_size > 1"), "digest-hits")
-    checked = hits.join(verify(df, text_col, hits), "digest").select(
+    checked = verify(df, text_col, hits).select(
         "digest", "group_size", F.when(F.col("texts") == 1, F.col("keep_id")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest"))).alias("keep_id"))
     out = runs.join(checked, "digest", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc")).otherwise(F.col("keep_id"))
