@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from docquarry.llm.common import materialize
 
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
-REMEMBERED, GROUP_ROWS = 400_000, 20_000
+REMEMBERED, GROUP_ROWS = 1_200_000, 20_000
 
 
 _STOP = re.compile(r"(?<=[a-z])([.,])").sub
@@ -42,6 +43,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -61,15 +63,18 @@ class WordIds:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Unsigned 32-bit ids of each text, in the machine's (little-endian) order."""
         split = [self.forms(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        fresh = list(set().union(*split).difference(self.known))
+        if len(self.known) > REMEMBERED // 2:  # forms that are still in use come back from the older half
+            self.known, self.older = {"": b""}, self.known
+        missing = set().union(*split).difference(self.known)
+        back = missing & self.older.keys()
+        self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        fresh = list(missing - back)
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
             for form, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[form] = np.array(got.ids, "<u4").tobytes()
+                self.known[form] = array("I", got.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, forms)) for forms in split]
 
 
