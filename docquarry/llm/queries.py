@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import exact_dedup, mixing, packing, quality, simhash
+from docquarry.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.query,
         "op3_simhash_near_dedup": simhash.query,
         "op4_quality_classifier": quality.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_mix_sources": mixing.query,
+        "op7_warc": warc.query,
+        "op8_embedding_near_dedup": embedding_dedup.query,
         "op9_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
