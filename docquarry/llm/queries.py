@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, warc
+from docquarry.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": warc.query,
         "op8_embedding_near_dedup": embedding_dedup.query,
         "op9_best_fit_packing": packing.query,
+        "op10_suffix_array_dedup": suffix_dedup.query,
     }
 
 
