@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, suffix_dedup, warc
+from docquarry.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, substring_dedup, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.query,
+        "op2_substring_dedup": substring_dedup.query,
         "op3_simhash_near_dedup": simhash.query,
         "op4_quality_classifier": quality.query,
         "op5_exact_dedup": exact_dedup.query,
