@@ -43,16 +43,14 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page: object, url: str | None, payload: bytes, refers_to: object, date: str = DATE) -> bytes:
-    """The gzip member of one page: a response, or a revisit with headers only where refers_to names the response."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    revisit = refers_to is not None
-    block = http if revisit else http + payload
+def record(page: object, url: str | None, sha1: str, length: int, payload: bytes | None, refers_to: object = None, date: str = DATE) -> bytes:
+    """The gzip member of one page: a response, or where payload is None a revisit with headers only that names its response."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length + (payload or b"")
     target = "".join(f"%{ord(c):02X}" if c in "\r\n\t <>" else c for c in url or f"urn:page:{page}")
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page)), ("WARC-Date", date), ("WARC-Target-URI", target)]
-    if revisit:
+    fields = [("WARC-Type", "revisit" if payload is None else "response"), ("WARC-Record-ID", record_id(page)), ("WARC-Date", date), ("WARC-Target-URI", target)]
+    if payload is None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
-    fields += [("WARC-Payload-Digest", _sha1(payload)), ("WARC-Block-Digest", _sha1(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    fields += [("WARC-Payload-Digest", sha1), ("WARC-Block-Digest", _sha1(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if page is not None:
         fields.append(("X-Page", str(page)))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -122,16 +120,28 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     groups = rows.where("digest is not null").groupBy("digest").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     slim = rows.select("page", "digest").join(groups.select("digest", "first"), "digest").where("page is null or page <> first")
     slim = materialize(slim.groupBy("page", "digest", "first").agg(F.count(F.lit(1)).alias("n")).select(F.col("page").alias("p"), F.col("digest").alias("d"), "first"), "revisits")
-    known = rows.join(slim.hint("merge"), rows["page"].eqNullSafe(slim["p"]) & (rows["digest"] == slim["d"]), "left")
-    sorted_rows = known.select("page", "url", "payload", "first", F.floor(F.col("page") / shard_ids).alias("shard"))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b["payload"].to_pylist()
+            sha1 = [_sha1(body) for body in bodies]
+            packed = [record(page, url, mark, len(body), body, date=date) for page, url, mark, body in zip(b["page"].to_pylist(), b["url"].to_pylist(), sha1, bodies, strict=True)]
+            columns = [b["page"], b["url"], b["digest"], pa.array(sha1, pa.string()), pa.array(map(len, bodies), pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["page", "url", "digest", "sha1", "length", "member"])
+
+    # payloads are compressed once, before they travel
+    made = rows.mapInArrow(compress, "page long, url string, digest binary, sha1 string, length long, member binary")
+    known = made.join(slim.hint("merge"), made["page"].eqNullSafe(slim["p"]) & (made["digest"] == slim["d"]), "left")
+    shard = F.floor(F.col("page") / shard_ids).alias("shard")
+    sorted_rows = known.select("page", "url", "sha1", "length", "first", shard, F.when(F.col("first").isNull(), F.col("member")).alias("member"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = sorted_rows.repartition(n, "shard").sortWithinPartitions("shard", "page", "url", "payload")
+    sorted_rows = sorted_rows.repartition(n, "shard").sortWithinPartitions("shard", "page", "url", "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = _Roll(folder, roll_bytes, date)
         for b in batches:
-            for page, url, body, first, shard in zip(*(b[c].to_pylist() for c in ("page", "url", "payload", "first", "shard")), strict=True):
-                roll.add(shard, record(page, url, body, first, date))
+            for page, url, sha1, length, first, shard, member in zip(*(b[c].to_pylist() for c in ("page", "url", "sha1", "length", "first", "shard", "member")), strict=True):
+                roll.add(shard, member or record(page, url, sha1, length, None, first, date))
         roll.close()
         if roll.done:
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
