@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import distinct_texts, materialize
 
 SPAN, GRAM = 200, 64
-#: Different stretches that one suffix array takes; a group with more counts its windows by hash, in the shuffle.
-GROUP = 256
+#: Different stretches that one suffix array takes, 3 MB of text; a group with more counts its windows by hash, in the shuffle.
+GROUP = 8192
 _CHUNK, _LOW = 1 << 19, np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -91,21 +91,27 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_array(parts: list[tuple[bytes, int]], span: int = SPAN) -> tuple[list[tuple[int, int]], list[int]]:
     """Suffixes (part, offset) of the parts in order, and the common prefix of each with the one before (0 where shorter than span)."""
-    where = [(p, j) for p, (body, n) in enumerate(parts) for j in range(n)]
-    suffix = [parts[p][0][j:] for p, j in where]
-    order = sorted(range(len(where)), key=suffix.__getitem__)
-    common = [0]
-    for a, b in itertools.pairwise(order):
-        x, y = suffix[a], suffix[b]
-        if x[:span] != y[:span]:
-            common.append(0)
-            continue
-        low, high = span, min(len(x), len(y))
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if x[span:mid] == y[span:mid] else (low, mid - 1)
-        common.append(low)
-    return [where[k] for k in order], common
+    buckets: dict[bytes, list[tuple[int, int]]] = {}
+    for p, (body, n) in enumerate(parts):
+        for j in range(n):
+            buckets.setdefault(body[j : j + 2], []).append((p, j))
+    where: list[tuple[int, int]] = []
+    common: list[int] = []
+    for first in sorted(buckets):  # the suffixes of one bucket at a time are in memory
+        mine = [(parts[p][0][j:], p, j) for p, j in buckets.pop(first)]
+        mine.sort()
+        where += [(p, j) for _, p, j in mine]
+        common.append(0)
+        for (x, _, _), (y, _, _) in itertools.pairwise(mine):
+            if x[:span] != y[:span]:
+                common.append(0)
+                continue
+            low, high = span, min(len(x), len(y))
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if x[span:mid] == y[span:mid] else (low, mid - 1)
+            common.append(low)
+    return where, common
 
 
 def maximal_repeats(parts: list[tuple[bytes, int]], span: int = SPAN) -> Iterator[tuple[int, list[tuple[int, int]]]]:
