@@ -33,7 +33,7 @@ def parse_lines(df: DataFrame, id_col: str = "document_id", text_col: str = "tex
 
 
 def _parts(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, r" \| "), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(line, r" \| "), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _after(parts: Column, name: str) -> Column:

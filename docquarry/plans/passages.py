@@ -124,7 +124,7 @@ def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.evidence(context.admit(rows, budget=1 << 30), rows).select("query_id", "parent_id", "chunk_ids", "occurrences")
 
 
-@query("""WITH s AS (SELECT user_id, epoch(ts)::BIGINT // 600 AS a, epoch(ts)::BIGINT // 600 + event_id % 90 AS b FROM events),
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) // 600000000 AS a, epoch_us(ts) // 600000000 + event_id % 90 AS b FROM events),
  m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
  i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
  SELECT user_id, min(a) AS "start", max(b) AS "end", count(*) AS parts FROM i GROUP BY user_id, island""")

@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load_all() -> None:
-    from docquarry.plans import passages, retrieval  # noqa: F401
+    from docquarry.plans import evaluation, ingestion, passages, retrieval, tables, texts  # noqa: F401
