@@ -13,7 +13,11 @@ BATCH, DISCOVERY_LIMIT = 25, 120
 def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page, pos, href, target: the anchors of each page in document order; target is the normalized absolute URL, null without a host."""
     found = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("base"), F.posexplode(U.hrefs(F.col(html_col))).alias("pos", "href"))
-    return found.select("page", "pos", "href", U.normalize_url(U.resolve(F.col("base"), F.col("href"))).alias("target"), "base")
+    # step by step, so that no step repeats the expressions of the one before and all stay in generated code
+    whole = found.withColumn("absolute", U.resolve(F.col("base"), F.col("href")))
+    parts = whole.select("*", U.scheme(F.col("absolute")).alias("s"), U.host(F.col("absolute")).alias("h"), F.regexp_replace(U.path(F.col("absolute")), "/+$", "").alias("p"))
+    target = F.when(F.col("h") != "", F.concat("s", F.lit("://"), "h", F.when(F.col("p") == "", F.lit("/")).otherwise(F.col("p"))))
+    return parts.select("page", "pos", "href", target.alias("target"), "base")
 
 
 def docs_links(found: DataFrame, root: str = "root", prefix: str = "prefix") -> DataFrame:
