@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,24 @@ def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rows:
+    """Gathers columns of numpy arrays and gives them out as Arrow batches of a useful size."""
+
+    def __init__(self, names: list[str], size: int = 65_536) -> None:
+        self.names, self.size, self.held, self.count = names, size, [], 0
+
+    def add(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.held.append(columns)
+        self.count += len(columns[0])
+        if self.count >= self.size:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*self.held, strict=True)], self.names)
+        self.held, self.count = [], 0
+
+
 def lower_ascii(text):
     """Lower-case A-Z only. A text of one byte a character takes the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
