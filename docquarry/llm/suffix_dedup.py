@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import distinct_texts, materialize
+from docquarry.llm.common import Rows, distinct_texts, materialize
 
 SPAN, GRAM = 200, 64
 #: Different stretches that one suffix array takes, 3 MB of text; a group with more counts its windows by hash, in the shuffle.
@@ -78,15 +78,15 @@ def stretches(body: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarr
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["akey", "hi", "lo", "tid", "first", "n"]
+    rows = Rows(["akey", "hi", "lo", "tid", "first", "n"])
     for batch in batches:
         for tid, body in zip(batch["tid"].to_pylist(), batch["body"].to_pylist(), strict=True):
             key, first, n = stretches(body)
             if len(key):
                 full = xxhash.xxh3_128_digest
                 marks = np.frombuffer(b"".join([full(body[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + SPAN).tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                columns = [key, marks[:, 0], marks[:, 1], np.full(len(key), tid), first.astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+                yield from rows.add([key, marks[:, 0], marks[:, 1], np.full(len(key), tid), first.astype(np.int32), n.astype(np.int32)])
+    yield from rows.flush()
 
 
 def suffix_array(parts: list[tuple[bytes, int]], span: int = SPAN) -> tuple[list[tuple[int, int]], list[int]]:
