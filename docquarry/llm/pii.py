@@ -133,3 +133,35 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in base]
     return found.select(F.col("doc").alias("doc_id"), *counts, F.sha2(F.expr(joined.format(f"filter(spans, s -> {is_base})")), 256).alias("base_sha256"),
                         F.expr(joined.format("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The same in SQL of a linear-time engine: no look-around, word boundaries instead, greedy quantifiers."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digits = "regexp_replace(s.x, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda n: CASE WHEN n % 2 = 1 THEN substr({digits}, -n, 1)::INT
+      WHEN substr({digits}, -n, 1)::INT > 4 THEN 2 * substr({digits}, -n, 1)::INT - 9 ELSE 2 * substr({digits}, -n, 1)::INT END)) % 10 = 0"""
+    code = "replace(s.x, ' ', '')"
+    signs = f"string_split(substr({code}, 5) || substr({code}, 1, 4), '')"
+    mod97 = f"list_reduce(flatten(list_transform({signs}, lambda c: CASE WHEN c >= 'A' THEN [(ascii(c) - 55) // 10, (ascii(c) - 55) % 10] ELSE [c::INT] END)), lambda a, b: (a * 10 + b) % 97) = 1"
+    holds = {
+        "email": "true", "ip": "len(list_filter(string_split(s.x, '.'), lambda q: length(ltrim(q, '0')) > 3 OR coalesce(try_cast(q AS HUGEINT), 999) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15", "iban": mod97, "ssn": "NOT regexp_matches(s.x, '^(000|666|9)|-00-|-0000$') AND regexp_matches(s.near, 'ssn|social security')",
+    }
+    found, kept = [], []
+    for k, pattern in plain.items():
+        found.append(f"""list_transform(range(len(m_{k})), lambda i: {{'x': m_{k}[i + 1], 'near': lower(right(g_{k}[i + 1], {NEAR}) || ' ' || left(g_{k}[i + 2], {NEAR})),
+          'a': list_sum(list_transform(g_{k}[1:i + 1], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m_{k}[1:i], lambda x: length(x))), 0)::BIGINT}}) AS s_{k}""")
+        kept.append(f"list_transform(list_filter(s_{k}, lambda s: {holds[k]}), lambda s: '{k}:' || s.a || ':' || (s.a + length(s.x))) AS v_{k}")
+    cuts = ", ".join(f"regexp_extract_all(t, '{p}') AS m_{k}, string_split_regex(t, '{p}') AS g_{k}" for k, p in plain.items())
+    base, every = " || ".join(f"v_{k.name}" for k in KINDS if k.base), " || ".join(f"v_{k}" for k in plain)
+    counts = ", ".join(f"len(v_{k.name})::BIGINT AS n_{k.name}" for k in KINDS if k.base)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, {cuts} FROM d), f AS (SELECT doc_id, {", ".join(found)} FROM c),
+     v AS (SELECT doc_id, {", ".join(kept)} FROM f)
+     SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, array_to_string({every}, ',') AS spans FROM v"""
+
+
+ORACLE = _oracle()

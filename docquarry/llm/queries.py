@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op1_pii": pii.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}

@@ -1,0 +1,55 @@
+"""Personal data against Python's own regular expressions, and the added kinds."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from docquarry.llm import pii
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(d) if n % 2 == 0 else sum(map(int, str(2 * int(d)))) for n, d in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+def model(text: str | None) -> list[tuple[str, int, int]]:
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+TEXTS = [
+    None, "", "é 😀 mail a.b@x.org, c@d", "a@b.c_d@e.f a@b-x@y.z .@a.b", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112",
+    "5500005555555559 4111111111111111 2", "+1 (555) 123-4567x +123 +4930123456789012345", "é" * 50 + "+44 20 7946 0958", "9" * 40_000, "1-" * 30_000, "a" * 60_000, "x@" + "a." * 20_000 + "b", "+1" + " " * 30_000,
+    " ".join(f"u{i}@h{i}.org" for i in range(3000)), "10.0.0.1 " * 2000,
+]
+
+
+def test_base_kinds_against_python(spark, small):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    base = {k.name for k in pii.KINDS if k.base}
+    found = {r["doc"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in base] for r in got}
+    assert found == {i: model(t) for i, t in rows}
+
+
+def test_added_kinds_and_scores(spark):
+    rows = [(1, "IBAN GB82 WEST 1234 5698 7654 32."), (2, "GB82WEST12345698765433"), (3, "SSN 123-45-6789"), (4, "code 123-45-6789"), (5, "ssn 000-12-3456"), (6, "DE89370400440532013000")]
+    got = {r["doc"]: [(s["kind"], s["text"], s["score"]) for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1] == [("iban", "GB82 WEST 1234 5698 7654 32", 1.0)] and got[2] == [] and got[3] == [("ssn", "123-45-6789", 0.7)] and got[4] == [] and got[5] == [] and [k for k, *_ in got[6]] == ["iban"]
+
+
+def test_redaction(spark):
+    rows = [(1, "to a@b.org from 10.0.0.1, not 300.1.1.1"), (2, None), (3, "pay 4111 1111 1111 1111 call +1 555 123 4567")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("spans", F.lit("kept"))
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert got == {1: "to [EMAIL] from [IP], not 300.1.1.1", 2: None, 3: "pay [CARD] call [PHONE]"}
