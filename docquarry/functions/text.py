@@ -30,14 +30,24 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
+def _ranges(chars: list[str], gap: int = 16) -> list[str]:
+    """A few ranges that hold all chars: a long list of single ones would be tried one by one at every place."""
+    out: list[list[str]] = []
+    for c in chars:
+        if out and ord(c) - ord(out[-1][1]) <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [f"{a}-{b}" for a, b in out]
+
+
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks."""
     source, target, longer = _decompositions()
     short = {k: v for k, v in longer.items() if any(c.isascii() and c.isalnum() for c in v)}
-    spelt = text
-    for char, plain in short.items():
-        spelt = F.replace(spelt, F.lit(char), F.lit(plain))
-    spelt = F.when(text.rlike("[" + "".join(short) + "]"), spelt).otherwise(text)
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in short.items()))
+    spelt = F.aggregate(pairs, text, lambda t, x: F.replace(t, x["c"], x["p"]))
+    spelt = F.when(text.rlike("[" + "".join(_ranges(sorted(short))) + "]"), spelt).otherwise(text)
     plain = F.regexp_replace(F.translate(spelt, source, target), r"\p{Mn}+", "")
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)
 
@@ -66,8 +76,7 @@ def normalize_text(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Words of the normalized text, without stopwords and single letters."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.split(normalize_identifier(text), " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(normalize_identifier(text), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def stable_id(*parts: Column) -> Column:
