@@ -85,3 +85,9 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.rlike("^[?#]"), F.concat(root, path(base), href))
         .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
     )
+
+
+def include_paths(url: Column) -> Column:
+    """Patterns of the paths below which a site is read: its documentation prefix or its own path; null for a bare host."""
+    base = F.coalesce(docs_prefix(url), F.regexp_replace(path(url), "/+$", ""))
+    return F.when(base != "", F.array(F.concat(F.lit("^"), base, F.lit("$")), F.concat(F.lit("^"), base, F.lit("/.*$"))))

@@ -81,26 +81,25 @@ def _subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def has_values(text: Column) -> Column:
-    return (F.size(numbers_in(text)) > 0) | (F.size(percentages_in(text)) > 0) | (F.size(currencies_in(text)) > 0) | (F.size(dates_in(text)) > 0)
+def features(text: Column) -> Column:
+    """What support is judged by, worked out once per text: normalized form, numbers, percentages, amounts, dates, words."""
+    return F.struct(normalize_identifier(text).alias("plain"), numbers_in(text).alias("numbers"), percentages_in(text).alias("percents"), currencies_in(text).alias("amounts"), dates_in(text).alias("dates"), search_tokens(text).alias("words"))
 
 
-def values_match(variant: Column, text: Column) -> Column:
-    """All amounts, percentages, dates and numbers of variant stand in text, and so do its telling words."""
-    numbers = numbers_in(text)
-    amounts = _subset(currencies_in(variant), F.array_union(currencies_in(text), numbers)) & _subset(percentages_in(variant), F.array_union(percentages_in(text), numbers))
-    same = amounts & _subset(dates_in(variant), dates_in(text)) & _subset(numbers_in(variant), numbers)
-    words = F.filter(search_tokens(variant), lambda t: ~t.isin(*UNITS) & ~t.rlike("^[0-9]+$"))
-    return has_values(variant) & same & F.forall(words, lambda t: F.contains(normalize_identifier(text), t))
+def support_of(text: Column, variant: Column) -> Column:
+    """explicit where the variant stands in the text, implicit where its values and telling words do, else not_found. Both are features()."""
+    t, v = text, variant
+    valued = (F.size(v["numbers"]) > 0) | (F.size(v["percents"]) > 0) | (F.size(v["amounts"]) > 0) | (F.size(v["dates"]) > 0)
+    same = _subset(v["amounts"], F.array_union(t["amounts"], t["numbers"])) & _subset(v["percents"], F.array_union(t["percents"], t["numbers"])) & _subset(v["dates"], t["dates"]) & _subset(v["numbers"], t["numbers"])
+    telling = F.filter(v["words"], lambda w: ~w.isin(*UNITS) & ~w.rlike("^[0-9]+$"))
+    by_values = same & F.forall(telling, lambda w: F.contains(t["plain"], w))
+    by_words = (F.size(v["words"]) > 0) & F.forall(v["words"], lambda w: F.contains(t["plain"], w))
+    implicit = F.when(valued, by_values).otherwise(by_words)
+    return F.when(t["plain"] == "", "not_found").when((v["plain"] != "") & F.contains(t["plain"], v["plain"]), "explicit").when(implicit, "implicit").otherwise("not_found")
 
 
 def support_level(text: Column, variant: Column) -> Column:
-    """explicit where the variant stands in the text, implicit where its values and words do, else not_found."""
-    plain, wanted = normalize_identifier(text), normalize_identifier(variant)
-    words = search_tokens(variant)
-    by_words = (F.size(words) > 0) & F.forall(words, lambda t: F.contains(plain, t))
-    implicit = F.when(has_values(variant), values_match(variant, text)).otherwise(by_words)
-    return F.when(plain == "", "not_found").when((wanted != "") & F.contains(plain, wanted), "explicit").when(implicit, "implicit").otherwise("not_found")
+    return support_of(features(text), features(variant))
 
 
 def source_matches(source: Column, *names: Column) -> Column:

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 # File kinds by ending and by MIME type.
 TEXT_ENDINGS, SHEET_ENDINGS, RICH_ENDINGS = ("md", "txt"), ("csv", "xlsx"), ("docx", "pptx", "html", "png", "jpg", "jpeg", "webp", "tiff", "bmp")
+OFFICE = "application/vnd.openxmlformats-officedocument."
+BINARY_MIMES = {
+    "application/pdf": ".pdf", f"{OFFICE}wordprocessingml.document": ".docx", f"{OFFICE}presentationml.presentation": ".pptx", f"{OFFICE}spreadsheetml.sheet": ".xlsx",
+    "text/csv": ".csv", "text/html": ".html", "text/markdown": ".md", "text/x-markdown": ".md",
+    "image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/webp": ".webp", "image/tiff": ".tiff", "image/bmp": ".bmp",
+}
+EXPORT_MIMES = {
+    "application/vnd.google-apps.document": (f"{OFFICE}wordprocessingml.document", ".docx"), "application/vnd.google-apps.spreadsheet": (f"{OFFICE}spreadsheetml.sheet", ".xlsx"),
+    "application/vnd.google-apps.presentation": (f"{OFFICE}presentationml.presentation", ".pptx"), "application/vnd.google-apps.drawing": ("image/png", ".png"),
+}
 SHEET_MIMES = ("text/csv", "application/vnd.ms-excel", "application/vnd.google-apps.spreadsheet", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet")
 
 
@@ -85,3 +95,34 @@ def ingest_outcome(files: DataFrame, text: str = "text", error: str = "error") -
 
 def sheet_or_generic(sheet_text: Column, generic_text: Column) -> Column:
     return F.coalesce(F.when(F.trim(sheet_text) != "", sheet_text), generic_text)
+
+
+def file_plans(listing: DataFrame, mime: str = "mime_type", name: str = "name") -> DataFrame:
+    """The files of a listing that can be read, with mode (download or export), export_mime and suffix; others are left out."""
+    spark = listing.sparkSession
+    known = [(m, "download", None, s) for m, s in BINARY_MIMES.items()] + [(m, "export", e, s) for m, (e, s) in EXPORT_MIMES.items()]
+    plans = spark.createDataFrame(known, "plan_mime string, mode string, export_mime string, default_suffix string")
+    joined = listing.join(F.broadcast(plans), F.lower(F.coalesce(F.col(mime), F.lit(""))) == F.col("plan_mime"))  # 18 rows
+    own = F.lower(F.regexp_extract(F.col(name), r"(\.[^.]+)$", 1))
+    suffix = F.when((F.col("mode") == "download") & (own != ""), own).otherwise(F.col("default_suffix"))
+    return joined.withColumn("suffix", suffix).drop("plan_mime", "default_suffix")
+
+
+def write_plan(diff: DataFrame, files: DataFrame, used: DataFrame, key: str = "id") -> DataFrame:
+    """key, status, output_file for what is new or changed: changed files keep theirs, new ones get the next free number and their safe name.
+
+    diff: snapshot_diff(); files: key, name, ord; used: number.
+    """
+    from docquarry.functions.text import safe_file_name
+
+    todo = diff.where("status in ('new', 'changed')").join(files.select(key, "name", "ord"), key)
+    stem = safe_file_name(F.regexp_replace("name", r"\.[^.]*$", ""))
+    kept = todo.where("output_file is not null").select(key, "status", "output_file")
+    fresh = allocate_numbers(todo.where("output_file is null").select(key, "status", "ord", stem.alias("stem")), used, ["ord", key])
+    named = fresh.select(key, "status", F.concat(F.when(F.col("number") < 10, F.lpad(F.col("number").cast("string"), 2, "0")).otherwise(F.col("number").cast("string")), F.lit("_"), "stem", F.lit(".md")).alias("output_file"))
+    return kept.unionByName(named)
+
+
+def document_text(name: Column, method: Column, body: Column) -> Column:
+    """An imported document as it is stored: title, how it was read, text."""
+    return F.concat(F.lit("# "), name, F.lit("\n\nExtraction method: "), method, F.lit("\n\n"), body)

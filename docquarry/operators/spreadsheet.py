@@ -109,3 +109,21 @@ def render_rows(rows: DataFrame, file_name: str) -> DataFrame:
     """sheet, row_number, line: the line form that parse_row reads. rows: sheet, row_number, pairs."""
     pairs = F.array_join(F.transform("pairs", lambda p: F.concat(p["header"], F.lit("="), p["value"])), " | ")
     return rows.select("sheet", "row_number", F.concat(F.lit(f"- Spreadsheet file {file_name} | Sheet "), "sheet", F.lit(" | Row "), "row_number", F.lit(": "), pairs).alias("line"))
+
+
+def render_document(rows: DataFrame, profiles: DataFrame, who: DataFrame, file_name: str) -> DataFrame:
+    """sheet, part, ord, line: a whole spreadsheet document in the line form that parse_lines reads; in order of sheet, part, ord.
+
+    rows: sheet, row_number, pairs; profiles: sheet, ord, line; who: sheet, row_number, name, role.
+    """
+    sheets = rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+    head = sheets.select("sheet", F.lit(0).alias("part"), F.posexplode(F.array(F.concat(F.lit("## Sheet: "), "sheet"), F.lit(f"Spreadsheet file: {file_name}"), F.concat(F.lit("Sheet name: "), "sheet"), F.concat(F.lit("Data rows indexed: "), "n"))).alias("ord", "line"))
+    mark = lambda df, part, text: df.select("sheet").distinct().select("sheet", F.lit(part).alias("part"), F.lit(0).alias("ord"), F.lit(text).alias("line"))
+    columns = profiles.select("sheet", F.lit(2).alias("part"), "ord", F.concat(F.lit("- "), "line").alias("line"))
+    role = F.when(F.coalesce("role", F.lit("")) != "", F.concat(F.lit(" | Role: "), "role")).otherwise(F.lit(""))
+    persons = who.select("sheet", F.lit(4).alias("part"), F.col("row_number").alias("ord"), F.concat(F.lit("- Person: "), "name", role, F.lit(" | Sheet: "), "sheet", F.lit(" | Row: "), "row_number").alias("line"))
+    body = render_rows(rows, file_name).select("sheet", F.lit(6).alias("part"), F.col("row_number").alias("ord"), "line")
+    out = head
+    for part in (mark(profiles, 1, "Column profiles:"), columns, mark(who, 3, "People index:"), persons, mark(rows, 5, "Row records:"), body):
+        out = out.unionByName(part)
+    return out

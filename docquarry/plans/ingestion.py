@@ -195,11 +195,52 @@ def selection_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", names.alias("names"), sessions.toggle_selection(names, F.lit("Beta")).alias("toggled"), sessions.available_selection(F.col("raw"), F.col("available")).alias("kept"))
 
 
-@query("SELECT * FROM (VALUES (1, 'pdfs', 'pdfs'), (2, NULL, 'pdfs'), (3, 'files', 'files'), (4, NULL, NULL)) t(turn, intent, resolved)")
+_ASKED = [(1, 1, "quais pdfs existem"), (1, 2, "e quais sao"), (1, 3, "liste os arquivos da base"), (1, 4, "qual o prazo do contrato"), (1, 5, "de qual pasta vieram"), (1, 6, "qual extrator foi usado"), (1, 7, "mostre as imagens"), (1, 8, "quantas planilhas"), (1, 9, "os nomes")]
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    made = spark.createDataFrame(_ASKED, "conv_id int, turn int, text string").withColumn("intent", sessions.collection_intent(F.col("text")))
+    return sessions.with_follow_ups(made)
+
+
+@query("""SELECT * FROM (VALUES (1, 'pdfs', 'pdfs'), (2, NULL, 'pdfs'), (3, 'files', 'files'), (4, NULL, NULL), (5, 'folder', 'folder'), (6, 'extractor', 'extractor'), (7, 'images', 'images'), (8, 'spreadsheets', 'spreadsheets'), (9, NULL, 'spreadsheets')) t(turn, intent, resolved)""")
 def collection_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 1, "quais pdfs existem"), (1, 2, "e quantos sao"), (1, 3, "liste os arquivos da base"), (1, 4, "qual o prazo do contrato com a fundacao")]
-    made = spark.createDataFrame(rows, "conv_id int, turn int, text string").withColumn("intent", sessions.collection_intent(F.col("text")))
-    return sessions.with_follow_ups(made).select("turn", "intent", "resolved")
+    return asked(spark).select("turn", "intent", "resolved")
+
+
+@query("""SELECT * FROM (VALUES (1, 1, ['a.pdf']), (2, 1, ['a.pdf']), (3, 3, ['a.pdf', 'b.csv', 'c.csv']), (7, 0, []), (8, 2, ['b.csv', 'c.csv']), (9, 2, ['b.csv', 'c.csv'])) t(turn, files, names)""")
+def inventory_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame([("c.csv", "spreadsheet"), ("a.pdf", "pdf"), ("b.csv", "spreadsheet")], "name string, kind string")
+    return sessions.inventory_answer(asked(spark), files).select("turn", "files", "names")
+
+
+@query("""SELECT * FROM (VALUES (2, 7), (0, 1), (0, 1), (0, 3)) t(sessions, next_id)""")
+def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ['{"sessions": [{"id": "chat_1"}, {"id": "chat_2"}], "next_chat_session_id": 7}', "not json", '{"next_chat_session_id": -4}', '{"sessions": null, "next_chat_session_id": 3}']
+    return sessions.read_state(spark.createDataFrame([(r,) for r in rows], "value string")).select(F.size("sessions").alias("sessions"), "next_id")
+
+
+@query("""SELECT * FROM (VALUES ('1', 'download', NULL, '.pdf'), ('2', 'download', NULL, '.docx'), ('3', 'export', 'image/png', '.png'), ('5', 'download', NULL, '.jpeg')) t(id, mode, export_mime, suffix)""")
+def file_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("1", "a", "application/pdf"), ("2", "b.DOCX", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("3", "c.x", "application/vnd.google-apps.drawing"), ("4", "d.zip", "application/zip"), ("5", "e.JPEG", "IMAGE/JPEG"), ("6", "f", None)]
+    return ingest.file_plans(spark.createDataFrame(rows, "id string, name string, mime_type string")).select("id", "mode", "export_mime", "suffix")
+
+
+@query(f"""WITH {_SNAPSHOT}, t AS (SELECT id, status, output_file FROM d WHERE status IN ('new', 'changed')), w AS (SELECT id, status, row_number() OVER (ORDER BY id) AS n FROM t WHERE output_file IS NULL),
+ f AS (SELECT i AS number, row_number() OVER (ORDER BY i) AS n FROM range(1, (SELECT count(*) FROM w) + 4) t(i) WHERE i NOT IN (1, 4, 5))
+ SELECT id, status, output_file FROM t WHERE output_file IS NOT NULL UNION ALL SELECT id, status, CASE WHEN number < 10 THEN '0' ELSE '' END || number || '_order_' || id || '.md' FROM w JOIN f USING (n)""")
+def import_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole incremental import up to what is written where."""
+    listing, manifest = snapshots(spark, sf_dir)
+    files = listing.select("id", F.concat(F.lit("order "), "id", F.lit(".pdf")).alias("name"), F.col("id").alias("ord"))
+    used = spark.createDataFrame([(1,), (4,), (5,)], "number long")
+    return ingest.write_plan(ingest.snapshot_diff(listing, manifest), files, used)
+
+
+@query("""SELECT * FROM (VALUES (1, ['^/docs$', '^/docs/.*$']), (2, ['^/a/b$', '^/a/b/.*$']), (3, NULL), (4, ['^/$', '^//.*$'])) t(k, paths)""")
+def include_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "https://a.org/docs/x"), (2, "https://a.org/a/b/"), (3, "https://a.org/"), (4, "https://docs.a.org/x")]
+    return spark.createDataFrame(rows, "k int, url string").select("k", U.include_paths(F.col("url")).alias("paths"))
 
 
 @query("SELECT 18 AS next_id")

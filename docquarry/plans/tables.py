@@ -141,3 +141,15 @@ def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("n", F.row_number().over(by) - 1)
     return rows.groupBy("l_orderkey").agg(F.max("n").alias("last_order"))
+
+
+@query("""SELECT * FROM (VALUES ('summary', 0), ('sheet_summary', 3), ('column_profile', 1), ('people_index', 1), ('row_record', 2)) t(kind, n) WHERE n > 0""")
+def sheet_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered spreadsheet document, read back by the parser."""
+    rows = spark.createDataFrame([("S", 2, [("Name", "Ana Souza"), ("Pay", "1")]), ("S", 3, [("Name", "Total")])], "sheet string, row_number int, pairs array<struct<header:string,value:string>>")
+    profiles = spark.createDataFrame([("S", 1, "Pay: numeric count=2")], "sheet string, ord int, line string")
+    who = spark.createDataFrame([("S", 2, "Ana Souza", None)], "sheet string, row_number int, name string, role string")
+    lines = spreadsheet.render_document(rows, profiles, who, "f.xlsx")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "part", "ord", "line"))), lambda x: x["line"]), "\n")  # one small document
+    whole = lines.agg(F.concat(F.lit("# f.xlsx\n"), text).alias("text")).select(F.lit("d").alias("document_id"), "text")
+    return spreadsheet.parse_lines(whole).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
