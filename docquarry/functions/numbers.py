@@ -6,6 +6,8 @@ reads numbers in prose, where a group of three digits is a thousand.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ MONEY = "decimal(28,8)"
 _NBSP = " "
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: a Column that is named twice in an expression is otherwise computed twice."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def _bare(text: Column, *signs: str) -> Column:
     out = F.trim(F.coalesce(text, F.lit("")))
     for sign in ("R$", _NBSP, " ", *signs):
@@ -21,14 +28,13 @@ def _bare(text: Column, *signs: str) -> Column:
 
 
 def table_text(text: Column) -> Column:
-    bare = _bare(text)
-    return F.when(F.contains(bare, F.lit(",")), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
+    return let(_bare(text), lambda b: F.when(F.contains(b, F.lit(",")), F.replace(F.replace(b, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(b))
 
 
 def table_number(text: Column) -> Column:
     """Exact decimal of a table cell. Text that is no finite number stops the query."""
     clean = table_text(text)
-    found = F.try_cast(clean, MONEY) if hasattr(F, "try_cast") else clean.try_cast(MONEY)
+    found = clean.try_cast(MONEY)
     return F.coalesce(found, F.raise_error(F.concat(F.lit("Non-numeric table value: "), F.coalesce(text, F.lit("")))).cast(MONEY))
 
 
@@ -45,32 +51,40 @@ def _both(text: Column) -> Column:
 
 def profile_number(text: Column) -> Column:
     """Double of a cell, or null. Percent signs go; a comma alone is a decimal mark."""
-    bare = _bare(text, "%")
-    comma, dot = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
-    clean = F.when(comma & dot, _both(bare)).when(comma, F.replace(bare, F.lit(","), F.lit("."))).otherwise(bare)
-    return F.when(clean == "", None).otherwise(clean).try_cast("double")
 
+    def read(bare: Column) -> Column:
+        comma, dot = F.contains(bare, F.lit(",")), F.contains(bare, F.lit("."))
+        clean = F.when(comma & dot, _both(bare)).when(comma, F.replace(bare, F.lit(","), F.lit("."))).otherwise(bare)
+        return F.when(bare != "", clean).try_cast("double")
 
-def evidence_text(text: Column) -> Column:
-    """The digits of a number in prose, with a dot as decimal mark."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9,.\-]", "")
-    sign = F.when(F.startswith(bare, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(bare, "^-+", "")
+    return let(_bare(text, "%"), read)
+
+
+def _evidence_digits(digits: Column) -> Column:
     comma, dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
     head, tail = F.regexp_extract(digits, "^(.*),", 1), F.regexp_extract(digits, ",([^,]*)$", 1)
     thousands = (F.length(tail) == 3) & (F.length(F.replace(head, F.lit(","), F.lit(""))) <= 3)
     by_comma = F.when(thousands, F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
     groups = digits.rlike(r"^[^.]*(\.[^.]{3}){2,}$") | digits.rlike(r"^[^.]{0,3}\.[^.]{3}$")
     by_dot = F.when(groups, F.replace(digits, F.lit("."), F.lit(""))).otherwise(digits)
-    clean = F.when(comma & dot, _both(digits)).when(comma, by_comma).when(dot, by_dot).otherwise(digits)
-    return F.concat(sign, clean)
+    return F.when(comma & dot, _both(digits)).when(comma, by_comma).when(dot, by_dot).otherwise(digits)
+
+
+def evidence_text(text: Column) -> Column:
+    """The digits of a number in prose, with a dot as decimal mark."""
+
+    def read(bare: Column) -> Column:
+        sign = F.when(F.startswith(bare, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        return F.concat(sign, let(F.regexp_replace(bare, "^-+", ""), _evidence_digits))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9,.\-]", ""), read)
 
 
 def evidence_number(text: Column) -> Column:
     """A number in prose as plain text without trailing zeros, or null."""
     found = evidence_text(text).try_cast("decimal(38,12)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(found, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(plain.isin("-0", ""), F.lit("0")).otherwise(plain)
+    return let(plain, lambda p: F.when(p.isin("-0", ""), F.lit("0")).otherwise(p))
 
 
 def _values(text: Column, pattern: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.numbers import currencies_in, dates_in, numbers_in, percentages_in
+from docquarry.functions.numbers import currencies_in, dates_in, let, numbers_in, percentages_in
 from docquarry.functions.text import normalize_identifier, search_tokens
 
 # Words that structured matches pass over.
@@ -99,7 +99,7 @@ def support_of(text: Column, variant: Column) -> Column:
 
 
 def support_level(text: Column, variant: Column) -> Column:
-    return support_of(features(text), features(variant))
+    return let(F.struct(features(text).alias("t"), features(variant).alias("v")), lambda x: support_of(x["t"], x["v"]))
 
 
 def source_matches(source: Column, *names: Column) -> Column:
