@@ -23,7 +23,7 @@ from docquarry.llm.common import materialize
 
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
-REMEMBERED, GROUP_ROWS = 1_200_000, 20_000
+REMEMBERED, GROUP_ROWS = 800_000, 20_000
 
 
 _STOP = re.compile(r"(?<=[a-z])([.,])").sub
