@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 BINS, DIMS, NONZERO, REACH = 8192, 48, 4, 2
 #: The most labelled rows that a fit sees, and the most word forms that a worker remembers.
-FIT_ROWS, REMEMBERED = 20_000, 200_000
+FIT_ROWS, REMEMBERED = 20_000, 300_000
 THRESHOLD = 0.3
 _SHAPE = re.compile(r"[^\W\d_]+")
 
@@ -45,6 +45,12 @@ class _Bins(dict):
 
 
 REPEATED = BINS - 1
+_SEEN = _Bins()
+
+
+def _seen() -> _Bins:
+    """The forms that this Python worker knows; later tasks find those of earlier ones."""
+    return _SEEN
 
 
 def tokens(body: bytes, bins: _Bins) -> np.ndarray:
@@ -71,7 +77,7 @@ def _bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index, bins = index_vectors(), _Bins()
+    index, bins = index_vectors(), _seen()
     at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]  # where each bin's non-zero entries stand
     sign = np.take_along_axis(index, at, 1).astype(np.float64)
     total = np.zeros(BINS * DIMS, np.int64)
@@ -194,7 +200,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     width = table.shape[1] + 1
 
     def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bins = _Bins()
+        bins = _seen()
         for batch in batches:
             rows = [_pooled(x, bins, table).astype(np.float32).tobytes() for x in batch["body"]]
             yield pd.DataFrame({"doc": batch["doc"], "label": batch["label"], "x": rows})
@@ -215,7 +221,7 @@ def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col:
     sent = df.sparkSession.sparkContext.broadcast(model)  # of fixed size, see QualityModel
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bins = sent.value, _Bins()
+        model, bins = sent.value, _seen()
         for batch in batches:
             x = [_pooled(body.as_py(), bins, model.table) for body in batch["body"]]
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(model.probability(np.stack(x)) if x else np.zeros(0))], ["doc", "score"])
@@ -242,7 +248,7 @@ def drop_rejected(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     column = inner[names.index(text_col)]
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bins = sent.value, _Bins()
+        model, bins = sent.value, _seen()
         for batch in batches:
             if len(batch):
                 x = np.stack([_pooled(body.as_py() or b"", bins, model.table) for body in batch[column].cast(pa.binary())])
