@@ -23,6 +23,8 @@ BINS, DIMS, NONZERO, REACH = 8192, 48, 4, 2
 #: The most labelled rows that a fit sees, and the most word forms that a worker remembers.
 FIT_ROWS, REMEMBERED = 20_000, 300_000
 THRESHOLD = 0.3
+#: Tokens at which a text's own features weigh one half.
+DOUBT = 32
 _SHAPE = re.compile(r"[^\W\d_]+")
 
 
@@ -133,6 +135,12 @@ def _pooled(body: bytes, bins: _Bins, table: np.ndarray) -> np.ndarray:
     return np.append(mean, np.log1p(len(seq)))
 
 
+def _scaled(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Standardised features, drawn to the centre where a text has few tokens: a mean of a handful says little."""
+    tokens = np.expm1(x[:, -1:])
+    return (x - centre) / spread * (tokens / (tokens + DOUBT))
+
+
 @dataclass
 class QualityModel:
     """Word vectors, network and temperature: about 7 MB, whatever the corpus."""
@@ -147,7 +155,7 @@ class QualityModel:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.centre) / self.spread @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh(_scaled(x, self.centre, self.spread) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
@@ -163,7 +171,7 @@ def fit_network(table: np.ndarray, x: np.ndarray, y: np.ndarray, calibrate: np.n
     fit_x, fit_y = (x[~calibrate], y[~calibrate]) if (~calibrate).any() else (x, y)
     centre, spread = fit_x.mean(0), fit_x.std(0) + 1e-6
     model = QualityModel(table, centre, spread, draw.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), draw.normal(0, 1 / np.sqrt(hidden), hidden), 0.0)
-    z = (fit_x - centre) / spread
+    z = _scaled(fit_x, centre, spread)
     weights = [model.w1, model.b1, model.w2, np.zeros(1)]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(rounds):
