@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Slots in a cycle, rows in a block, rows in one window group, and the most sources that a plan holds.
-CYCLE, BLOCK_ROWS, GROUP_ROWS, MAX_SOURCES = 1000, 32, 20_000, 100_000
+CYCLE, BLOCK_ROWS, GROUP_ROWS, MAX_SOURCES = 1000, 32, 4_000, 100_000
 
 
 def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
