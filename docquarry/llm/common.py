@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: While a table is written: shuffle files go when it is done, and Python workers get their rows in small batches.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: While a table is written its shuffle files go as soon as it is done.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,6 +48,12 @@ def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on the session's Python workers get their rows in batches of about 4 MB: texts are long, and the default of
+    64 MB is held several times over, in the JVM and in each worker. Set before any plan that runs Python on texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
+
+
 class Rows:
     """Gathers columns of numpy arrays and gives them out as Arrow batches of a useful size."""
 
@@ -83,6 +89,7 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     distinct text (null counts as empty). members: the id of every input row with its tid.
     A group of copies, however large, is one row of texts; partial aggregation meets it in the map tasks.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("member_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     keyed = rows.select("member_id", F.unhex(F.substring(F.sha2("body", 256), 1, 32)).alias("digest"), "body")
     texts = keyed.groupBy("digest").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"), F.min("member_id").alias("first_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize
+from docquarry.llm.common import materialize, small_batches
 
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
@@ -97,6 +97,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
                 yield pa.RecordBatch.from_arrays([part["doc"].take(pa.array(owner)), *columns], ["doc", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     return rows.mapInArrow(cut, f"doc {dict(rows.dtypes)['doc']}, piece int, start long, length long, ids_crc32 long")
 

@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import small_batches
+
 BINS, DIMS, NONZERO, REACH = 8192, 48, 4, 2
 #: The most labelled rows that a fit sees, and the most word forms that a worker remembers.
-FIT_ROWS, REMEMBERED = 20_000, 300_000
+FIT_ROWS, REMEMBERED = 20_000, 150_000
 THRESHOLD = 0.3
 #: Tokens at which a text's own features weigh one half.
 DOUBT = 32
@@ -47,12 +49,6 @@ class _Bins(dict):
 
 
 REPEATED = BINS - 1
-_SEEN = _Bins()
-
-
-def _seen() -> _Bins:
-    """The forms that this Python worker knows; later tasks find those of earlier ones."""
-    return _SEEN
 
 
 def tokens(body: bytes, bins: _Bins) -> np.ndarray:
@@ -75,11 +71,12 @@ def index_vectors() -> np.ndarray:
 
 
 def _bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index, bins = index_vectors(), _seen()
+    index, bins = index_vectors(), _Bins()
     at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]  # where each bin's non-zero entries stand
     sign = np.take_along_axis(index, at, 1).astype(np.float64)
     total = np.zeros(BINS * DIMS, np.int64)
@@ -96,8 +93,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for body in batch["body"]:
             held.append(tokens(body, bins))
             size += len(held[-1])
-            if size > 1_000_000:
-                for part in np.array_split(np.concatenate(held), max(1, size // 2_000_000)):
+            if size > 300_000:
+                for part in np.array_split(np.concatenate(held), max(1, size // 600_000)):
                     add(part)
                 held, size = [gap], 0
     if size:
@@ -208,7 +205,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     width = table.shape[1] + 1
 
     def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bins = _seen()
+        bins = _Bins()
         for batch in batches:
             rows = [_pooled(x, bins, table).astype(np.float32).tobytes() for x in batch["body"]]
             yield pd.DataFrame({"doc": batch["doc"], "label": batch["label"], "x": rows})
@@ -229,7 +226,7 @@ def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col:
     sent = df.sparkSession.sparkContext.broadcast(model)  # of fixed size, see QualityModel
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bins = sent.value, _seen()
+        model, bins = sent.value, _Bins()
         for batch in batches:
             x = [_pooled(body.as_py(), bins, model.table) for body in batch["body"]]
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(model.probability(np.stack(x)) if x else np.zeros(0))], ["doc", "score"])
@@ -256,7 +253,7 @@ def drop_rejected(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     column = inner[names.index(text_col)]
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bins = sent.value, _seen()
+        model, bins = sent.value, _Bins()
         for batch in batches:
             if len(batch):
                 x = np.stack([_pooled(body.as_py() or b"", bins, model.table) for body in batch[column].cast(pa.binary())])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import connected_components, materialize
+from docquarry.llm.common import connected_components, materialize, small_batches
 
 SEED, WIDTH, BITS = 42, 3, 64
 
@@ -49,6 +49,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, fp (the 64 bits as a signed long) for each row."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     kind = dict(rows.dtypes)["doc"]
     return rows.mapInArrow(_fingerprints, f"doc {kind}, fp long")

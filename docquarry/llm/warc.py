@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, scratch_path
+from docquarry.llm.common import materialize, scratch_path, small_batches
 
 #: Compressed bytes at which a file is rolled, identifiers in a shard, and bytes from which equal payloads are revisits.
 ROLL_BYTES, SHARD_IDS, REVISIT_BYTES = 64 << 20, 4096, 1000
@@ -114,6 +114,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     responses. Rows with a null identifier go to a shard of their own. An empty table gives an empty manifest.
     """
     spark = df.sparkSession
+    small_batches(df.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= revisit_bytes, F.unhex(F.sha2("payload", 256))))
