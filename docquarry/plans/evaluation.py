@@ -37,7 +37,7 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_RANKED}, f AS (SELECT query_id, document_id, min(rank) AS chunk_rank FROM r GROUP BY ALL)
- SELECT query_id, document_id, chunk_rank, row_number() OVER (PARTITION BY query_id ORDER BY chunk_rank, document_id) AS rank FROM f""")
+ SELECT query_id, document_id, chunk_rank::INT AS chunk_rank, (row_number() OVER (PARTITION BY query_id ORDER BY chunk_rank, document_id))::INT AS rank FROM f""")
 def document_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.document_ranks(ranked(spark, sf_dir))
 
@@ -54,7 +54,7 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_RANKED}, g AS (SELECT *, (row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) = 1)::INT AS fresh FROM r),
- s AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY rank) AS documents FROM g) SELECT query_id, arg_min(documents, rank) AS source_rank FROM s WHERE document_id IN ('src3', 'src4') GROUP BY query_id""")
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY rank) AS documents FROM g) SELECT query_id, arg_min(documents, rank)::BIGINT AS source_rank FROM s WHERE document_id IN ('src3', 'src4') GROUP BY query_id""")
 def source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.source_rank(ranked(spark, sf_dir), F.col("document_id").isin("src3", "src4"))
 
@@ -106,7 +106,7 @@ def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.failure_counts(docs(spark, sf_dir).select(F.when(F.col("doc_id") % 5 == 0, "no_failure").otherwise("retrieval_failure").alias("failure")))
 
 
-@query("SELECT * FROM (VALUES ('q1', 0.5, false), ('q2', 1.0, true), ('q3', 0.0, false)) t(query_id, evidence_recall, complete)")
+@query("SELECT query_id, r::DOUBLE AS evidence_recall, complete FROM (VALUES ('q1', 0.5, false), ('q2', 1.0, true), ('q3', 0.0, false)) t(query_id, r, complete)")
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.createDataFrame([("q1", 1, "alpha beta"), ("q1", 2, "gamma"), ("q1", 11, "delta"), ("q2", 1, "x y")], "query_id string, rank int, text string")
     groups = spark.createDataFrame([("q1", 1, ["beta", "zeta"]), ("q1", 2, ["delta"]), ("q2", 1, ["y"]), ("q3", 1, ["y"])], "query_id string, phrase_group int, phrases array<string>")
@@ -125,7 +125,7 @@ def source_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", E.source_matches(F.col("source"), F.col("name"), F.lit(None).cast("string")).alias("ok"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.6667), (2, 0.0), (3, 1.0)) t(k, rate)")
+@query("SELECT k, r::DOUBLE AS rate FROM (VALUES (1, 0.6667), (2, 0.0), (3, 1.0)) t(k, r)")
 def context_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, ["a", "b"], ["a"], ["k"], ["k", "m"], 3), (2, ["a"], [], ["k"], [], 0), (3, ["a"], ["a"], [], [], 1)], "k int, h array<string>, c array<string>, hk array<string>, ck array<string>, n int")
     return rows.select("k", E.context_hit_rate(*(F.col(c) for c in ("h", "c", "hk", "ck", "n"))).alias("rate"))
@@ -166,7 +166,7 @@ def results(spark: SparkSession) -> DataFrame:
                               spark.createDataFrame(answers, "id string, answer string, abstained boolean, evidence_score double, explicit_scope boolean, scope_excludes boolean"), corpus(spark))
 
 
-@query("""SELECT * FROM (VALUES ('1', 1, true, true, 'explicit', 'grounded', 0.8, 1.0, 'no_failure'), ('2', 1, true, false, 'not_found', 'unsupported', 0.25, 0.0, 'selection_failure'),
+@query("""SELECT id, hits::BIGINT AS hits, in_pool, in_context, evidence_level, grounding, confidence::DOUBLE AS confidence, context_hit_rate::DOUBLE AS context_hit_rate, failure FROM (VALUES ('1', 1, true, true, 'explicit', 'grounded', 0.8, 1.0, 'no_failure'), ('2', 1, true, false, 'not_found', 'unsupported', 0.25, 0.0, 'selection_failure'),
  ('3', 0, false, false, 'not_found', 'unsupported', 0.0, 0.0, 'benchmark_data_mismatch'), ('4', 1, true, true, 'implicit', 'weakly_grounded', 0.15, 1.0, 'generation_failure')) t(id, hits, in_pool, in_context, evidence_level, grounding, confidence, context_hit_rate, failure)""")
 def question_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark).drop("abstained")

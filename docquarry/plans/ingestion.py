@@ -87,12 +87,12 @@ _LINKS = f"""h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]
  l AS (SELECT page, pos, href, base, {_normal('target0')} AS target FROM r)"""
 
 
-@query(f"WITH {_LINKS} SELECT page, pos, href, target FROM l")
+@query(f"WITH {_LINKS} SELECT page, pos::INT AS pos, href, target FROM l")
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.links(pages(spark, sf_dir)).select("page", "pos", "href", "target")
 
 
-@query(f"""WITH {_LINKS} SELECT page, pos FROM l WHERE regexp_matches(lower({_part('target', 3)}), '[.](png|jpg|jpeg|gif|svg|webp|ico|css|js|xml|json|txt|zip|mp4|mov|avi|webm)$')""")
+@query(f"""WITH {_LINKS} SELECT page, pos::INT AS pos FROM l WHERE regexp_matches(lower({_part('target', 3)}), '[.](png|jpg|jpeg|gif|svg|webp|ico|css|js|xml|json|txt|zip|mp4|mov|avi|webm)$')""")
 def static_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.links(pages(spark, sf_dir)).where(U.is_static(U.path(F.col("target")))).select("page", "pos")
 
@@ -114,7 +114,7 @@ def same_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LINKS}, f AS (SELECT page, target AS url, lower({_part('base', 1)}) || '://' || {_part('base', 2)} || '/' AS root FROM l), g AS (SELECT DISTINCT page, url, root FROM f
    WHERE {_part('url', 2)} = {_part('root', 2)} AND NOT regexp_matches(lower({_part('url', 3)}), '[.](png|jpg|jpeg|gif|svg|webp|ico|css|js|xml|json|txt|zip|mp4|mov|avi|webm)$')
    UNION SELECT page, root, root FROM f)
- SELECT page, url, row_number() OVER (PARTITION BY page ORDER BY (url <> root)::INT, len(list_filter(string_split({_part('url', 3)}, '/'), lambda x: x <> '')), url) AS place FROM g""")
+ SELECT page, url, (row_number() OVER (PARTITION BY page ORDER BY (url <> root)::INT, len(list_filter(string_split({_part('url', 3)}, '/'), lambda x: x <> '')), url))::INT AS place FROM g""")
 def docs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = web.links(pages(spark, sf_dir))
     root = F.concat(U.scheme(F.col("base")), F.lit("://"), U.host(F.col("base")), F.lit("/"))
@@ -124,7 +124,7 @@ def docs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VOTES = [("https://a.org/x", "https://a.org/docs/1"), ("https://a.org/x", "https://a.org/docs/2"), ("https://a.org/x", "https://docs.a.org/z"), ("https://a.org/x", "https://b.org/docs/1"), ("https://a.org/x", "https://a.org/help/docs/3"), ("https://a.org/x", "https://a.org/help/4"), ("https://a.org/x", "https://a.org/plain")]
 
 
-@query("SELECT * FROM (VALUES (1, 'https://a.org/docs', 2), (2, 'https://a.org/help', 1)) t(page, root, votes)")
+@query("SELECT page, root, votes::BIGINT AS votes FROM (VALUES (1, 'https://a.org/docs', 2), (2, 'https://a.org/help', 1)) t(page, root, votes)")
 def root_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, *v) for v in _VOTES] + [(2, "https://a.org/x", "https://a.org/help/x"), (2, "https://a.org/x", "https://a.org/learn/x")]
     return web.root_vote(spark.createDataFrame(rows, "page int, base string, target string"))
@@ -136,7 +136,7 @@ def kept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.kept_pages(rows).select("page_id")
 
 
-@query("SELECT page_id, (row_number() OVER (ORDER BY page_id) - 1) // 25 AS batch FROM pages")
+@query("SELECT page_id, ((row_number() OVER (ORDER BY page_id) - 1) // 25)::INT AS batch FROM pages")
 def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.in_batches(pages(spark, sf_dir).select("page_id"), "page_id").select("page_id", "batch")
 
@@ -183,7 +183,7 @@ def ingest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_outcome(rows).select("doc_id", "status", "reason")
 
 
-@query("""SELECT source, count(*) AS documents, sum(n_chars) AS chars FROM documents GROUP BY source""")
+@query("""SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source""")
 def collection_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 

@@ -23,7 +23,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, parent_start, child_start, child_stop, md5({_JOIN.format(a='child_start', b='child_stop')}) AS text_md5 FROM e""")
 def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.children(chunking.parents(chunking.prose(docs(spark, sf_dir))))
-    return made.select(F.col("document_id").alias("doc_id"), "parent_start", "child_start", "child_stop", F.md5("text").alias("text_md5"))
+    return made.select(F.col("document_id").alias("doc_id"), *(F.col(c).cast("long").alias(c) for c in ("parent_start", "child_start", "child_stop")), F.md5("text").alias("text_md5"))
 
 
 @query(f"""WITH {_TOKENS}, c AS (SELECT doc_id, t, len(t) AS n, unnest(range(0, len(t), 1536)) AS parent_start FROM p),
@@ -31,7 +31,7 @@ def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, parent_start, parent_stop, md5({_JOIN.format(a='parent_start', b='parent_stop')}) AS text_md5 FROM d""")
 def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.parents(chunking.prose(docs(spark, sf_dir)))
-    return made.select(F.col("document_id").alias("doc_id"), "parent_start", "parent_stop", F.md5("parent_text").alias("text_md5"))
+    return made.select(F.col("document_id").alias("doc_id"), *(F.col(c).cast("long").alias(c) for c in ("parent_start", "parent_stop")), F.md5("parent_text").alias("text_md5"))
 
 
 _ID = "substr(sha256(concat_ws(chr(31), {})), 1, 24)"
@@ -42,7 +42,7 @@ _ID = "substr(sha256(concat_ws(chr(31), {})), 1, 24)"
  SELECT doc_id, s AS parent_start, {_ID.format("doc_id, version, '0', s")} AS parent_id FROM c""")
 def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.parents(chunking.prose(docs(spark, sf_dir)))
-    return made.select(F.col("document_id").alias("doc_id"), "parent_start", "parent_id")
+    return made.select(F.col("document_id").alias("doc_id"), F.col("parent_start").cast("long").alias("parent_start"), "parent_id")
 
 
 _HEADED = "a\n# T1\nx\n\n##\nT2\ny z\n### T3\n\n# T4 \nlast  "
@@ -90,7 +90,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN NOT list_contains(r.known, q.parent_id) AND r.used + q.cost <= 1000 THEN r.used + q.cost ELSE r.used END,
  CASE WHEN NOT list_contains(r.known, q.parent_id) AND r.used + q.cost <= 1000 THEN list_append(r.known, q.parent_id) ELSE r.known END
  FROM r JOIN q ON q.query_id = r.query_id AND q.rank = r.rank + 1)
- SELECT query_id, rank, parent_id, cost, admitted, used FROM r WHERE rank > 0""")
+ SELECT query_id, rank::INT AS rank, parent_id, cost, admitted, used FROM r WHERE rank > 0""")
 def context_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.admit(candidates(spark, sf_dir), budget=1000).select("query_id", "rank", "parent_id", "cost", "admitted", "used")
 
@@ -106,7 +106,7 @@ def context_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
    CASE WHEN cost <= 350 AND nb < 8 THEN nb END FROM (
    SELECT q.query_id, q.rank, q.parent_id, q.cost, r.b, r.size, r.b + CASE WHEN q.cost <= 350 AND r.size > 0 AND r.size + q.cost > 350 THEN 1 ELSE 0 END AS nb
    FROM r JOIN q ON q.query_id = r.query_id AND q.rank = r.rank + 1))
- SELECT query_id, rank, parent_id, cost, batch FROM r WHERE rank > 0""")
+ SELECT query_id, rank::INT AS rank, parent_id, cost, batch FROM r WHERE rank > 0""")
 def coverage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.batches(candidates(spark, sf_dir), budget=350, max_batches=8, order="rank")
 

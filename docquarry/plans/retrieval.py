@@ -22,7 +22,7 @@ def tokens_sql(column: str) -> str:
 
 _DENSE = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
  s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label, list_dot_product(q.e, v.e) / (q.n * v.n) AS score FROM v q, v WHERE q.vec_id < 5)"""
-_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, chunk_id)"
+_RANK = "(row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, chunk_id))::INT"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def dense_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top_k(pool, questions(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT 0 AS query_id, 0 AS chunk_id WHERE false")
+@query("SELECT 0::BIGINT AS query_id, 0::BIGINT AS chunk_id WHERE false")
 def dense_empty_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top_k(vectors(spark, sf_dir).withColumnRenamed("label", "document_id"), questions(spark, sf_dir), scope=[]).select("query_id", "chunk_id")
 

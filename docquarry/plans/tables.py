@@ -17,31 +17,31 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("chunk_id"), cells.alias("row_values"))
 
 
-_SQL = """SELECT '{op}' AS operation, {f} AS result, (SELECT count(*) FROM lineitem) AS scanned_rows, count(*) AS matched_rows FROM lineitem WHERE l_returnflag = 'R'"""
+_SQL = """SELECT '{op}' AS operation, ({f})::{t} AS result, (SELECT count(*) FROM lineitem) AS scanned_rows, count(*) AS matched_rows FROM lineitem WHERE l_returnflag = 'R'"""
 _PRICE = "l_extendedprice::DECIMAL(18,2)"
 
 
-@query(_SQL.format(op="count", f="count(*)::DECIMAL(38,8)"))
+@query(_SQL.format(op="count", f="count(*)", t="DECIMAL(38,8)"))
 def table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.aggregate_rows(line_rows(spark, sf_dir), "count", equals={"flag": "R"})
 
 
-@query(_SQL.format(op="sum", f=f"sum({_PRICE})"))
+@query(_SQL.format(op="sum", f=f"sum({_PRICE})", t="DECIMAL(38,8)"))
 def table_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.aggregate_rows(line_rows(spark, sf_dir), "sum", "price", {"flag": "R"})
 
 
-@query(_SQL.format(op="mean", f=f"round(sum({_PRICE})::DOUBLE / count(*), 4)"))
+@query(_SQL.format(op="mean", f=f"round(sum({_PRICE})::DOUBLE / count(*), 4)", t="DOUBLE"))
 def table_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.aggregate_rows(line_rows(spark, sf_dir), "mean", "price", {"flag": "R"}).withColumn("result", F.round(F.col("result").cast("double"), 4))
 
 
-@query(_SQL.format(op="min", f=f"min({_PRICE})"))
+@query(_SQL.format(op="min", f=f"min({_PRICE})", t="DECIMAL(38,8)"))
 def table_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.aggregate_rows(line_rows(spark, sf_dir), "min", "price", {"flag": "R"})
 
 
-@query(_SQL.format(op="max", f=f"max({_PRICE})"))
+@query(_SQL.format(op="max", f=f"max({_PRICE})", t="DECIMAL(38,8)"))
 def table_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.aggregate_rows(line_rows(spark, sf_dir), "max", "price", {"flag": "R"})
 
@@ -64,7 +64,7 @@ def header_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.unique_headers(spark.createDataFrame(rows, "sheet int, index int, raw_header string"), ["sheet"]).select("sheet", "index", "header")
 
 
-@query("""SELECT * FROM (VALUES ('S', 2, ['a=1', 'c=3'], 0), ('S', 3, ['a=4'], 0)) t(sheet, row_number, pairs, omitted_rows)""")
+@query("""SELECT sheet, row_number, pairs, o::BIGINT AS omitted_rows FROM (VALUES ('S', 2, ['a=1', 'c=3'], 0), ('S', 3, ['a=4'], 0)) t(sheet, row_number, pairs, o)""")
 def sheet_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = [("S", 1, ["", ""]), ("S", 2, ["a", "b", "c"]), ("S", 5, ["1", "", "3"]), ("S", 6, ["", "", ""]), ("S", 9, ["4"])]
     made = tables.build_sheet(spark.createDataFrame(raw, "sheet string, physical int, cells array<string>"))
@@ -98,7 +98,7 @@ def sheet_lines(spark: SparkSession) -> DataFrame:
     return spreadsheet.parse_lines(spark.createDataFrame([("d1", _SHEET)], "document_id string, text string"))
 
 
-@query("""SELECT * FROM (VALUES ('summary', 2), ('sheet_summary', 2), ('column_profile', 1), ('people_index', 2), ('row_record', 3)) t(kind, n)""")
+@query("""SELECT kind, n::BIGINT AS n FROM (VALUES ('summary', 2), ('sheet_summary', 2), ('column_profile', 1), ('people_index', 2), ('row_record', 3)) t(kind, n)""")
 def sheet_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheet_lines(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -136,14 +136,14 @@ def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("r.sheet", F.col("r.row_number").cast("long").alias("row_number"), F.col("v")["name"].alias("name"), F.col("v")["segment"].alias("segment"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n FROM lineitem) SELECT l_orderkey, max(n) AS last_order FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n FROM lineitem) SELECT l_orderkey, max(n)::INT AS last_order FROM r GROUP BY 1""")
 def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("n", F.row_number().over(by) - 1)
     return rows.groupBy("l_orderkey").agg(F.max("n").alias("last_order"))
 
 
-@query("""SELECT * FROM (VALUES ('summary', 0), ('sheet_summary', 3), ('column_profile', 1), ('people_index', 1), ('row_record', 2)) t(kind, n) WHERE n > 0""")
+@query("""SELECT kind, n::BIGINT AS n FROM (VALUES ('summary', 0), ('sheet_summary', 3), ('column_profile', 1), ('people_index', 1), ('row_record', 2)) t(kind, n) WHERE n > 0""")
 def sheet_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered spreadsheet document, read back by the parser."""
     rows = spark.createDataFrame([("S", 2, [("Name", "Ana Souza"), ("Pay", "1")]), ("S", 3, [("Name", "Total")])], "sheet string, row_number int, pairs array<struct<header:string,value:string>>")

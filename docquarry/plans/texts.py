@@ -56,7 +56,7 @@ def doc_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBERS = ["1.234,56", "1,234.56", "1.234", "1,234", "0.125", "5%", "R$ 10,00", "abc", "", "-7", "1.234.567", "12,5", "R$ 5.500,00", "1,234,567"]
 
 
-@query("""SELECT * FROM (VALUES ('1.234,56', 1234.56, 1234.56, '1234.56'), ('1,234.56', 1.23456, 1234.56, '1234.56'), ('1.234', 1.234, 1.234, '1234'), ('1,234', 1.234, 1.234, '1234'),
+@query("""SELECT raw, table_value::DOUBLE AS table_value, profile_value::DOUBLE AS profile_value, evidence_value FROM (VALUES ('1.234,56', 1234.56, 1234.56, '1234.56'), ('1,234.56', 1.23456, 1234.56, '1234.56'), ('1.234', 1.234, 1.234, '1234'), ('1,234', 1.234, 1.234, '1234'),
  ('0.125', 0.125, 0.125, '125'), ('5%', NULL, 5, '5'), ('R$ 10,00', 10, 10, '10'), ('abc', NULL, NULL, NULL), ('', NULL, NULL, NULL), ('-7', -7, -7, '-7'),
  ('1.234.567', NULL, NULL, '1234567'), ('12,5', 12.5, 12.5, '12.5'), ('R$ 5.500,00', 5500, 5500, '5500'), ('1,234,567', NULL, NULL, NULL)) t(raw, table_value, profile_value, evidence_value)""")
 def number_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
