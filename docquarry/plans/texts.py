@@ -68,7 +68,11 @@ def number_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXTS = [(1, "Paid R$ 5.500,00 on 03/04/24, then 12,5% of 1.000 in 2023-7-9"), (2, "no values"), (3, "v1.2 x3 -4 and 4 and 4,0; RS 10 rs 7"), (4, None), (5, "a 31-12-1999 b 7% 7 %")]
 
 
-@query()
+@query("""SELECT * FROM (VALUES (1, ['1000', '12.5', '2023', '24', '3', '4', '5500', '7', '9']::VARCHAR[], ['12.5']::VARCHAR[], ['5500']::VARCHAR[], ['2023-07-09', '2024-04-03']::VARCHAR[]),
+ (2, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]),
+ (3, ['-4', '10', '2', '4', '7']::VARCHAR[], []::VARCHAR[], ['10', '7']::VARCHAR[], []::VARCHAR[]),
+ (4, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]),
+ (5, ['12', '1999', '31', '7']::VARCHAR[], ['7']::VARCHAR[], []::VARCHAR[], ['1999-12-31']::VARCHAR[])) t(k, numbers, percents, amounts, dates)""")
 def values_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return spark.createDataFrame(_TEXTS, "k int, text string").select("k", N.numbers_in(t).alias("numbers"), N.percentages_in(t).alias("percents"), N.currencies_in(t).alias("amounts"), N.dates_in(t).alias("dates"))
