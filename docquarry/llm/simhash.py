@@ -74,7 +74,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(fingerprints(df, id_col, text_col), "simhash")
     prints = rows.groupBy("fp").agg(F.min("doc").alias("least"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = connected_components(ball_links(prints.select("fp").repartition(n, "fp")), "fp", "other")  # n tasks emit the variants
+    groups = connected_components(ball_links(prints.select("fp").repartition(n, F.xxhash64("fp"))), "fp", "other")  # n tasks emit the variants, however few bytes they read
     named = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = materialize(named, "simhash-roots")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
