@@ -44,6 +44,8 @@ def _nth(df: DataFrame, order: list[Column], name: str = "nth", keys: list[str]
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    # read twice below, and another run could draw other ranges: one result is kept
+    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
     within = ranged.withColumn(name, F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     sizes = within.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__range") < F.col("a.__range"), "left").groupBy("a.__range").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))

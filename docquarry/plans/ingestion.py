@@ -10,8 +10,9 @@ from docquarry.operators import ingest, sessions, web
 from docquarry.plans.passages import docs
 from docquarry.plans.registry import query
 
-_SNAPSHOT = """n AS (SELECT o_orderkey AS id, sha256(o_orderstatus || '|' || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE o_orderpriority END) AS signature FROM orders WHERE o_orderkey % 5 <> 0),
- m AS (SELECT o_orderkey AS id, sha256(o_orderstatus || '|' || o_orderpriority) AS signature, 'f' || o_orderkey || '.md' AS output_file, o_orderkey % 13 <> 0 AS output_exists FROM orders WHERE o_orderkey % 7 <> 0),
+# two states of the orders as files: a later listing with dear urgent ones and without low ones, an earlier manifest without finished ones
+_SNAPSHOT = """n AS (SELECT o_orderkey AS id, sha256(o_orderstatus || '|' || CASE WHEN o_totalprice > 300000 THEN 'x' ELSE o_orderpriority END) AS signature FROM orders WHERE o_orderpriority NOT LIKE '5%'),
+ m AS (SELECT o_orderkey AS id, sha256(o_orderstatus || '|' || o_orderpriority) AS signature, 'f' || o_orderkey || '.md' AS output_file, o_totalprice > 50000 AS output_exists FROM orders WHERE o_orderstatus <> 'F'),
  d AS (SELECT coalesce(n.id, m.id) AS id, CASE WHEN n.id IS NULL THEN 'deleted' WHEN m.id IS NULL THEN 'new' WHEN n.signature = m.signature AND output_exists THEN 'cached' ELSE 'changed' END AS status, output_file
    FROM n FULL JOIN m ON n.id = m.id)"""
 
@@ -19,9 +20,9 @@ _SNAPSHOT = """n AS (SELECT o_orderkey AS id, sha256(o_orderstatus || '|' || CAS
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     sign = lambda p: F.sha2(F.concat_ws("|", "o_orderstatus", p), 256).alias("signature")
-    key = F.col("o_orderkey")
-    listing = orders.where(key % 5 != 0).select(key.alias("id"), sign(F.when(key % 11 == 0, F.lit("x")).otherwise(F.col("o_orderpriority"))))
-    manifest = orders.where(key % 7 != 0).select(key.alias("id"), sign(F.col("o_orderpriority")), F.concat(F.lit("f"), key, F.lit(".md")).alias("output_file"), (key % 13 != 0).alias("output_exists"))
+    key = F.col("o_orderkey").alias("id")
+    listing = orders.where("o_orderpriority NOT LIKE '5%'").select(key, sign(F.when(F.col("o_totalprice") > 300000, F.lit("x")).otherwise(F.col("o_orderpriority"))))
+    manifest = orders.where("o_orderstatus <> 'F'").select(key, sign(F.col("o_orderpriority")), F.concat(F.lit("f"), "o_orderkey", F.lit(".md")).alias("output_file"), (F.col("o_totalprice") > 50000).alias("output_exists"))
     return listing, manifest
 
 
@@ -35,13 +36,13 @@ def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.import_counters(ingest.snapshot_diff(*snapshots(spark, sf_dir)))
 
 
-@query("""WITH u AS (SELECT p_partkey AS number FROM part WHERE p_partkey % 3 = 0), w AS (SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM part WHERE p_partkey % 5 = 0),
+@query("""WITH u AS (SELECT p_partkey AS number FROM part WHERE p_size <= 15), w AS (SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM part),
  f AS (SELECT i AS number, row_number() OVER (ORDER BY i) AS n FROM range(1, (SELECT count(*) FROM w) + (SELECT count(*) FROM u) + 1) t(i) WHERE i NOT IN (SELECT number FROM u))
  SELECT p_partkey, number FROM w JOIN f USING (n)""")
 def number_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    used = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("number"))
-    return ingest.allocate_numbers(part.where("p_partkey % 5 = 0").select("p_partkey", "p_name"), used, ["p_name", "p_partkey"]).select("p_partkey", "number")
+    used = part.where("p_size <= 15").select(F.col("p_partkey").alias("number"))
+    return ingest.allocate_numbers(part.select("p_partkey", "p_name"), used, ["p_name", "p_partkey"]).select("p_partkey", "number")
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, 's' || c_nationkey AS safe_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
