@@ -3,7 +3,8 @@
 In each of several tables a random orthonormal projection takes a unit vector to eight dimensions, where it is decoded
 to the nearest point of the E8 lattice. A vector is stored at its own point and looks into the points next to it. Within
 a cell the tasks compare vectors by their exact cosine in double precision. A linked pair is counted in one cell only, the
-first of those where it meets, so links are counted without ever being written out as pairs.
+first of those where it meets, so links are counted without ever being written out as pairs. For the components each linked
+vector writes one row with the root of its links within the cell, a spanning forest of the pairs counted there.
 """
 
 from __future__ import annotations
@@ -107,9 +108,24 @@ def _first_meeting(lattice: Lattice, unit: np.ndarray, a: np.ndarray, b: np.ndar
     return out
 
 
+def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n members the smallest member that the links a-b reach from it."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        now = root.copy()
+        np.minimum.at(now, x, low)
+        np.minimum.at(now, y, low)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
 def _compared(dim: int, tables: int, probes: int, scale: float, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, names = Lattice(dim, tables, probes, scale), ["cid", "links", "least"]
+        lattice, names = Lattice(dim, tables, probes, scale), ["cid", "links", "root"]
 
         def group(part: pa.Table) -> pa.RecordBatch | None:
             owner = part["owner"].to_numpy()
@@ -141,11 +157,9 @@ def _compared(dim: int, tables: int, probes: int, scale: float, cosine: float):
             mine = _first_meeting(lattice, unit[some], place[: len(a)], place[len(a) :]) == cell
             a, b = a[mine], b[mine]
             links = np.bincount(a, copies[b], len(cid)) + np.bincount(b, copies[a], len(cid))
-            least = cid.copy()
-            np.minimum.at(least, a, cid[b])
-            np.minimum.at(least, b, cid[a])
+            root = cid[_local_roots(len(cid), a, b)]
             hit = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit].astype(np.int64)), pa.array(least[hit])], names)
+            return pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], names)
 
         held: list[pa.RecordBatch] = []
 
@@ -212,9 +226,9 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = dealt.select("cell", "owner", "cid", "copies", "vec", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = dealt.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = materialize(blocks.mapInArrow(_compared(dim, tables, probes, scale, cosine), "cid long, links long, least long"), "vector-links")
+    found = materialize(blocks.mapInArrow(_compared(dim, tables, probes, scale, cosine), "cid long, links long, root long"), "vector-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.where("least <> cid").select("cid", "least").distinct(), "cid", "least")
+    groups = connected_components(found.where("root <> cid").select("cid", "root").distinct(), "cid", "root")
     named = classes.select("cid", "digest", "least_id", "copies").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     named = materialize(named.withColumn("root", F.coalesce("component", "cid")), "vector-roots")
     names = named.groupBy("root").agg(F.min("least_id").alias("component"))

@@ -212,6 +212,33 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     assert np.mean([got[k]["component_id"] == want[k] for k in ok]) >= 0.95
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_every_embedding_link_joins_its_component(spark, monkeypatch, block):
+    draw = np.random.default_rng(7)
+
+    def at(base, cosine, n):
+        away = np.linalg.qr(np.column_stack([base, draw.normal(size=(64, n))]))[0][:, 1:].T
+        return [(cosine * base + (1 - cosine**2) ** 0.5 * v).tolist() for v in away]
+
+    bases = [v / np.linalg.norm(v) for v in draw.normal(size=(12, 64))]
+    groups = [[*at(b, 0.972, 2 if k % 2 else 14), b.tolist()] for k, b in enumerate(bases)]  # leaves are 0.945 alike, the base comes last
+    vectors = [v for g in groups for v in g]
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    data = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").coalesce(1)
+    got = {r["vec"]: r for r in embedding_dedup.embedding_components(data).collect()}
+    m = np.array(vectors)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    pairs = [(int(a), int(b)) for a, b in np.argwhere(m @ m.T >= 0.95) if a != b]
+    full = Counter(a for a, _ in pairs)
+    want = components(range(len(vectors)), pairs)
+    met = {want[k] for k in want} - {want[k] for k in want if got[k]["n_links"] != full[k]}  # groups all of whose links were found
+    assert len(met) >= 6
+    for k, root in want.items():
+        if root in met:
+            assert got[k]["component_id"] == root and got[k]["kept"] == (k == root)
+    assert all(got[k]["component_id"] != k or any(got[j]["component_id"] == k for j in got if j != k) for k in got if got[k]["n_links"])
+
+
 def plain_removal(data, span=200):
     seen, bodies = Counter(), [(d, (t or "").encode()) for d, t in data]
     for _, b in bodies:
