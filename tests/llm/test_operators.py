@@ -322,3 +322,48 @@ def test_near_passages(spark):
     for r in got:
         x, y = texts[r["doc"]][r["start"] : r["stop"]], texts[r["other"]][r["other_start"] : r["other_stop"]]
         assert min(len(x), len(y)) >= 50 and similarity(x, y) == pytest.approx(r["similarity"]) and r["similarity"] >= 0.8
+
+
+def test_edited_passages_against_brute_force():
+    draw = np.random.default_rng(5)
+    word = lambda n: [f"w{v}" for v in draw.integers(0, 10**9, n)]
+    tried = 0
+    for n in [*range(50, 96), 55, 55, 400, 400]:
+        for edits in (1, 2, n // 60 + 1):
+            one = word(n)
+            two = list(one)
+            for k in draw.choice(n, edits, replace=False):
+                two[k] = "edited"
+            if similarity(one, two) < 0.8:
+                continue
+            tried += 1
+            left, right = [*word(draw.integers(0, 60)), *one, *word(draw.integers(0, 60))], [*word(draw.integers(0, 60)), *two, *word(draw.integers(0, 60))]
+            got = substring_dedup.similar_passages(*(substring_dedup.shingles(" ".join(v).encode()) for v in (left, right)))
+            assert got, (n, edits)
+            for a, b, c, d, alike in got:
+                assert b - a >= 46 and d - c >= 46 and alike >= 0.8 and similarity(left[a : b + 4], right[c : d + 4]) == pytest.approx(alike)
+    assert tried > 80
+
+
+def test_segments_against_all_segments():
+    draw = np.random.default_rng(9)
+    for n, share in ((30, 0.9), (60, 0.93), (120, 0.9), (200, 0.85)):
+        for _ in range(40):
+            hit = draw.random(n) < share
+            total = np.concatenate(([0], np.cumsum(np.where(hit, 1, -8))))
+            whole = [y - x for x in range(n) for y in range(x + 10, n + 1) if total[y] >= total[x]]
+            ended = [y - x for x in range(n) for y in range(x + 10, n + 1) if total[y] >= total[x] and hit[x] and hit[y - 1]]
+            got = substring_dedup.best_segments(hit, 10)
+            assert bool(got) == bool(whole) and max([y - x for x, y in got], default=0) == max(ended, default=10 if whole else 0)
+            assert all(total[y] >= total[x] for x, y in got)
+
+
+def test_passages_over_a_cut(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_TREE", 300)
+    monkeypatch.setattr(substring_dedup, "_OVERLAP", 120)
+    draw = np.random.default_rng(2)
+    word = lambda n: [f"w{v}" for v in draw.integers(0, 10**9, n)]
+    passage = word(60)
+    batch = [" ".join([*word(270), *passage, *word(200)]), " ".join([*word(20), *passage, *word(20)])]
+    got = substring_dedup.near_passages(spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["other_start"], r["other_stop"], r["start"], r["stop"]) for r in got] == [(270, 330, 20, 80)]
