@@ -105,6 +105,12 @@ def in_mixed_order(df: DataFrame, weights: dict[str | None, float] | None = None
     return mixed.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
+def with_turns(df: DataFrame, turn: str, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """df and, in a column named turn, each row's place in the mixed order: whole numbers, no two alike, with gaps."""
+    mixed = mix_sources(df, weights, id_col, source_col)
+    return mixed.select("row.*", (F.col("slot") * BLOCK_ROWS + F.col("place")).alias(turn))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return mix_sources(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "place", "on_target")

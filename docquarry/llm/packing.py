@@ -24,6 +24,8 @@ from docquarry.llm.common import materialize, small_batches
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
 REMEMBERED, GROUP_ROWS = 800_000, 20_000
+#: Stretches of an order that are packed one after another: at most so many, of about so many sequences or more.
+STRETCHES, STRETCH_SEQUENCES = 32, 64
 
 
 _STOP = re.compile(r"(?<=[a-z])([.,])").sub
@@ -78,8 +80,8 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, forms)) for forms in split]
 
 
-def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc, piece, start, length, ids_crc32 of each piece: a document's ids and the end id, cut only where they exceed length."""
+def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, turn_col: str | None = None) -> DataFrame:
+    """doc, turn, piece, start, length, ids_crc32 of each piece (turn is 0 without turn_col): a document's ids and the end id, cut only where they exceed length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds.of(vocabulary)
@@ -95,11 +97,11 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                         owner.append(n)
                         out.append((p, at // 4, len(piece) // 4, zlib.crc32(piece)))
                 columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc"].take(pa.array(owner)), *columns], ["doc", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(owner)) for c in ("doc", "turn")), *columns], ["doc", "turn", "piece", "start", "length", "ids_crc32"])
 
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
-    return rows.mapInArrow(cut, f"doc {dict(rows.dtypes)['doc']}, piece int, start long, length long, ids_crc32 long")
+    rows = df.select(F.col(id_col).alias("doc"), (F.col(turn_col) if turn_col else F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+    return rows.mapInArrow(cut, f"doc {dict(rows.dtypes)['doc']}, turn long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(have: np.ndarray, length: int, near: int = 3) -> list[tuple[int, ...]]:
@@ -194,30 +196,48 @@ def places(planned: list, bins: int) -> dict[str, np.ndarray]:
     return dict(zip(("key", "first", "times", "sequence", "offset", "size"), np.array(rows, np.int64).reshape(-1, 6).T, strict=True))
 
 
-def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, turn_col: str | None = None) -> DataFrame:
     """doc, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row.
 
+    turn_col names each row's place (0 or more, no two alike) in an order that the sequences are to follow: it is
+    cut into up to STRETCHES stretches, which are packed one after another, and within a stretch the pieces of a length are taken in order.
+
     A null or empty text is one piece that holds the end id alone. Rows that repeat an identifier are packed one by
     one. Every sequence is filled without gaps from offset 0. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    cut = materialize(pieces(df, vocabulary, id_col, text_col, length), "pieces")
-    counts = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most length rows
-    have = np.zeros(length + 1, np.int64)
+    cut = materialize(pieces(df, vocabulary, id_col, text_col, length, turn_col), "pieces")
+    seen = cut.agg(F.sum("length").alias("tokens"), F.max("turn").alias("last")).first()
+    parts = max(1, min(STRETCHES, (seen["tokens"] or 0) // (length * STRETCH_SEQUENCES))) if turn_col else 1
+    cut = cut.withColumn("part", F.floor(F.col("turn") * parts / ((seen["last"] or 0) + 1)).cast("long"))
+    counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most parts * length rows
+    have = np.zeros((parts, length + 1), np.int64)
     for r in counts:
-        have[r["length"]] = r["n"]
-    sent = spark.sparkContext.broadcast(places(plan(have, length), length + 1))  # a few entries for each length
-    groups = spark.createDataFrame([(r["length"], -(-r["n"] // GROUP_ROWS)) for r in counts], "length long, groups long")
-    dealt = cut.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.col("groups")))
-    sizes = dealt.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("length", "grp", (F.sum("size").over(Window.partitionBy("length").orderBy("grp")) - F.col("size")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("length", "grp").orderBy("doc", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("rn", number).join(before, ["length", "grp"]).select("doc", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rn")).alias("nth"))
+        have[r["part"], r["length"]] = r["n"]
+    found, sequences = [], 0
+    for k in range(parts):
+        planned = plan(have[k], length)
+        here = places(planned, length + 1)
+        here["key"] += k * (length + 1) << 44
+        here["sequence"] += sequences
+        sequences += sum(n for _, n in planned)
+        found.append(here)
+    sent = spark.sparkContext.broadcast({c: np.concatenate([h[c] for h in found]) for c in found[0]})  # a few entries for each part and length
+    if turn_col:
+        dealt = cut.withColumn("grp", F.floor(F.col("turn") / GROUP_ROWS))
+    else:
+        groups = spark.createDataFrame([(r["length"], -(-r["n"] // GROUP_ROWS)) for r in counts], "length long, groups long")
+        dealt = cut.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.col("groups")))
+    keys = ["part", "length", "grp"]
+    sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select(*keys, (F.sum("size").over(Window.partitionBy("part", "length").orderBy("grp")) - F.col("size")).alias("before"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "doc", "piece", "ids_crc32")) - 1
+    ranked = dealt.withColumn("rn", number).join(before, keys).select("doc", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rn")).alias("nth"), "part")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = sent.value
         for b in batches:
-            size, nth = b["length"].to_numpy(), b["nth"].to_numpy()
+            size, nth = b["length"].to_numpy() + b["part"].to_numpy() * (length + 1), b["nth"].to_numpy()
             k = np.searchsorted(at["key"], (size << 44) | nth, "right") - 1
             step = nth - at["first"][k]
             found = at["sequence"][k] + step // at["times"][k], at["offset"][k] + step % at["times"][k] * at["size"][k]
