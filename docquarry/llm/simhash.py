@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docquarry.llm.common import connected_components, materialize, small_batches
 
@@ -71,6 +72,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     identifier come out once each. Equal fingerprints are one node however many rows share them. A null identifier is
     never a component's name unless the component has no other. An empty table gives an empty result.
     """
+    return _rooted(df, id_col, text_col).select("doc", "fp", "component_id")
+
+
+def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, fp, root (one fingerprint of the component), component_id for each row."""
     rows = materialize(fingerprints(df, id_col, text_col), "simhash")
     prints = rows.groupBy("fp").agg(F.min("doc").alias("least"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -78,17 +84,30 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = materialize(named, "simhash-roots")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(names, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select("doc", "fp", "component_id")
+    by_print = named.join(names, "root").select("fp", "root", "component_id")
+    return rows.join(by_print, "fp").select("doc", "fp", "root", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component, the one that names it. Rows that repeat an identifier are one document: one stays."""
-    found = materialize(simhash_components(df, id_col, text_col), "near")
-    stay = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("doc").count()
-    stay = materialize(stay.select(F.col("doc").alias("__dq_doc"), F.col("count").alias("__dq_n")), "near-kept")
-    left = df.join(stay.hint("merge"), df[id_col].eqNullSafe(stay["__dq_doc"]), "left_semi")
-    return left.dropDuplicates([id_col]) if stay.where("__dq_n > 1").limit(1).count() else left
+    """df with one row of each component: the one that names it, and of several such rows one with the smallest fingerprint.
+
+    Rows are judged one by one: different texts under one identifier, or under none, stay apart.
+    """
+    found = materialize(_rooted(df, id_col, text_col), "near")
+    stay = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "doc")).alias("one"))
+    stay = materialize(stay.select(F.col("one.doc").alias("__dq_doc"), F.col("one.fp").alias("__dq_of")), "near-kept")
+    if not found.groupBy("doc").count().where("count > 1").limit(1).count():
+        return df.join(stay.hint("merge"), df[id_col].eqNullSafe(stay["__dq_doc"]), "left_semi")
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.fromiter((fingerprint(x.as_py()) for x in b["__dq_body"]), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints.view(np.int64))], [*b.schema.names[:-1], "__dq_fp"])
+
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__dq_body")
+    own = df.select("*", body).mapInArrow(printed, StructType([*df.schema.fields, StructField("__dq_fp", LongType())]))
+    left = own.join(stay.hint("merge"), own[id_col].eqNullSafe(stay["__dq_doc"]) & (own["__dq_fp"] == stay["__dq_of"]), "left_semi")
+    return left.dropDuplicates([id_col, "__dq_fp"]).drop("__dq_fp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

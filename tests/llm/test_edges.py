@@ -76,3 +76,10 @@ def test_stages_keep_the_columns(spark, odd, small, name):
     for rows in (odd, odd.limit(0)):
         assert stage(spark, rows, small).columns == odd.columns
     assert stage(spark, odd.limit(0), small).count() == 0
+
+
+def test_near_copies_are_judged_by_row(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(60)) for c in "abcd")
+    data = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, four), (3, two)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, three), (0, four), (1, one), (1, two)]
