@@ -38,7 +38,7 @@ class _Bins(dict):
             self.clear()
         text = form.decode("utf-8", "replace")
         letters = "".join(_SHAPE.findall(text))
-        rest = _SHAPE.sub("a", text[:24])
+        rest = _SHAPE.sub("a", text)
         case = "u" if len(letters) > 1 and letters.isupper() else "t" if letters[:1].isupper() else "l"
         core = zlib.crc32(letters.lower().encode()) % (BINS - 2)
         shape = zlib.crc32(f"\0{case}{rest}{len(letters) // 12}".encode()) % (BINS - 2)
@@ -75,30 +75,42 @@ def _bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index, bins = index_vectors(), _Bins()
+def context_sums(texts: Iterator[np.ndarray]) -> np.ndarray:
+    """Sums of the index vectors that stand within 2 * REACH places of each bin, in whole numbers. Contexts end with their text.
+
+    Texts are worked on in a row, with a wall of empty places behind each that is as wide as a context reaches.
+    """
+    index, reach = index_vectors(), 2 * REACH
     at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]  # where each bin's non-zero entries stand
     sign = np.take_along_axis(index, at, 1).astype(np.float64)
-    total = np.zeros(BINS * DIMS, np.int64)
-
-    def add(seq: np.ndarray) -> None:
-        for step in range(1, REACH * 2 + 1):
-            for here, near in ((seq[step:], seq[:-step]), (seq[:-step], seq[step:])):
-                for k in range(NONZERO):
-                    total[:] += np.bincount(here.astype(np.int64) * DIMS + at[near, k], sign[near, k], BINS * DIMS).astype(np.int64)
-
-    gap = np.full(0, 0, np.int32)
-    held, size = [gap], 0
-    for batch in batches:
-        for body in batch["body"]:
-            held.append(tokens(body, bins))
-            size += len(held[-1])
-            if size > 300_000:
-                for part in np.array_split(np.concatenate(held), max(1, size // 600_000)):
-                    add(part)
-                held, size = [gap], 0
+    at, sign = np.vstack([at, at[:1]]), np.vstack([sign, np.zeros((1, NONZERO))])  # the bin of the wall adds nothing
+    total = np.zeros((BINS + 1) * DIMS, np.int64)
+    wall = np.full(reach, BINS, np.int32)
+
+    def add(row: np.ndarray) -> None:
+        for low in range(0, len(row), 600_000):
+            high = min(len(row), low + 600_000)
+            for step in range(1, reach + 1):
+                left, right = row[low : min(high, len(row) - step)], row[low + step : min(high, len(row) - step) + step]
+                for here, near in ((right, left), (left, right)):
+                    for k in range(NONZERO):
+                        total[:] += np.bincount(here.astype(np.int64) * DIMS + at[near, k], sign[near, k], len(total)).astype(np.int64)
+
+    held, size = [], 0
+    for seq in texts:
+        held += [seq, wall]
+        size += len(seq) + reach
+        if size > 300_000:
+            add(np.concatenate(held))
+            held, size = [], 0
     if size:
         add(np.concatenate(held))
+    return total[: BINS * DIMS]
+
+
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bins = _Bins()
+    total = context_sums(tokens(body, bins) for batch in batches for body in batch["body"])
     yield pd.DataFrame({"sums": [total.tobytes()]})
 
 
@@ -194,7 +206,8 @@ def fit_network(table: np.ndarray, x: np.ndarray, y: np.ndarray, calibrate: np.n
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> QualityModel:
     """Word vectors from all of df, network from at most fit_rows labelled rows, chosen by a hash of the identifier.
 
-    Rows with a null identifier or label teach nothing; an identifier with several labels takes the largest.
+    Rows with a null identifier or label teach nothing; an identifier with several labels takes the largest. Of rows
+    that repeat an identifier each may teach, but fit_rows bounds the rows that reach the driver, whatever repeats.
     Without labelled rows every score is the same one half.
     """
     context = context_vectors(df, id_col, text_col)
@@ -211,7 +224,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"doc": batch["doc"], "label": batch["label"], "x": rows})
 
     taught = _bodies(df, id_col, text_col).join(F.broadcast(ids), F.col("doc") == F.col("known")).select("doc", "label", "body")
-    rows = taught.mapInPandas(pooled, "doc long, label long, x binary").toPandas()
+    few = taught.mapInPandas(pooled, "doc long, label long, x binary").orderBy(F.xxhash64("doc"), "doc", F.xxhash64("x"), "x").limit(fit_rows)
+    rows = few.toPandas()
     if rows.empty or rows["label"].nunique() < 2:
         same = 0.0 if rows.empty else 4.0 if rows["label"].iloc[0] >= 1 else -4.0
         return QualityModel(table, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), same)

@@ -91,18 +91,61 @@ def test_quality_on_held_out_documents(spark):
 
 
 def test_context_vectors_count_whole_numbers(spark):
-    data = [(1, "red fox red"), (2, "fox")]
+    data = [(1, "red fox red"), (2, "fox"), (3, ""), (4, None), (5, "a b c d e f g " * 9)]
     bins, index = quality._Bins(), quality.index_vectors().astype(int)
     want = np.zeros((quality.BINS, quality.DIMS), int)
-    line = np.concatenate([quality.tokens(t.encode(), bins) for _, t in data])
-    for i, here in enumerate(line):
-        for step in range(1, 2 * quality.REACH + 1):
-            for j in (i - step, i + step):
-                if 0 <= j < len(line):
-                    want[here] += index[line[j]]
-    got = quality.context_vectors(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    for _, text in data:
+        line = quality.tokens((text or "").encode(), bins)
+        for i, here in enumerate(line):
+            for step in range(1, 2 * quality.REACH + 1):
+                for j in (i - step, i + step):
+                    if 0 <= j < len(line):
+                        want[here] += index[line[j]]
     norm = np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1)
-    assert np.allclose(got, want / norm)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for layout in (df.coalesce(1), df.repartition(5)):  # texts are apart, so the layout of the table makes no difference
+        assert (quality.context_vectors(layout, "doc_id", "text") == want / norm).all()
+
+
+def test_scores_do_not_depend_on_the_layout(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality")
+    got = []
+    for layout in (docs.coalesce(1), docs.repartition(7)):
+        model = quality.fit(layout, labels)
+        got.append({r["doc"]: r["score"] for r in quality.score(layout, model).collect()})
+    assert got[0] == got[1] and len(got[0]) == docs.count()
+    bins = quality._Bins()
+    for doc, text in docs.limit(40).collect():  # the score by hand: mean vector, two layers, temperature
+        seq = quality.tokens((text or "").encode(), bins)
+        x = np.append(sum((model.table[b] for b in seq), np.zeros(model.table.shape[1])) / max(1, len(seq)), np.log1p(len(seq)))
+        z = (x - model.centre) / model.spread * len(seq) / (len(seq) + quality.DOUBT)
+        logit = sum(np.tanh(z @ model.w1[:, h] + model.b1[h]) * model.w2[h] for h in range(len(model.w2))) + model.b2
+        assert got[0][doc] == pytest.approx(1 / (1 + np.exp(-logit / model.temperature)), abs=1e-9)
+
+
+def test_a_fit_takes_no_more_rows_than_its_bound(spark, monkeypatch):
+    rows = [(1, f"good text number {k}") for k in range(3000)] + [(k, "bad spam") for k in range(2, 60)]
+    seen = []
+    monkeypatch.setattr(quality, "fit_network", lambda table, x, y, part: seen.append(len(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 60)], "doc_id long, quality int")
+    quality.fit(df, labels, fit_rows=50)
+    quality.fit(df, labels, fit_rows=40)
+    assert all(n <= 50 for n in seen)
+
+
+def test_network_and_temperature():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(9000, 6))
+    x[:, -1] = np.log1p(draw.integers(20, 400, len(x)))
+    y = ((x[:, 0] * x[:, 1] + 0.3 * draw.normal(size=len(x))) > 0).astype(float)  # no single layer separates these
+    part = np.arange(len(x)) % 3 == 0
+    model = quality.fit_network(np.zeros((1, 5)), x, y, part)
+    assert np.mean((model.probability(x[part]) >= 0.5) == y[part]) > 0.8
+    logits = model.logits(x[part])
+    plain = lambda t: -np.mean([np.log(1 / (1 + np.exp(-v / t))) if want else np.log(1 - 1 / (1 + np.exp(-v / t))) for v, want in zip(logits, y[part], strict=True)])
+    assert plain(model.temperature) <= min(plain(t) for t in (0.3, 0.5, 0.8, 1.0, 1.3, 2.0, 4.0)) + 1e-3
 
 
 def test_pfair_keeps_within_one_block():
