@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import connected_components, materialize
 
 COSINE, TABLES, PROBES, SCALE, SEED = 0.95, 4, 8, 0.17, 20_231
-#: Members of a cell that one task compares at once; larger cells are cut into blocks and compared block by block.
-BLOCK = 1024
+#: Bytes of vectors that one block of a cell holds; larger cells are cut into blocks, and two blocks at a time are compared.
+BLOCK_BYTES = 4 << 20
+#: Pairs of a block that are looked at together.
+_STRIP = 1 << 20
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -51,9 +53,9 @@ def e8_roots() -> np.ndarray:
     return np.concatenate([whole, half])
 
 
-def _cell(table: np.ndarray, points: np.ndarray) -> np.ndarray:
+def _cell(table: int, points: np.ndarray) -> np.ndarray:
     """A 64-bit name of a table's lattice points (twice their coordinates are whole numbers)."""
-    name = np.full(points.shape[:-1], 0x9E3779B97F4A7C15, np.uint64) * (np.asarray(table, np.uint64) + np.uint64(1))
+    name = np.full(points.shape[:-1], 0x9E3779B97F4A7C15 * (table + 1) % 2**64, np.uint64)
     for k in range(8):
         name = (name ^ (2 * points[..., k]).astype(np.int64).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         name ^= name >> np.uint64(32)
@@ -82,20 +84,21 @@ class Lattice:
         return np.stack(own, 1), np.stack(near, 1)
 
 
-def _unit(column, dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _unit(column, size: int) -> np.ndarray:
+    """Unit vectors of a column of packed vectors of size components, scaled first so that no square overflows or vanishes."""
+    v = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+    v = v / np.abs(v).max(1, keepdims=True)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         body = [np.array(v, np.float64).tobytes() for v in b["vec"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(body, pa.binary())], ["cid", "copies", "salt", "vec"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(body, pa.binary())], ["cid", "copies", "salt", "size", "vec"])
 
 
-def _first_meeting(lattice: Lattice, unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _first_meeting(own: np.ndarray, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The cell in which each linked pair is counted: of the first table where it meets, the smallest common cell."""
-    own, near = lattice.cells(unit)
     out, open_ = np.zeros(len(a), np.int64), np.ones(len(a), bool)
     for t in range(own.shape[1]):
         x, y = own[a, t], own[b, t]
@@ -108,58 +111,63 @@ def _first_meeting(lattice: Lattice, unit: np.ndarray, a: np.ndarray, b: np.ndar
     return out
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n members the smallest member that the links a-b reach from it."""
-    root = np.arange(n)
+def _local_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each member the smallest member that the links behind root and the links a-b reach from it."""
     while True:
         x, y = root[a], root[b]
         low = np.minimum(x, y)
         now = root.copy()
-        np.minimum.at(now, x, low)
-        np.minimum.at(now, y, low)
-        now = now[now]
+        for at in (x, y, a, b):
+            np.minimum.at(now, at, low)
+        while (now[now] != now).any():
+            now = now[now]
         if (now == root).all():
             return root
         root = now
 
 
-def _compared(dim: int, tables: int, probes: int, scale: float, cosine: float):
+_MEMBER = ["cell", "size", "owner", "cid", "copies", "salt", "vec"]
+
+
+def _compared(tables: int, probes: int, scale: float, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, names = Lattice(dim, tables, probes, scale), ["cid", "links", "root"]
+        lattices: dict[int, Lattice] = {}
+        names = ["cid", "links", "root"]
 
         def group(part: pa.Table) -> pa.RecordBatch | None:
             owner = part["owner"].to_numpy()
             if len(owner) < 2 or not owner.any():
                 return None
-            cell, i, j = part["cell"][0].as_py(), part["i"][0].as_py(), part["j"][0].as_py()
-            unit, block = _unit(part["vec"], dim), part["block"].to_numpy()
+            cell, size, i, j = (part[c][0].as_py() for c in ("cell", "size", "i", "j"))
+            unit, block = _unit(part["vec"], size), part["block"].to_numpy()
             cid, copies = part["cid"].to_numpy(), part["copies"].to_numpy()
             left = np.flatnonzero(block == i) if i != j else np.arange(len(cid))
             right = np.flatnonzero(block == j) if i != j else left
             if not len(left) or not len(right):
                 return None
-            found = []
-            for k in range(0, len(left), 512):
-                rows = left[k : k + 512]
+            lattice = lattices.setdefault(size, Lattice(size, tables, probes, scale))
+            links, root, cells = np.zeros(len(cid), np.int64), np.arange(len(cid)), None
+            strip = max(1, _STRIP // len(right))
+            for k in range(0, len(left), strip):
+                rows = left[k : k + strip]
                 near = np.argwhere(unit[rows] @ unit[right].T >= cosine - 1e-9)
-                found.append(np.stack([rows[near[:, 0]], right[near[:, 1]]], 1))
-            pairs = np.concatenate(found)
-            pairs = pairs[cid[pairs[:, 0]] < cid[pairs[:, 1]]] if i == j else pairs
-            pairs = pairs[owner[pairs].any(1)]
-            if not len(pairs):
-                return None
-            a, b = pairs.T
-            sure = np.concatenate([(unit[a[k : k + 65536]] * unit[b[k : k + 65536]]).sum(1) for k in range(0, len(a), 65536)]) >= cosine
-            a, b = a[sure], b[sure]
-            some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            if not len(some):
-                return None
-            mine = _first_meeting(lattice, unit[some], place[: len(a)], place[len(a) :]) == cell
-            a, b = a[mine], b[mine]
-            links = np.bincount(a, copies[b], len(cid)) + np.bincount(b, copies[a], len(cid))
-            root = cid[_local_roots(len(cid), a, b)]
+                a, b = rows[near[:, 0]], right[near[:, 1]]
+                open_ = owner[a] | owner[b]
+                if i == j:
+                    open_ &= cid[a] < cid[b]
+                a, b = a[open_], b[open_]
+                sure = [np.zeros(0, bool), *((unit[a[m : m + 65536]] * unit[b[m : m + 65536]]).sum(1) >= cosine for m in range(0, len(a), 65536))]
+                sure = np.concatenate(sure)
+                a, b = a[sure], b[sure]
+                if not len(a):
+                    continue
+                cells = cells or lattice.cells(unit)
+                mine = _first_meeting(*cells, a, b) == cell
+                a, b = a[mine], b[mine]
+                links += np.bincount(a, copies[b], len(cid)).astype(np.int64) + np.bincount(b, copies[a], len(cid)).astype(np.int64)
+                root = _local_roots(root, a, b)
             hit = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], names)
+            return pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit]), pa.array(cid[root[hit]])], names)
 
         held: list[pa.RecordBatch] = []
 
@@ -172,7 +180,7 @@ def _compared(dim: int, tables: int, probes: int, scale: float, cosine: float):
 
         last = None
         for batch in batches:
-            keys = np.stack([batch[n].to_numpy().astype(np.int64) for n in ("cell", "i", "j")], 1)
+            keys = np.stack([batch[n].to_numpy().astype(np.int64) for n in ("cell", "size", "i", "j")], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for x, y in itertools.pairwise(cuts):
                 if x < y:
@@ -190,15 +198,14 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     """vec, n_links, component_id, kept for each row of df.
 
     n_links counts the other rows linked directly, equal vectors included; component_id is the smallest identifier
-    reachable. A null, zero or empty vector, one with a null or non-finite component, and one that is shorter than the
-    longest vector of df links with nothing. Rows that repeat an identifier are rows like others. Equal vectors are one
-    class, compared once. An empty table gives an empty result.
+    reachable. A null, zero or empty vector and one with a null or non-finite component link with nothing; vectors of
+    different lengths do not link, and each length is a space of its own. Rows that repeat an identifier are rows like
+    others. Equal vectors are one class, compared once. An empty table gives an empty result.
     """
     spark = df.sparkSession
     vector = F.col("raw").cast("array<double>")
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("raw")).withColumn("vec", vector)
-    dim = rows.agg(F.max(F.size("vec"))).first()[0] or 0
-    good = F.coalesce((F.size("vec") == max(dim, 1)) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
+    good = F.coalesce((F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.select("vec_id", F.when(good, F.col("vec")).alias("vec")), "vectors")
     digest = F.sha2(F.to_binary(F.to_json(F.struct("vec")), F.lit("utf-8")), 256)
     rows = rows.withColumn("digest", F.when(F.col("vec").isNotNull(), digest))
@@ -206,27 +213,35 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
 
     def membership(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(dim, tables, probes, scale)
+        lattices: dict[int, Lattice] = {}
         for b in batches:
-            for k in range(0, len(b), 512):
-                part = b.slice(k, 512)
-                own, near = lattice.cells(_unit(part["vec"], dim))
-                each = own.shape[1] * (1 + near.shape[2])
-                cell = np.concatenate([own[:, :, None], near], 2).reshape(len(part), each)
-                role = np.tile(np.arange(1 + near.shape[2]) == 0, own.shape[1])
-                index = pa.array(np.repeat(np.arange(len(part)), each))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.tile(role, len(part))), *(part[n].take(index) for n in ("cid", "copies", "salt", "vec"))], ["cell", "owner", "cid", "copies", "salt", "vec"])
-
-    slim = classes.select("cid", "copies", F.xxhash64("cid").alias("salt"), "vec").mapInArrow(_packed, "cid long, copies long, salt long, vec binary")
-    members = slim.mapInArrow(membership, "cell long, owner boolean, cid long, copies long, salt long, vec binary") if dim else slim.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("owner"), "*")
-    large = materialize(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks")), "large-cells")
-    dealt = members.join(large, "cell", "left").withColumn("block", F.coalesce(F.pmod("salt", "blocks"), F.lit(0)).cast("int"))
+            sizes = b["size"].to_numpy()
+            for size in np.unique(sizes).tolist():
+                lattice = lattices.setdefault(size, Lattice(size, tables, probes, scale))
+                alike = np.flatnonzero(sizes == size)
+                for k in range(0, len(alike), 512):
+                    part = b.take(pa.array(alike[k : k + 512]))
+                    own, near = lattice.cells(_unit(part["vec"], size))
+                    each = own.shape[1] * (1 + near.shape[2])
+                    cell = np.concatenate([own[:, :, None], near], 2).reshape(len(part), each)
+                    role = np.tile(np.arange(1 + near.shape[2]) == 0, own.shape[1])
+                    index = pa.array(np.repeat(np.arange(len(part)), each))
+                    columns = {n: part[n].take(index) for n in ("size", "cid", "copies", "salt", "vec")} | {"cell": pa.array(cell.ravel()), "owner": pa.array(np.tile(role, len(part)))}
+                    yield pa.RecordBatch.from_arrays([columns[n] for n in _MEMBER], _MEMBER)
+
+    layout = "cid long, copies long, salt long, size int, vec binary"
+    slim = classes.select("cid", "copies", F.xxhash64("cid").alias("salt"), F.size("vec").alias("size"), "vec").mapInArrow(_packed, layout)
+    members = slim.mapInArrow(membership, "cell long, size int, owner boolean, cid long, copies long, salt long, vec binary")
+    room = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("size"))))  # members of a block
+    large = members.groupBy("cell", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > room)
+    large = materialize(large.select("cell", "size", F.ceil(F.col("n") / room).alias("blocks")), "large-cells")
+    dealt = members.join(large, ["cell", "size"], "left").withColumn("block", F.coalesce(F.pmod("salt", "blocks"), F.lit(0)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)).cast("int")))
-    dealt = dealt.select("cell", "owner", "cid", "copies", "vec", "block", other.alias("other"))
-    dealt = dealt.select("cell", "owner", "cid", "copies", "vec", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("cell", "size", "owner", "cid", "copies", "vec", "block", other.alias("other"))
+    dealt = dealt.select("cell", "size", "owner", "cid", "copies", "vec", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = dealt.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = materialize(blocks.mapInArrow(_compared(dim, tables, probes, scale, cosine), "cid long, links long, root long"), "vector-links")
+    blocks = dealt.repartition(n, "cell", "size", "i", "j").sortWithinPartitions("cell", "size", "i", "j")
+    found = materialize(blocks.mapInArrow(_compared(tables, probes, scale, cosine), "cid long, links long, root long"), "vector-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("root <> cid").select("cid", "root").distinct(), "cid", "root")
     named = classes.select("cid", "digest", "least_id", "copies").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")

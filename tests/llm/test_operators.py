@@ -233,7 +233,7 @@ def test_archives_round_trip(spark, tmp_path):
         warc.read_archives(manifest, folder).collect()
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [4 << 20, 3 * 8 * 64])
 def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     draw = np.random.default_rng(4)
     centres = draw.normal(size=(60, 64))
@@ -241,7 +241,7 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     vectors = [v.tolist() for v in [*near, *draw.normal(size=(150, 64)), *(centres[0] + draw.normal(size=64) * 0.01 for _ in range(30))]]
     vectors += [vectors[3], vectors[3], [2 * x for x in vectors[5]], None, [0.0] * 64, [float("nan")] * 64, [None] * 64, [1.0] * 5]
     data = list(enumerate(vectors))
-    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", block)
     got = {r["vec"]: r for r in embedding_dedup.embedding_components(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
     ok = [k for k, v in data if v and len(v) == 64 and None not in v and np.isfinite(v).all() and any(v)]
     m = np.array([vectors[k] for k in ok], float)
@@ -255,7 +255,7 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     assert np.mean([got[k]["component_id"] == want[k] for k in ok]) >= 0.95
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [4 << 20, 3 * 8 * 64])
 def test_every_embedding_link_joins_its_component(spark, monkeypatch, block):
     draw = np.random.default_rng(7)
 
@@ -266,7 +266,7 @@ def test_every_embedding_link_joins_its_component(spark, monkeypatch, block):
     bases = [v / np.linalg.norm(v) for v in draw.normal(size=(12, 64))]
     groups = [[*at(b, 0.972, 2 if k % 2 else 14), b.tolist()] for k, b in enumerate(bases)]  # leaves are 0.945 alike, the base comes last
     vectors = [v for g in groups for v in g]
-    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", block)
     data = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").coalesce(1)
     got = {r["vec"]: r for r in embedding_dedup.embedding_components(data).collect()}
     m = np.array(vectors)
@@ -282,6 +282,44 @@ def test_every_embedding_link_joins_its_component(spark, monkeypatch, block):
     assert all(got[k]["component_id"] != k or any(got[j]["component_id"] == k for j in got if j != k) for k in got if got[k]["n_links"])
 
 
+def test_vectors_of_any_length_and_scale(spark):
+    draw = np.random.default_rng(11)
+    long = [v.tolist() for v in draw.normal(size=(4, 9))]
+    eight = draw.normal(size=8)
+    rows = [(1, eight.tolist()), (2, (eight * 1e200).tolist()), (3, long[0]), (4, [x * 1e-200 for x in long[0]]), (5, [1.0]), (6, [3.0]), (7, [-2.0]), (8, [float("nan")] * 30), (None, long[1]), (9, []), (9, [0.0] * 8), (10, [5e-324] + [0.0] * 7), (11, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for clash in ("cid", "cell", "size", "vec", "digest", "a.b"):
+        df = df.withColumn(clash, F.lit(clash))
+    got = sorted((r["vec"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embedding_dedup.embedding_components(df).collect())
+    alone = [(0, 0, 0, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (9, 0, 9, True)]
+    pairs = [(a + k, 1, a, k == 0) for a in (1, 3, 5, 10) for k in (0, 1)]
+    assert got == sorted(alone + pairs)
+
+
+def test_recall_of_the_embedding_query(spark, tmp_path):
+    """All pairs of 4,000 vectors by brute force, through the query with its own parameters, by bands of cosine."""
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(1000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    cosines = draw.uniform(0.95, 1.0, size=(1000, 2))
+    away = draw.normal(size=(1000, 2, 64))
+    away -= (away * base[:, None]).sum(-1, keepdims=True) * base[:, None]
+    away /= np.linalg.norm(away, axis=-1, keepdims=True)
+    near = cosines[..., None] * base[:, None] + np.sqrt(1 - cosines**2)[..., None] * away
+    m = np.concatenate([base, near.reshape(-1, 64), draw.normal(size=(1000, 64))])
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True))[draw.permutation(len(m))]
+    path = tmp_path / "embeddings.parquet"
+    spark.createDataFrame([(k, v) for k, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").write.parquet(str(path))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.query(spark, str(tmp_path)).collect()}
+    alike = m @ m.T
+    np.fill_diagonal(alike, 0)
+    want = (alike >= 0.95).sum(1)
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.97 * want.sum()
+    for low in (0.95, 0.96, 0.97, 0.98, 0.99):  # vectors whose links all lie in one band
+        mine = np.flatnonzero((want > 0) & ((alike >= low) & (alike < low + 0.01)).sum(1) == want)
+        assert sum(got[int(k)] for k in mine) >= 0.9 * want[mine].sum()
+
+
 def plain_removal(data, span=200):
     seen, bodies = Counter(), [(d, (t or "").encode()) for d, t in data]
     for _, b in bodies:
