@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most the sequence length. What is planned is only the histogram of piece
 lengths, whose size the sequence length bounds: patterns of a few lengths that fill a sequence are enumerated,
-non-negative least squares fits how often each repeats, the counts are rounded down, and what is left over is packed
-best fit on the histogram itself. Pieces then find their sequence by their rank within their length, in parallel.
+non-negative least squares fits how often each repeats, the counts are rounded, the same is done with what rounding left,
+and the last few pieces are packed best fit on the histogram itself. Pieces then find their sequence by their rank within their length, in parallel.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import bisect
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 REMEMBERED, GROUP_ROWS = 800_000, 20_000
 #: Stretches of an order that are packed one after another: at most so many, of about so many sequences or more.
 STRETCHES, STRETCH_SEQUENCES = 32, 64
+#: Steps of the fit between two looks at its error.
+STEADY = 25
 
 
 _STOP = re.compile(r"(?<=[a-z])([.,])").sub
@@ -104,62 +107,106 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(cut, f"doc {dict(rows.dtypes)['doc']}, turn long, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(have: np.ndarray, length: int, near: int = 3) -> list[tuple[int, ...]]:
-    """Patterns of one to four of the lengths that occur, each filled with the best-fitting last lengths."""
-    sizes = [int(v) for v in np.flatnonzero(have)]
-    found: set[tuple[int, ...]] = set()
+def patterns(have: np.ndarray, length: int, each: int = 4) -> list[tuple[int, ...]]:
+    """Patterns of few of the lengths that occur, sorted within each, that fill a sequence; exactly, where two more lengths can.
 
-    def best(room: int) -> list[int]:
-        k = bisect.bisect_right(sizes, room)
-        return sizes[max(0, k - near) : k]
-
-    spread = sizes[:: max(1, len(sizes) // 24)] if sizes else []
-    for a in reversed(sizes):
-        found.add((a,))
-        for b in best(length - a):
-            found.add(tuple(sorted((a, b))))
-        for b in spread:
-            if a + b < length:
-                for c in best(length - a - b)[-1:]:
-                    found.add(tuple(sorted((a, b, c))))
-                    for d in best(length - a - b - c)[-1:]:
-                        found.add(tuple(sorted((a, b, c, d))))
+    Each length that occurs opens patterns with zero to each - 1 further documents, taken evenly over the histogram so that
+    the patterns together resemble it. Then two lengths that fill the room exactly close it; where no two do, one more
+    document is taken, and where none is left that fits, the pattern stays as it is.
+    """
+    sizes = np.flatnonzero(have)
+    found: set[tuple[int, ...]] = set()
+    if not len(sizes):
+        return []
+    listed, total, step = sizes.tolist(), np.cumsum(have[sizes]), 0
+    there, twice = have > 0, have > 1
+
+    def closing(room: int) -> tuple[int, ...] | None:
+        if there[room]:
+            return (room,)
+        small = sizes[: bisect.bisect_right(listed, room // 2)]
+        pairs = small[there[room - small]]
+        if len(pairs) and 2 * pairs[-1] == room and not twice[room // 2]:
+            pairs = pairs[:-1]
+        if not len(pairs):
+            return None
+        one = int(pairs[int(step * 0.6180339887 % 1 * len(pairs))])
+        return (one, room - one)
+
+    for a in listed:
+        for more in range(each):
+            mine, room = [a], length - a
+            while room >= listed[0]:
+                step += 1
+                if len(mine) > more and (end := closing(room)):
+                    mine += end
+                    break
+                fits = bisect.bisect_right(listed, room) - 1
+                one = listed[int(np.searchsorted(total[: fits + 1], step * 0.7548776662 % 1 * total[fits], "right"))]
+                mine.append(one)
+                room -= one
+            found.add(tuple(sorted(mine)))
     return sorted(found)
 
 
-def fit_counts(have: np.ndarray, made: list[tuple[int, ...]], length: int, rounds: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the patterns' total histogram near have, by multiplicative least squares.
+def fit_counts(have: np.ndarray, made: list[tuple[int, ...]], length: int, rounds: int = 4000, still: float = 1e-4) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns whose total histogram is nearest to have: non-negative least squares.
 
-    A length counts with its tokens, so that long ones are met first; counts start in favour of well-filled patterns.
+    Multiplicative steps, which never raise the error, until STEADY of them lower it by less than a share of still. A length
+    counts with its tokens, so that long ones are met first.
     """
     if not made:
         return np.zeros(0)
     col = np.repeat(np.arange(len(made)), [len(p) for p in made])
     row = np.concatenate([np.array(p) for p in made])
-    heavy = np.sqrt(np.arange(len(have)) / length)
+    heavy = np.arange(len(have)) / length
     goal = have * heavy
-    pull = np.bincount(col, (goal * heavy)[row], len(made))
-    x = np.array([(sum(p) / length) ** 16 for p in made]) + 1e-9
-    for _ in range(rounds):
+    pull = np.bincount(col, goal[row], len(made))
+    x = np.full(len(made), goal.sum() / sum(map(sum, made)) * length)
+    last = np.inf
+    for k in range(rounds):
         now = np.bincount(row, x[col], len(have)) * heavy
-        x *= pull / np.maximum(np.bincount(col, (now * heavy)[row], len(made)), 1e-12)
+        if k % STEADY == 0:
+            error = float(((now - goal) ** 2).sum())
+            if error > last * (1 - still):
+                break
+            last = error
+        x *= pull / np.maximum(np.bincount(col, now[row], len(made)), 1e-300)
     return x
 
 
+def fitted(have: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], np.ndarray]:
+    """Patterns with whole repeat counts, and the histogram of what they leave.
+
+    Fit, round, take; then again on what is left, as rounding leaves some of each length. Counts are rounded to the nearest
+    whole number, in order of size, and at least to one while all the pattern's documents are there. Full patterns go first;
+    ones that leave room are taken when full ones no longer bring anything, up to 1/256 of a sequence.
+    """
+    left, out, spare = have.astype(np.int64).copy(), [], 0
+    while left.any():
+        made = patterns(left, length)
+        counts = fit_counts(left, made, length)
+        before = len(out)
+        tokens = int(left @ np.arange(len(left)))
+        for k in np.argsort(-counts, kind="stable").tolist():
+            if length - sum(made[k]) > spare:
+                continue
+            mine = Counter(made[k])
+            n = min(max(1, int(counts[k] + 0.5)), min(int(left[s]) // t for s, t in mine.items()))
+            if n > 0:
+                for s, t in mine.items():
+                    left[s] -= n * t
+                out.append((tuple(mine.items()), n))
+        if len(out) == before or int(left @ np.arange(len(left))) > 0.9 * tokens:
+            if spare >= length // 256:
+                break
+            spare = min(length // 256, 4 * spare + 1)
+    return out, left
+
+
 def plan(have: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Sequences as (((piece length, times), ...), repeats), covering the histogram have exactly."""
-    left = have.astype(np.int64).copy()
-    made = patterns(left, length)
-    out = []
-    counts = np.floor(fit_counts(left, made, length)).astype(np.int64)
-    for k in sorted(np.flatnonzero(counts), key=lambda k: (-sum(made[k]), made[k])):
-        size, times = np.unique(made[k], return_counts=True)
-        if length - sum(made[k]) > length // 256:  # a poorly filled pattern is left to the residual, which may do better
-            continue
-        n = int(min(counts[k], (left[size] // times).min()))
-        if n > 0:
-            left[size] -= n * times
-            out.append((tuple(zip(size.tolist(), times.tolist(), strict=True)), n))
+    """Sequences as (((piece length, times), ...), repeats), covering the histogram have exactly: fitted patterns, then best fit."""
+    out, left = fitted(have, length)
     sizes = [int(v) for v in np.flatnonzero(left)]
     while sizes:
         room, mine = length, {}
@@ -181,6 +228,9 @@ def plan(have: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[tuple[int,
     return out
 
 
+_PLACE = ("key", "first", "times", "sequence", "offset", "size")
+
+
 def places(planned: list, bins: int) -> dict[str, np.ndarray]:
     """The plan as intervals of ranks within each length: key, first, times, sequence, offset. Sorted by key."""
     used = np.zeros(bins, np.int64)
@@ -193,7 +243,7 @@ def places(planned: list, bins: int) -> dict[str, np.ndarray]:
             offset += size * times
         sequence += n
     rows.sort()
-    return dict(zip(("key", "first", "times", "sequence", "offset", "size"), np.array(rows, np.int64).reshape(-1, 6).T, strict=True))
+    return dict(zip(_PLACE, np.array(rows, np.int64).reshape(-1, 6).T, strict=True))
 
 
 def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, turn_col: str | None = None) -> DataFrame:
@@ -214,15 +264,24 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     have = np.zeros((parts, length + 1), np.int64)
     for r in counts:
         have[r["part"], r["length"]] = r["n"]
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, one in zip(b["part"].to_pylist(), b["have"].to_pylist(), strict=True):
+                made = plan(np.frombuffer(one, np.int64), length)
+                here = [places(made, length + 1)[c].tobytes() for c in _PLACE]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sum(n for _, n in made)]), *(pa.array([v], pa.binary()) for v in here)], ["part", "sequences", *_PLACE])
+
+    tables = spark.createDataFrame([(k, bytearray(have[k].tobytes())) for k in range(parts)], "part long, have binary").repartition(parts, "part")
+    plans = sorted(tables.mapInArrow(planned, ", ".join(["part long, sequences long", *(f"{c} binary" for c in _PLACE)])).collect())  # a few entries for each part and length
     found, sequences = [], 0
-    for k in range(parts):
-        planned = plan(have[k], length)
-        here = places(planned, length + 1)
-        here["key"] += k * (length + 1) << 44
+    for r in plans:
+        here = {c: np.frombuffer(r[c], np.int64).copy() for c in _PLACE}
+        here["key"] += r["part"] * (length + 1) << 44
         here["sequence"] += sequences
-        sequences += sum(n for _, n in planned)
+        sequences += r["sequences"]
         found.append(here)
-    sent = spark.sparkContext.broadcast({c: np.concatenate([h[c] for h in found]) for c in found[0]})  # a few entries for each part and length
+    sent = spark.sparkContext.broadcast({c: np.concatenate([h[c] for h in found]) for c in _PLACE})
     if turn_col:
         dealt = cut.withColumn("grp", F.floor(F.col("turn") / GROUP_ROWS))
     else:

@@ -210,6 +210,38 @@ def test_plans_cover_any_histogram():
         assert (total == have).all()
 
 
+@pytest.mark.parametrize("shape", ["long", "short", "mixed", "few"])
+def test_most_tokens_go_by_fitted_patterns(shape):
+    draw = np.random.default_rng(12)
+    sizes = {"long": draw.integers(900, 4097, 6000), "short": draw.integers(3, 300, 30_000), "mixed": np.minimum(draw.lognormal(6, 1, 9000).astype(int) + 2, 4096), "few": draw.choice([7, 130, 512, 1000, 3000], 4000)}[shape]
+    have = np.bincount(sizes, minlength=4097)
+    fitted, left = packing.fitted(have)
+    total, one_by_one = have.copy(), np.arange(4097)
+    for pattern, times in fitted:
+        for s, t in pattern:
+            total[s] -= t * times
+    assert (total == left).all() and (left >= 0).all()
+    share, planned = 1 - left @ one_by_one / (have @ one_by_one), sum(n for _, n in packing.plan(have))
+    if shape in ("short", "mixed"):
+        assert share >= 0.9 and planned <= -(-(have @ one_by_one) // 4096) + 1
+
+
+def test_counts_are_a_least_squares_fit():
+    """Against the conditions of the optimum: no slope below zero, none above it where a count is above zero."""
+    draw = np.random.default_rng(2)
+    have = np.bincount(draw.integers(5, 100, 4000), minlength=101)
+    made = packing.patterns(have, 100)
+    x = packing.fit_counts(have, made, 100, rounds=200_000, still=1e-12)
+    heavy = np.arange(101) / 100
+    m = np.zeros((101, len(made)))
+    for k, p in enumerate(made):
+        for size in p:
+            m[size, k] += heavy[size]
+    slope = m.T @ (m @ x - have * heavy)
+    scale = np.abs(m.T @ (have * heavy)).max()
+    assert (x >= 0).all() and slope.min() > -1e-2 * scale and np.abs(slope * x).max() < 1e-2 * scale * x.max()
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 2000
     data = [(1, "http://a/1", big), (2, "http://a/2 b\n", big), (3, None, "short"), (4, "u", "short"), (5000, "u", big), (5, "u", None), (6, "u", "é" * 600), (2, "again", big)]
