@@ -48,6 +48,15 @@ def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(name: str):
+    """The column of that name, dots and backquotes in it taken as they are."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """From now on the session's Python workers get their rows in batches of about 4 MB: texts are long, and the default of
     64 MB is held several times over, in the JVM and in each worker. Set before any plan that runs Python on texts."""

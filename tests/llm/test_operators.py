@@ -148,32 +148,59 @@ def test_network_and_temperature():
     assert plain(model.temperature) <= min(plain(t) for t in (0.3, 0.5, 0.8, 1.0, 1.3, 2.0, 4.0)) + 1e-3
 
 
-def test_pfair_keeps_within_one_block():
+@pytest.mark.parametrize("weights", [[1 / 3] * 3, [0.99985, 0.0001, 0.00005], [0.5], [0.3, 0.3, 0.2, 0.1, 0.1], "many", "uneven"])
+def test_pfair_keeps_within_one_block(weights):
+    """Against the given weights themselves, over 100,000 blocks and at every one of them."""
     draw = random.Random(1)
-    for n in (1, 2, 7, 60):
-        share = mixing.shares({f"s{k}": draw.random() ** 3 + 1e-6 for k in range(n)}, 500)
-        cycle, slots = sum(share.values()), mixing.pfair_cycle(share)
-        assert sorted(s for v in slots.values() for s in v) == list(range(cycle))
-        for k, v in slots.items():
-            done = np.cumsum(np.isin(np.arange(cycle), v))
-            assert np.abs(done - share[k] * np.arange(1, cycle + 1) / cycle).max() < 1
+    if weights in ("many", "uneven"):
+        weights = [draw.random() ** (3 if weights == "uneven" else 1) + 1e-6 for _ in range(60)]
+    share = mixing.whole_weights(weights)
+    total = sum(map(mixing.Fraction, weights))
+    assert [mixing.Fraction(p, sum(share)) for p in share] == [mixing.Fraction(w) / total for w in weights]
+    n = 100_000
+    counts = [0] * len(weights)
+    made, slot = mixing.pfair(share, [n] * len(weights), counts, 0, n)
+    assert slot == n and [m[2] for m in made] == list(range(n))
+    k = np.array([m[0] for m in made])
+    for source, w in enumerate(weights):
+        done = np.cumsum(k == source)
+        assert np.abs(done - w / sum(weights) * np.arange(1, n + 1)).max() < 1
+        assert [m[1] for m in made if m[0] == source] == list(range(counts[source]))
+
+
+def test_epochs_give_the_same_schedule():
+    draw = random.Random(6)
+    for _ in range(30):
+        n = draw.randint(1, 9)
+        share, blocks = [draw.randint(1, 50) for _ in range(n)], [draw.randint(0, 60) for _ in range(n)]
+        whole, _ = mixing.pfair(share, blocks, [0] * n, 0, sum(blocks))
+        parts = [m for done, slot, counts in mixing.epochs(share, blocks, 7) for m in mixing.pfair(share, blocks, counts, slot, 7)[0]]
+        assert parts == whole and Counter(m[:2] for m in whole) == Counter((k, j) for k in range(n) for j in range(blocks[k]))
+        assert [m[2] for m in whole] == sorted({m[2] for m in whole})
 
 
 def test_mixing_keeps_all_rows_and_the_targets(spark):
     data = [(k, "hot" if k % 3 else f"s{k % 7}" if k % 9 else None) for k in range(6000)] + [(5, "hot")]
-    df = frame(spark, data, "doc_id long, source string")
+    df = frame(spark, data, "doc_id long, source string").withColumn("a.b", F.lit(1)).withColumn("slot", F.lit("clash"))
     weights = {"hot": 0.5, None: 0.1, **{f"s{k}": 0.4 / 7 for k in range(7)}}
-    got = mixing.mix_sources(df, weights, block_rows=4, cycle=200).select("row.doc_id", "source", "block", "slot", "place", "on_target").collect()
+    got = mixing.mix_sources(df, weights, block_rows=4, epoch=100).select("row.doc_id", "source", "block", "slot", "turn", "place", "on_target").collect()
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(data)
     assert len({(r["slot"], r["place"]) for r in got}) == len(got)
+    assert {r["turn"] for r in got} == set(range(len({r["slot"] for r in got}))) and sorted(got, key=lambda r: r["slot"]) == sorted(got, key=lambda r: r["turn"])
     last = max(r["slot"] for r in got if r["on_target"])
-    share = mixing.shares({"=" + k if k else "": w for k, w in weights.items()}, 200)
-    for source, w in weights.items():
+    held = {s for _, s in data}
+    exact = {s: mixing.Fraction(w) for s, w in weights.items()}
+    total = sum(w for s, w in exact.items() if s in held)
+    for source, w in exact.items():
         mine = sorted({r["slot"] for r in got if r["source"] == source})
-        for upto in range(0, last + 1, 7):
-            assert abs(sum(s <= upto for s in mine) - (upto + 1) * share["=" + source if source else ""] / 200) < 1
-    again = mixing.mix_sources(df.repartition(3), weights, block_rows=4, cycle=200).select("row.doc_id", "slot", "place").where("doc_id <> 5").collect()
+        assert source not in held or max(mine) >= last
+        for upto in range(0, last + 1):
+            assert source not in held or abs(sum(s <= upto for s in mine) - (upto + 1) * w / total) < 1
+    again = mixing.mix_sources(df.repartition(3), weights, block_rows=4, epoch=31).select("row.doc_id", "slot", "place").where("doc_id <> 5").collect()
     assert {(r["doc_id"], r["slot"]) for r in again} == {(r["doc_id"], r["slot"]) for r in got if r["doc_id"] != 5}
+    assert mixing.in_mixed_order(df).columns == df.columns
+    with pytest.raises(ValueError, match="positive"):
+        mixing.mix_sources(df, {"hot": 0.0})
 
 
 def test_packing_holds_every_token(spark, docs):
