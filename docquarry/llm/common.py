@@ -57,6 +57,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like name that no column of df has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """From now on the session's Python workers get their rows in batches of about 4 MB: texts are long, and the default of
     64 MB is held several times over, in the JVM and in each worker. Set before any plan that runs Python on texts."""

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docquarry.llm import common, embedding_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, warc
+from docquarry.llm import common, embedding_dedup, exact_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, warc
 from docquarry.llm.queries import oracle_sql, queries
 from tests.compare import connect, rows
 
@@ -55,6 +55,54 @@ def test_connected_components(spark):
     assert got == components(nodes, [e for e in edges if e[0] != e[1]])
 
 
+def plain_exact(batches, keep):
+    """For each batch the rows that exact_dedup should give, all texts so far in mind."""
+    pick, groups, out = {"smallest": min, "largest": max}[keep], defaultdict(list), []
+    for batch in batches:
+        for d, t in batch:
+            groups["".join(c.lower() if c.isascii() else c for c in t or "")].append(d)
+        now = Counter()
+        for d, t in batch:
+            body = "".join(c.lower() if c.isascii() else c for c in t or "")
+            ids = [x for x in groups[body] if x is not None]
+            stays = pick(ids) if ids else None
+            now[d, stays, len(groups[body]), d == stays, hashlib.sha256(body.encode()).hexdigest()] += 1
+        out.append(now)
+    return out
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_batches_against_an_index(spark, tmp_path, keep):
+    draw = random.Random(9)
+    text = lambda: draw.choice(["same", "SAME", "", None, "é" * 30, *(f"text {k}" for k in range(40))])
+    batches = [[(1, "same"), (2, "same"), (3, "x")], [(4, "other"), (5, "x")], [], *([(draw.choice([None, draw.randint(0, 500)]), text()) for _ in range(40)] for _ in range(4)), [(3, "x"), (7, "x")]]
+    index = f"file:{tmp_path}/index"
+    for batch, want in zip(batches, plain_exact(batches, keep), strict=True):
+        got = exact_dedup.exact_dedup(frame(spark, batch), keep=keep, index=index).collect()
+        assert Counter(tuple(r) for r in got) == want
+    runs = exact_dedup.DigestIndex(spark, index).state()[2]
+    assert Counter(r.level for r in runs) == {1: 2}  # eight batches, four runs of level 0 to one of level 1
+    with pytest.raises(ValueError, match="keeps the"):
+        exact_dedup.exact_dedup(frame(spark, batches[0]), keep="largest" if keep == "smallest" else "smallest", index=index)
+
+
+def test_filters_let_all_entries_through(spark):
+    entries = spark.range(5000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    others = spark.range(5000, 25_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    for rows in (exact_dedup.filter_rows(5000), 1):
+        bitmap = exact_dedup.build_filter(entries, rows)
+        assert exact_dedup.probe(entries, bitmap, rows).count() == 5000 and exact_dedup.probe(entries, bitmap, rows, outside=True).count() == 0
+        passed = exact_dedup.probe(others, bitmap, rows).count()
+        assert passed + exact_dedup.probe(others, bitmap, rows, outside=True).count() == 20_000
+        assert rows == 1 or passed < 0.1 * 20_000
+
+
+def test_two_texts_under_one_digest_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda c: F.unhex(F.sha2(F.substring(exact_dedup.normalised(c), 1, 1), 256)))
+    with pytest.raises(Exception, match="share a SHA-256 digest"):
+        exact_dedup.exact_dedup(frame(spark, [(1, "ab"), (2, "ac")])).collect()
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
