@@ -146,7 +146,8 @@ def _compared(tables: int, probes: int, scale: float, cosine: float):
             if not len(left) or not len(right):
                 return None
             lattice = lattices.setdefault(size, Lattice(size, tables, probes, scale))
-            links, root, cells = np.zeros(len(cid), np.int64), np.arange(len(cid)), None
+            links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
+            place, cells = np.full(len(cid), -1), (np.zeros((0, tables), np.int64), np.zeros((0, tables, probes), np.int64))  # of members with a link
             strip = max(1, _STRIP // len(right))
             for k in range(0, len(left), strip):
                 rows = left[k : k + strip]
@@ -161,11 +162,16 @@ def _compared(tables: int, probes: int, scale: float, cosine: float):
                 a, b = a[sure], b[sure]
                 if not len(a):
                     continue
-                cells = cells or lattice.cells(unit)
-                mine = _first_meeting(*cells, a, b) == cell
+                fresh = np.unique(np.concatenate([a, b]))
+                fresh = fresh[place[fresh] < 0]
+                if len(fresh):
+                    place[fresh] = len(cells[0]) + np.arange(len(fresh))
+                    cells = tuple(np.concatenate(pair) for pair in zip(cells, lattice.cells(unit[fresh]), strict=True))
+                mine = _first_meeting(*cells, place[a], place[b]) == cell
                 a, b = a[mine], b[mine]
                 links += np.bincount(a, copies[b], len(cid)).astype(np.int64) + np.bincount(b, copies[a], len(cid)).astype(np.int64)
-                root = _local_roots(root, a, b)
+                if len(a):
+                    root = _local_roots(root, a, b)
             hit = np.flatnonzero(links)
             return pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit]), pa.array(cid[root[hit]])], names)
 
