@@ -1,7 +1,10 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted: a shard holds a fixed range of identifiers in order, so the same table gives the same
-archives however the job is scheduled. A task writes its shards one after another, rolls a file when its compressed size
+Records are range-sorted by identifier, digest and address, and a shard is a stretch of about SHARD_BYTES of that order, found
+from a running sum over the records' sizes. So the same table gives the same archives however the job is scheduled and
+however its identifiers lie. Payloads travel once, to the task of their shard; what each needs to know of its group of
+equal payloads stands before it in the sorted rows. A task writes its shards one after another, compresses what is no
+revisit, rolls a file when its compressed size
 is reached, regenerates all headers and digests, and renames each finished file from a temporary name of its own.
 The manifest, committed by Spark when all tasks are through, names the files that count; readers open no others, and
 a task that runs again replaces its files by equal ones.
@@ -10,6 +13,7 @@ a task that runs again replaces its files by equal ones.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import itertools
 import uuid
@@ -17,13 +21,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, scratch_path, small_batches
+from docquarry.llm.common import materialize, named, scratch_path, small_batches
 
-#: Compressed bytes at which a file is rolled, identifiers in a shard, and bytes from which equal payloads are revisits.
-ROLL_BYTES, SHARD_IDS, REVISIT_BYTES = 64 << 20, 4096, 1000
+#: Compressed bytes at which a file is rolled, bytes of payload in a shard, and bytes from which equal payloads are revisits.
+ROLL_BYTES, SHARD_BYTES, REVISIT_BYTES = 64 << 20, 64 << 20, 1000
+#: Bytes that a record counts besides its payload, and the most shards, whose first keys are broadcast; beyond 6 TB shards grow.
+RECORD_BYTES, MAX_SHARDS = 400, 100_000
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _MANIFEST = "file string, shard long, records long, compressed_bytes long, sha256 string"
@@ -77,14 +83,13 @@ class _Roll:
         self.roll, self.date, self.out = roll_bytes, date, None
         self.done: list[tuple] = []
 
-    def add(self, shard: int | None, member: bytes) -> None:
+    def add(self, shard: int, member: bytes) -> None:
         if self.out and (shard != self.shard or self.size >= self.roll):
             self.close()
         if not self.out:
             self.part = self.part + 1 if self.done and shard == self.shard else 0
             self.shard, self.records = shard, 0
-            label = "none" if shard is None else f"{shard:012d}"
-            self.name = f"pages-{label}-{self.part:04d}.warc.gz"
+            self.name = f"pages-{shard:08d}-{self.part:04d}.warc.gz"
             self.temp = f"{self.folder}/_temporary/{uuid.uuid4().hex}"
             self.fs.create_dir(f"{self.folder}/_temporary", recursive=True)
             self.out, self.hash, self.size = self.fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0
@@ -105,44 +110,101 @@ class _Roll:
             self.out = None
 
 
+_KEY = ["page", "digest", "place"]
+_ROW = "shard long, page long, digest binary, place long, kind int, url string, first long, times long, payload binary"
+
+
+def _order() -> list:
+    return [F.col("page").asc_nulls_first(), F.col("digest"), F.col("place")]
+
+
+def _key(page: int | None, digest: bytes, place: int) -> tuple:
+    return (page is not None, page or 0, digest, place)
+
+
+def _sharded(meta: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """meta (page, digest, place, n, length, first) with shard and last_shard, and the number of shards.
+
+    The running sum is exact: a sum within each range partition, and before it those of the partitions in front.
+    """
+    spark = meta.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = F.col("length") + RECORD_BYTES
+    ranged = materialize(meta.repartitionByRange(n, *_order()).withColumn("part", F.spark_partition_id()), "warc-keys")
+    sums = sorted(map(tuple, ranged.groupBy("part").agg(F.sum(F.col("n") * each)).collect()))  # a row a partition
+    before = list(itertools.accumulate((size for _, size in sums), initial=0))
+    size = max(shard_bytes, before[-1] // MAX_SHARDS + 1)
+    starts = spark.createDataFrame([(part, at) for (part, _), at in zip(sums, before, strict=False)], "part int, before long")
+    running = F.sum(F.col("n") * each).over(Window.partitionBy("part").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("run", F.coalesce(running, F.lit(0))).join(F.broadcast(starts), "part").withColumn("at", F.col("before") + F.col("run"))
+    shard = lambda at: F.floor(at / F.lit(size)).cast("long")
+    placed = placed.select(*_KEY, "n", "first", each.alias("each"), "at", shard(F.col("at")).alias("shard"), shard(F.col("at") + (F.col("n") - 1) * each).alias("last_shard"), F.lit(size).cast("long").alias("size"))
+    return materialize(placed, "warc-shards"), -(-before[-1] // size)
+
+
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   roll_bytes: int = ROLL_BYTES, shard_ids: int = SHARD_IDS, revisit_bytes: int = REVISIT_BYTES, date: str = DATE) -> DataFrame:
+                   roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, revisit_bytes: int = REVISIT_BYTES, date: str = DATE) -> DataFrame:
     """Write one record per row of df below folder and return the manifest: file, shard, records, compressed_bytes, sha256.
 
     Null payloads count as empty. Of the rows whose payloads are equal and at least revisit_bytes long, that with the
     largest identifier is the response. Repeated rows become a record each; two rows with that largest identifier are both
-    responses. Rows with a null identifier go to a shard of their own. An empty table gives an empty manifest.
+    responses. Rows without an identifier come first; if all rows of a group lack one, all are responses. Rows that are alike in everything travel
+    as one with a count where they fill more than a shard, and are dealt over as many shards as they fill. An empty table gives an empty manifest.
     """
     spark = df.sparkSession
     small_batches(df.sparkSession)
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= revisit_bytes, F.unhex(F.sha2("payload", 256))))
-    groups = rows.where("digest is not null").groupBy("digest").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    slim = rows.select("page", "digest").join(groups.select("digest", "first"), "digest").where("page is null or page <> first")
-    slim = materialize(slim.groupBy("page", "digest", "first").agg(F.count(F.lit(1)).alias("n")).select(F.col("page").alias("p"), F.col("digest").alias("d"), "first"), "revisits")
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    payload = F.coalesce(named(payload_col).cast("binary"), F.lit(b""))
+    rows = df.select(named(id_col).cast("long").alias("page"), named(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.select("page", F.unhex(F.sha2("payload", 256)).alias("digest"), F.xxhash64("url").alias("place"), "url", "payload")
+    meta = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("payload")).cast("long").alias("length"))
+    meta = materialize(meta, "warc-records")
+    groups = meta.where(F.col("length") >= revisit_bytes).groupBy("digest").agg(F.max("page").alias("first"), F.sum("n").alias("all")).where("all > 1 and first is not null")
+    meta = meta.join(groups.select("digest", "first"), "digest", "left").withColumn("first", F.expr("CASE WHEN page IS NULL OR page <> first THEN first END"))
+    meta, shards = _sharded(meta, shard_bytes)
+    spread = meta.where("last_shard > shard")
+    starts = sorted((_key(r["k"]["page"], bytes(r["k"]["digest"]), r["k"]["place"]), r["shard"]) for r in meta.groupBy("shard").agg(F.min_by(F.struct(*_KEY), F.struct(F.col("page").isNotNull(), *_KEY)).alias("k")).collect())  # a row a shard
+    wide = {_key(r["page"], bytes(r["digest"]), r["place"]) for r in spread.select(*_KEY).collect()}  # each fills a shard, so no more than these
+    sent = spark.sparkContext.broadcast(([k for k, _ in starts], [s for _, s in starts], wide))
+
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, numbers, wide = sent.value
         for b in batches:
-            bodies = b["payload"].to_pylist()
-            sha1 = [_sha1(body) for body in bodies]
-            packed = [record(page, url, mark, len(body), body, date=date) for page, url, mark, body in zip(b["page"].to_pylist(), b["url"].to_pylist(), sha1, bodies, strict=True)]
-            columns = [b["page"], b["url"], b["digest"], pa.array(sha1, pa.string()), pa.array(map(len, bodies), pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["page", "url", "digest", "sha1", "length", "member"])
-
-    # payloads are compressed once, before they travel
-    made = rows.mapInArrow(compress, "page long, url string, digest binary, sha1 string, length long, member binary")
-    known = made.join(slim.hint("merge"), made["page"].eqNullSafe(slim["p"]) & (made["digest"] == slim["d"]), "left")
-    shard = F.floor(F.col("page") / shard_ids).alias("shard")
-    sorted_rows = known.select("page", "url", "sha1", "length", "first", shard, F.when(F.col("first").isNull(), F.col("member")).alias("member"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = sorted_rows.repartition(n, "shard").sortWithinPartitions("shard", "page", "url", "sha1")
+            mine = [_key(*k) for k in zip(*(b[c].to_pylist() for c in _KEY), strict=True)]
+            shard = pa.array([None if k in wide else numbers[bisect.bisect_right(keys, k) - 1] for k in mine], pa.int64())
+            none = pa.nulls(len(b), pa.int64())
+            made = {"shard": shard, "kind": pa.array([1] * len(b), pa.int32()), "first": none, "times": none} | {c: b[c] for c in (*_KEY, "url", "payload")}
+            names = [c.split()[0] for c in _ROW.split(", ")]
+            out = pa.RecordBatch.from_arrays([made[c] for c in names], names)
+            yield out.filter(shard.is_valid()) if wide else out
+
+    every = rows.mapInArrow(to_shards, _ROW)
+    nothing = {c: F.lit(None).cast(t) for c, t in (f.split() for f in _ROW.split(", "))}
+    full = lambda part, kind: part.select(*(F.lit(kind).alias("kind") if c == "kind" else F.col(c) if c in part.columns else v.alias(c) for c, v in nothing.items()))
+    every = every.unionByName(full(meta.where("first is not null and last_shard = shard").select("shard", *_KEY, "first"), 0))
+    if wide:
+        one = rows.join(F.broadcast(spread.select(*(F.col(c).alias(f"_{c}") for c in _KEY))), F.expr(" AND ".join(f"{c} <=> _{c}" for c in _KEY)), "left_semi")
+        one = one.groupBy(*_KEY).agg(F.first("url").alias("url"), F.first("payload").alias("payload"))
+        upto = "least(n, greatest(0, ceil(({} * size - at) / each)))"
+        parts = spread.withColumn("shard", F.explode(F.sequence("shard", "last_shard"))).withColumn("times", F.expr(f"{upto.format('(shard + 1)')} - {upto.format('shard')}").cast("long")).where("times > 0")
+        every = every.unionByName(full(parts.select("shard", *_KEY, "first", "times"), 0))
+        both = parts.select("shard", *(F.col(c).alias(f"_{c}") for c in _KEY)).join(one, F.expr(" AND ".join(f"{c} <=> _{c}" for c in _KEY)))
+        every = every.unionByName(full(both.select("shard", *_KEY, "url", "payload"), 1))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    sorted_rows = every.repartition(n, "shard").sortWithinPartitions("shard", *_order(), "kind")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = _Roll(folder, roll_bytes, date)
+        roll, known, first, times = _Roll(folder, roll_bytes, date), None, None, None
         for b in batches:
-            for page, url, sha1, length, first, shard, member in zip(*(b[c].to_pylist() for c in ("page", "url", "sha1", "length", "first", "shard", "member")), strict=True):
-                roll.add(shard, member or record(page, url, sha1, length, None, first, date))
+            for shard, page, digest, place, kind, url, given, count, body in zip(*(b[c.split()[0]].to_pylist() for c in _ROW.split(", ")), strict=True):
+                key = (shard, page, digest, place)
+                if kind == 0:
+                    known, first, times = key, given, count
+                    continue
+                if key != known:
+                    known, first, times = key, None, None
+                made = record(page, url, _sha1(body), len(body), body if first is None else None, first, date)
+                for _ in range(times or 1):
+                    roll.add(shard, made)
         roll.close()
         if roll.done:
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -340,6 +341,34 @@ def test_archives_round_trip(spark, tmp_path):
         warc.read_archives(manifest, folder).collect()
 
 
+@pytest.mark.parametrize("ids", ["sparse", "dense", "null", "one"])
+def test_files_hold_what_they_may(spark, tmp_path, ids):
+    draw = random.Random(3)
+    page = {"sparse": lambda k: draw.randrange(2**62), "dense": lambda k: k // 5, "null": lambda k: None, "one": lambda k: 7}[ids]
+    body = lambda k: "same " * 250 if k % 3 == 0 else f"page {k} " + "".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 1800)))
+    data = [(page(k), f"http://h/{k}", body(k)) for k in range(305)] + [(page(0), "http://h/0", "again " * 300)] * 400
+    df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("a.b", F.lit(1)).withColumn("digest", F.lit("clash")).withColumn("shard", F.lit(2))
+    size = 40_000
+    folder = f"file:{tmp_path}/warc"
+    manifest = warc.write_archives(df.repartition(5), folder, shard_bytes=size, roll_bytes=1 << 20)
+    total = sum(len(h.encode()) + warc.RECORD_BYTES for *_, h in data)
+    files = manifest.collect()
+    assert len(files) <= -(-total // size) and max(r["records"] for r in files) <= 2 * size // warc.RECORD_BYTES
+    same = warc.write_archives(df.repartition(2), f"file:{tmp_path}/again", shard_bytes=size, roll_bytes=1 << 20)
+    assert sorted(r["sha256"] for r in same.collect()) == sorted(r["sha256"] for r in files)
+    got = Counter((r["page"], r["type"], r["payload_digest"], r["refers_to"]) for r in warc.read_archives(manifest, folder).collect())
+    groups = defaultdict(list)
+    for p, _, h in data:
+        groups[h].append(p)
+    want = Counter()
+    for p, _, h in data:
+        known = [x for x in groups[h] if x is not None]
+        first = max(known) if len(h) >= 1000 and len(groups[h]) > 1 and known else None
+        revisit = first is not None and p != first
+        want[p, "revisit" if revisit else "response", hashlib.sha1(h.encode()).hexdigest(), first if revisit else None] += 1
+    assert got == want
+
+
 @pytest.mark.parametrize("block", [4 << 20, 3 * 8 * 64])
 def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     draw = np.random.default_rng(4)
@@ -471,6 +500,28 @@ def test_maximal_repeats():
     assert got == want
 
 
+def test_covered_spans_of_weighted_parts():
+    draw = random.Random(18)
+    for _ in range(60):
+        words = list({bytes(draw.choice(b"ab") for _ in range(draw.randint(5, 24))) for _ in range(4)})
+        weights = [draw.choice([1, 1, 1, 3]) for _ in words]
+        parts = [(w, len(w) - 3) for w in words]
+        seen = Counter()
+        for (w, n), c in zip(parts, weights, strict=True):
+            for j in range(n):
+                seen[w[j : j + 4]] += c
+        for (w, n), spans in zip(parts, suffix_dedup.covered(parts, weights, 4), strict=True):
+            want = {x for j in range(n) if seen[w[j : j + 4]] > 1 for x in range(j, j + 4)}
+            assert {x for a, b in spans for x in range(a, b)} == want
+
+
+def test_periodic_text_is_scanned_in_linear_time():
+    body = b"ab" * 4000
+    started = time.perf_counter()
+    spans = suffix_dedup.covered([(body, len(body) - 199)], [1])
+    assert spans == [[(0, len(body))]] and time.perf_counter() - started < 20
+
+
 def test_compact_windows_hold_every_passage():
     draw = np.random.default_rng(6)
     for n, t in ((60, 5), (200, 20), (30, 40), (50, 7)):
