@@ -3,9 +3,10 @@
 A suffix belongs to the group of its first SPAN bytes' minimiser: the 64-byte gram with the smallest hash in them. Two
 suffixes that share SPAN bytes share the minimiser, so all occurrences of a repeat meet in one group, and neighbouring
 suffixes with one minimiser travel as one stretch of text. Groups that hold one stretch once hold no repeat and go
-early; equal stretches are counted, not carried. What is left is a small sorted suffix array for each group, whose
+early; of equal stretches one travels, with their number as its weight. Each group becomes a small sorted suffix array, whose
 common-prefix intervals are found with a stack; an interval whose suffixes differ in the byte before them is a maximal
-repeat, and all its occurrences are given out.
+repeat, and all its occurrences are given out. The array of a group whose stretches are all equal is that stretch,
+weighted, and its one maximal repeat the whole of it, so its text need not be fetched.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,14 +77,27 @@ def stretches(body: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarr
     return np.concatenate([none, *keys]), np.concatenate([none, *firsts]), np.concatenate([none, *counts])
 
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = Rows(["akey"])
+    for batch in batches:
+        for body in batch["body"].to_pylist():
+            yield from rows.add([stretches(body)[0]])
+    yield from rows.flush()
+
+
+def _marks(body: bytes, first: list[int], stop: list[int]) -> np.ndarray:
+    """128 bits of a cryptographic hash for each body[first:stop]: equal marks stand for equal bytes at any corpus size."""
+    full = hashlib.blake2b
+    return np.frombuffer(b"".join([full(body[x:y], digest_size=16).digest() for x, y in zip(first, stop, strict=True)]), np.int64).reshape(-1, 2)
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = Rows(["akey", "hi", "lo", "tid", "first", "n"])
     for batch in batches:
         for tid, body in zip(batch["tid"].to_pylist(), batch["body"].to_pylist(), strict=True):
             key, first, n = stretches(body)
             if len(key):
-                full = xxhash.xxh3_128_digest
-                marks = np.frombuffer(b"".join([full(body[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + SPAN).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                marks = _marks(body, first.tolist(), (first + n - 1 + SPAN).tolist())
                 yield from rows.add([key, marks[:, 0], marks[:, 1], np.full(len(key), tid), first.astype(np.int32), n.astype(np.int32)])
     yield from rows.flush()
 
@@ -114,20 +127,61 @@ def suffix_array(parts: list[tuple[bytes, int]], span: int = SPAN) -> tuple[list
     return where, common
 
 
-def maximal_repeats(parts: list[tuple[bytes, int]], span: int = SPAN) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Length and all occurrences (part, offset) of each maximal repeat of at least span bytes among the parts' first n suffixes."""
+_DIVERSE = -1
+
+
+def repeat_intervals(parts: list[tuple[bytes, int]], weights: list[int], span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """The suffixes (part, offset) in order, and (length, left, right) of each maximal repeat: suffixes left to right - 1 share that length.
+
+    Intervals within others come before these. Each carries whether its suffixes have one byte before them, handed on from
+    the intervals within it, so the scan is linear. A part of weight two or more is a repeat as a whole. Before a part stands
+    a byte of its own.
+    """
     where, common = suffix_array(parts, span)
-    stack: list[tuple[int, int]] = [(0, 0)]
+    before = [parts[p][0][j - 1] if j else _DIVERSE if weights[p] > 1 else _DIVERSE - 1 - p for p, j in where]
+    found = [(len(parts[p][0]), i, i + 1) for i, (p, j) in enumerate(where) if not j and weights[p] > 1]
+    stack: list[list[int]] = [[0, 0, before[0] if before else 0]]  # length, left, the byte before all or _DIVERSE
     for i in range(1, len(where) + 1):
-        now, left = common[i] if i < len(where) else 0, i - 1
+        now, left, sign = common[i] if i < len(where) else 0, i - 1, before[i - 1]
         while stack[-1][0] > now:
-            length, left = stack.pop()
-            group = where[left:i]
-            before = {parts[p][0][j - 1] if j else -1 - p for p, j in group}
-            if len(before) > 1:
-                yield length, group
+            length, left, mine = stack.pop()
+            sign = mine if mine == sign else _DIVERSE
+            if sign == _DIVERSE:
+                found.append((length, left, i))
         if stack[-1][0] < now:
-            stack.append((now, left))
+            stack.append([now, left, sign])
+        elif stack[-1][2] != sign:
+            stack[-1][2] = _DIVERSE
+    return where, found
+
+
+def maximal_repeats(parts: list[tuple[bytes, int]], span: int = SPAN) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Length and all occurrences (part, offset) of each maximal repeat of at least span bytes among the parts' first n suffixes."""
+    where, found = repeat_intervals(parts, [1] * len(parts), span)
+    for length, left, right in found:
+        yield length, where[left:right]
+
+
+def covered(parts: list[tuple[bytes, int]], weights: list[int], span: int = SPAN) -> list[list[tuple[int, int]]]:
+    """The byte spans of each part that its maximal repeats cover. Of the repeats at one suffix the longest is taken: it comes first."""
+    where, found = repeat_intervals(parts, weights, span)
+    spans: list[list[tuple[int, int]]] = [[] for _ in parts]
+    after = list(range(len(where) + 1))  # the next suffix from here on that no repeat has taken
+    for length, left, right in found:
+        i = left
+        trail = []
+        while True:
+            while after[i] != i:
+                trail.append(i)
+                i = after[i]
+            if i >= right:
+                break
+            p, j = where[i]
+            spans[p].append((j, j + length))
+            after[i] = i + 1
+        for x in trail:
+            after[x] = i
+    return [_merged(s) for s in spans]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,15 +200,12 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 def _group_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted stretches -> the byte spans of each that maximal repeats of its group cover."""
-    rows = ((b["akey"][k].as_py(), b["hi"][k].as_py(), b["lo"][k].as_py(), b["n"][k].as_py(), b["body"][k].as_py()) for b in batches for k in range(len(b)))
+    rows = (r for b in batches for r in zip(*(b[c].to_pylist() for c in (*_KEYS, "c", "n", "body")), strict=True))
     out: list[tuple] = []
     for key, group in itertools.groupby(rows, key=lambda r: r[0]):
         held = list(group)  # GROUP at most
-        spans: list[list[tuple[int, int]]] = [[] for _ in held]
-        for length, places in maximal_repeats([(r[4], r[3]) for r in held]):
-            for p, j in places:
-                spans[p].append((j, j + length))
-        out += [(key, r[1], r[2], [{"a": a, "b": b} for a, b in _merged(s)]) for r, s in zip(held, spans, strict=True) if s]
+        spans = covered([(r[5], r[4]) for r in held], [r[3] for r in held])
+        out += [(key, r[1], r[2], [{"a": a, "b": b} for a, b in s]) for r, s in zip(held, spans, strict=True) if s]
         if len(out) >= 2000:
             yield _span_batch(out)
             out = []
@@ -167,20 +218,19 @@ def _span_batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    full = xxhash.xxh3_128_digest
+    names = [*_KEYS, "c", "whi", "wlo", "j"]
     for b in batches:
-        for k in range(len(b)):
-            n, body = b["n"][k].as_py(), b["body"][k].as_py()
-            marks = np.frombuffer(b"".join([full(body[j : j + SPAN]) for j in range(n)]), np.int64).reshape(-1, 2)
-            fixed = [pa.array(np.full(n, b[c][k].as_py(), np.int64)) for c in _KEYS]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.ascontiguousarray(marks[:, 0])), pa.array(np.ascontiguousarray(marks[:, 1])), pa.array(np.arange(n, dtype=np.int32))], [*_KEYS, "whi", "wlo", "j"])
+        for *keys, c, n, body in zip(*(b[x].to_pylist() for x in (*_KEYS, "c", "n", "body")), strict=True):
+            marks = _marks(body, list(range(n)), list(range(SPAN, n + SPAN)))
+            fixed = [pa.array(np.full(n, v, np.int64)) for v in (*keys, c)]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.ascontiguousarray(marks[:, 0])), pa.array(np.ascontiguousarray(marks[:, 1])), pa.array(np.arange(n, dtype=np.int32))], names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the bodies that rows name: akey, hi, lo, kinds, n, body."""
+    """Stretches of the bodies that rows name: akey, hi, lo, c, kinds, n, body."""
     for b in batches:
         body = [b["body"][k].as_py()[(f := b["first"][k].as_py()) : f + b["n"][k].as_py() - 1 + SPAN] for k in range(len(b))]
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in (*_KEYS, "kinds", "n")), pa.array(body, pa.binary())], [*_KEYS, "kinds", "n", "body"])
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in (*_KEYS, "c", "kinds", "n")), pa.array(body, pa.binary())], [*_KEYS, "c", "kinds", "n", "body"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,21 +254,22 @@ def covered_spans(texts: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = "akey long, hi long, lo long, tid long, first int, n int"
     every = texts.select("tid", "body").mapInArrow(_emit, layout)
-    shared = materialize(every.select("akey").groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey"), "anchors")
+    anchors = texts.select("body").mapInArrow(_anchors, "akey long")
+    shared = materialize(anchors.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey"), "anchors")
     met = materialize(every.join(shared.hint("merge"), "akey"), "stretches")
     kinds = met.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min(F.struct("tid", "first")).alias("at"))
     kinds = materialize(kinds, "stretch-kinds")
-    wide = kinds.groupBy("akey").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    named = kinds.join(wide, "akey").select(*_KEYS, "kinds", "c", "n", F.col("at.tid").alias("tid"), F.col("at.first").alias("first"))
-    bodies = named.join(texts.select("tid", "body").hint("merge"), "tid")
-    bodies = materialize(bodies.select(*_KEYS, "kinds", "n", "first", "body").mapInArrow(_cut, "akey long, hi long, lo long, kinds long, n int, body binary"), "stretch-bodies")
+    counts = kinds.groupBy("akey").agg(F.count(F.lit(1)).alias("kinds"))
+    counted = kinds.join(counts, "akey").select(*_KEYS, "kinds", "c", "n", F.col("at.tid").alias("tid"), F.col("at.first").alias("first"))
+    bodies = counted.where("kinds > 1").join(texts.select("tid", "body").hint("merge"), "tid")
+    bodies = materialize(bodies.select(*_KEYS, "c", "kinds", "n", "first", "body").mapInArrow(_cut, "akey long, hi long, lo long, c long, kinds long, n int, body binary"), "stretch-bodies")
     kind = "akey long, hi long, lo long, spans array<struct<a:int,b:int>>"
     small = bodies.where(F.col("kinds") <= GROUP).drop("kinds").repartition(n, "akey").sortWithinPartitions("akey")
     arrays = small.mapInArrow(_group_repeats, kind)
-    windows = bodies.where(F.col("kinds") > GROUP).select(*_KEYS, "n", "body").mapInArrow(_windows, "akey long, hi long, lo long, whi long, wlo long, j int")
-    twice = windows.groupBy("whi", "wlo").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("whi", "wlo")
+    windows = bodies.where(F.col("kinds") > GROUP).select(*_KEYS, "c", "n", "body").mapInArrow(_windows, "akey long, hi long, lo long, c long, whi long, wlo long, j int")
+    twice = windows.groupBy("whi", "wlo").agg(F.sum("c").alias("all")).where("all > 1").select("whi", "wlo")
     hashed = windows.join(twice, ["whi", "wlo"]).groupBy(*_KEYS).agg(F.collect_list(F.struct(F.col("j").alias("a"), (F.col("j") + SPAN).alias("b"))).alias("spans"))
-    equal = kinds.where("c > 1").select(*_KEYS, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (SPAN - 1)).alias("b"))).alias("spans"))
+    equal = counted.where("kinds = 1 and c > 1").select(*_KEYS, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + (SPAN - 1)).alias("b"))).alias("spans"))
     found = materialize(equal.unionByName(arrays).unionByName(hashed), "stretch-spans")
     at = met.join(found.hint("merge"), _KEYS).select("tid", "first", F.explode("spans").alias("s"))
     return at.groupBy("tid").agg(F.collect_list(F.struct((F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))).alias("spans"))
