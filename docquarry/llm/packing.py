@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +25,13 @@ from docquarry.llm.common import materialize, small_batches
 
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
-REMEMBERED, GROUP_ROWS = 800_000, 20_000
+REMEMBERED, GROUP_ROWS = 1_200_000, 20_000
 #: Stretches of an order that are packed one after another: at most so many, of about so many sequences or more.
 STRETCHES, STRETCH_SEQUENCES = 32, 64
 #: Steps of the fit between two looks at its error.
 STEADY = 25
 
 
-_STOP = re.compile(r"(?<=[a-z])([.,])").sub
 _WORKERS: dict[str, WordIds] = {}
 
 
@@ -40,7 +40,8 @@ class WordIds:
 
     The vocabulary's pre-tokenizer never joins across white space, nor a letter with a full stop or comma, so a
     text's ids are those of its forms in a row. A text of Latin-1 characters is lower-cased first, as the vocabulary
-    would do, which halves the forms; others, and texts that may name a special token, are not touched.
+    would do, which halves the forms; others, and texts that may name a special token, are not touched. Arrow splits a batch
+    of texts and tells its forms apart; each different form is looked up once a batch, and new ones are encoded together.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +50,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        (self.comma,) = self._encode(",").tolist()
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -57,30 +59,56 @@ class WordIds:
             _WORKERS[path] = cls(path)
         return _WORKERS[path]
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     @staticmethod
-    def forms(text: str) -> list[str]:
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = _STOP(r" \1", text.lower())
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Unsigned 32-bit ids of each text, in the machine's (little-endian) order."""
-        split = [self.forms(t) for t in texts]
-        if len(self.known) > REMEMBERED // 2:  # forms that are still in use come back from the older half
-            self.known, self.older = {"": b""}, self.known
-        missing = set().union(*split).difference(self.known)
-        back = missing & self.older.keys()
-        self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
-        fresh = list(missing - back)
-        for k in range(0, len(fresh), 4096):
+    def forms(texts: pa.Array) -> pa.ListArray:
+        plain = pc.invert(pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[^\\x{00}-\\x{FF}]")))
+        lower = pc.replace_substring_regex(pc.utf8_lower(texts), "([a-z])([.,])", r"\1 \2")
+        return pc.ascii_split_whitespace(pc.if_else(plain, lower, texts))
+
+    def _learn(self, forms: list[str]) -> None:
+        fresh, apart = [], []
+        for form in forms:
+            if form in self.older:  # forms that are still in use come back from the older half
+                self.known[form] = self.older[form]
+            else:
+                (apart if "," in form or "<|" in form else fresh).append(form)
+        for k in range(0, len(fresh), 4096):  # in one text, with commas between that no form holds
             part = fresh[k : k + 4096]
-            for form, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[form] = array("I", got.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, forms)) for forms in split]
+            ids = self._encode(" , ".join(part))
+            cuts = [-1, *np.flatnonzero(ids == self.comma).tolist(), len(ids)]
+            for form, x, y in zip(part, cuts[:-1], cuts[1:], strict=True):
+                self.known[form] = ids[x + 1 : y].tobytes()
+        for form in apart:
+            self.known[form] = self._encode(form).tobytes()
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings) in a row, and where each text begins and the last ends."""
+        split = self.forms(texts)
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {"": b""}, self.known
+        forms = coded.dictionary.to_pylist()
+        self._learn([f for f in forms if f not in self.known])
+        mine = list(map(self.known.__getitem__, forms))
+        size = np.fromiter(map(len, mine), np.int64, len(mine)) // 4
+        store, first = np.frombuffer(b"".join(mine), "<u4"), np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[at]
+        after = np.concatenate(([0], np.cumsum(each)))
+        ids = store[np.repeat(first[at] - after[:-1], each) + np.arange(after[-1])]
+        return ids, after[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def _strings(bodies: pa.Array) -> pa.Array:
+    """Bytes as strings; what is no UTF-8 becomes the replacement character."""
+    try:
+        return bodies.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in bodies.to_pylist()], pa.string())
 
 
 def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, turn_col: str | None = None) -> DataFrame:
@@ -90,17 +118,18 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         ids = WordIds.of(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.slice(k, 64)
-                owner, out = [], []
-                for n, body in enumerate(ids([t.as_py().decode("utf-8", "replace") for t in part["body"]])):
-                    body += end
-                    for p, at in enumerate(range(0, len(body), 4 * length)):
-                        piece = body[at : at + 4 * length]
-                        owner.append(n)
-                        out.append((p, at // 4, len(piece) // 4, zlib.crc32(piece)))
-                columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(owner)) for c in ("doc", "turn")), *columns], ["doc", "turn", "piece", "start", "length", "ids_crc32"])
+            if not len(batch):
+                continue
+            every, starts = ids(_strings(batch["body"]))
+            every, owner, out = memoryview(every.tobytes()), [], []
+            for n, (a, b) in enumerate(itertools.pairwise(starts.tolist())):
+                for p, at in enumerate(range(0, b - a + 1, length)):
+                    stop = min(at + length, b - a + 1)
+                    crc = zlib.crc32(every[4 * (a + at) : 4 * min(a + stop, b)])
+                    owner.append(n)
+                    out.append((p, at, stop - at, zlib.crc32(end, crc) if a + stop > b else crc))
+            columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(owner)) for c in ("doc", "turn")), *columns], ["doc", "turn", "piece", "start", "length", "ids_crc32"])
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc"), (F.col(turn_col) if turn_col else F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
