@@ -9,7 +9,7 @@ and the last few pieces are packed best fit on the histogram itself. Pieces then
 from __future__ import annotations
 
 import bisect
-import re
+import itertools
 import zlib
 from array import array
 from collections import Counter
