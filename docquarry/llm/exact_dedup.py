@@ -198,28 +198,30 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                       F.col("doc").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_decided(df: DataFrame, id_col: str, text_col: str, decided: DataFrame) -> DataFrame:
+    """df without the rows whose digest decided names, but for one row of keep_id and keep_digest. decided: digest, keep_id, keep_digest.
+
+    Rows whose digest is not named stay where they are; only the others are joined.
+    """
+    rows = min(filter_rows(decided.count()), BROADCAST_ROWS)
+    bitmap = materialize(build_filter(decided, rows), "digest-filter")
+    names = [named(c) for c in df.columns]
+    inner = df.select("*", digest_of(text_col).alias(unused(df, "digest"))).toDF(*(f"c{k}" for k in range(len(df.columns))), "digest")  # whatever the columns are named
+    back = lambda part: part.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)))
+    met = probe(inner, bitmap, rows).join(decided.select(F.col("digest").alias("of"), "keep_id", "keep_digest"), F.col("digest") == F.col("of"), "left")
+    single = met.where("of IS NULL")
+    chosen = met.where((F.col("digest") == F.col("keep_digest")) & F.col(f"c{df.columns.index(id_col)}").eqNullSafe(F.col("keep_id")))
+    parts = [probe(inner, bitmap, rows, outside=True), single, chosen.dropDuplicates(["digest"])]  # rows that repeat identifier and text are alike
+    return functools.reduce(DataFrame.unionByName, map(back, parts)).select(*names)
+
+
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """df without all rows but one of each group of equal texts, with its own columns only.
 
-    Rows that repeat identifier and text are copies of each other: one stays. Rows whose digest is no hit stay where they
-    are; only the others are joined with the hits.
+    Rows that repeat identifier and text are copies of each other: one stays.
     """
-    _, checked = _decided(df, id_col, text_col, keep, None)
-    rows = min(filter_rows(checked.count()), BROADCAST_ROWS)
-    bitmap = materialize(build_filter(checked, rows), "digest-filter")
-    digest, stays, group = unused(df, "digest"), unused(df, "stays"), unused(df, "grp")
-    names = [named(c) for c in df.columns]
-    keyed = df.select("*", digest_of(text_col).alias(digest))
-    inner = keyed.toDF(*(f"c{k}" for k in range(len(df.columns))), "digest")  # whatever the columns are named
-    back = lambda part: part.toDF(*df.columns, digest).select(*names)
-    alone = back(probe(inner, bitmap, rows, outside=True))
-    doc = F.col(f"c{df.columns.index(id_col)}")
-    met = probe(inner, bitmap, rows).join(checked.select(F.col("digest").alias(group), F.col("keep_id").alias(stays)), F.col("digest") == F.col(group), "left")
-    one = met.where(F.col(group).isNull() | doc.eqNullSafe(F.col(stays)))
-    # of rows that repeat the identifier that stays and its text one is left; the others have a digest of their own
-    single = one.where(F.col(group).isNull()).drop(group, stays)
-    repeated = one.where(F.col(group).isNotNull()).dropDuplicates(["digest"]).drop(group, stays)
-    return alone.unionByName(back(single)).unionByName(back(repeated))
+    checked = _decided(df, id_col, text_col, keep, None)[1]
+    return keep_decided(df, id_col, text_col, checked.select("digest", "keep_id", F.col("digest").alias("keep_digest")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ Two fingerprints that differ in at most two bits have a common neighbour at dist
 Every distinct fingerprint emits the 65 members of its ball of radius one; the shuffle on these variants brings
 the pair together. All fingerprints at one variant lie within two bits of each other, so a bucket holds 65 at most
 whatever the corpus is, and linking each to the smallest of its bucket loses no component.
+
+near_copies() finds texts whose five-word shingles are SIMILARITY alike. An edited word changes one word of a text but
+five of its shingles, so its fingerprints are over single words, in TABLES independent ones; the pairs that collide in a ball are
+verified by the exact similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from docquarry.llm.common import connected_components, materialize, small_batches
+from docquarry.llm import exact_dedup
+from docquarry.llm.common import connected_components, materialize, named, small_batches
 
 SEED, WIDTH, BITS = 42, 3, 64
+#: Words of a shingle, similarity of near copies, fingerprints over single words that propose them, and ways in which a ball is split.
+SHINGLE, SIMILARITY, TABLES, SPLITS = 5, 0.8, 2, 4
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -88,26 +94,105 @@ def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(by_print, "fp").select("doc", "fp", "root", "component_id")
 
 
+def _votes(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def word_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
+    """Independent SimHashes over the single words of a text, repeats included, as signed numbers; zeros without words."""
+    words = text.lower().split()
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(tables):
+        mixed = (h ^ np.uint64(SEED + k)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(_votes(mixed ^ (mixed >> np.uint64(29))))
+    return out
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The different hashes of the five-word shingles; of a shorter text that of all its words, of one without words a zero."""
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    grams = [b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))]
+    return np.unique(np.fromiter((h(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints = [word_fingerprints(x.as_py()) for x in b["body"]]
+        yield pa.RecordBatch.from_arrays([b["doc"], b["digest"], pa.array(prints, pa.list_(pa.int64()))], ["doc", "digest", "prints"])
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingle set, and its smallest member under SPLITS hash functions."""
+    names = ["digest", "shingles", "least"]
+    for b in batches:
+        sets = [shingle_set(x.as_py()) for x in b["body"]]
+        least = [[int(((x ^ np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(1)).min()) for k in range(1, SPLITS + 1)] for x in sets]
+        yield pa.RecordBatch.from_arrays([b["digest"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))], names)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for mine, theirs in zip(b["mine"], b["theirs"], strict=True):
+            x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(theirs.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+        yield b.select(["member", "rep"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows: doc, digest of each row; links: member, rep, digests of different texts that are SIMILARITY alike or more).
+
+    The texts of a ball are dealt by their smallest shingle under each of SPLITS hash functions, which two alike texts share with a probability of their
+    similarity for each, and compared with the smallest digest there. So balls of texts that share words but no
+    wording fall apart, and none is compared pair by pair.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(named(id_col).alias("doc"), exact_dedup.digest_of(text_col).alias("digest"), exact_dedup.normalised(text_col).cast("binary").alias("body"))
+    prints = materialize(rows.mapInArrow(_word_prints, f"doc {dict(rows.dtypes)['doc']}, digest binary, prints array<long>"), "word-prints")
+    each = prints.groupBy("digest").agg(F.first("prints").alias("prints")).select("digest", F.posexplode("prints").alias("tab", "fp"))
+    masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(BITS)])
+    every = each.repartition(n, F.xxhash64("digest", "tab")).select("digest", "tab", "fp", F.explode(masks).alias("mask")).select("digest", "tab", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    mark = F.xxhash64("digest")
+    shared = every.groupBy("tab", "variant").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").select("tab", "variant")
+    met = materialize(every.join(materialize(shared, "near-balls").hint("merge"), ["tab", "variant"]), "near-members")
+    wanted = materialize(met.select("digest").distinct(), "near-wanted")
+    size = min(exact_dedup.filter_rows(wanted.count()), exact_dedup.BROADCAST_ROWS)
+    bodies = exact_dedup.probe(rows.select("digest", "body"), exact_dedup.build_filter(wanted, size), size)
+    bodies = bodies.groupBy("digest").agg(F.first("body").alias("body"))
+    sets = materialize(bodies.mapInArrow(_with_sets, "digest binary, shingles binary, least array<long>"), "near-sets")
+    dealt = met.join(sets.select("digest", "least"), "digest").select("tab", "variant", "digest", F.posexplode("least").alias("fn", "low"))
+    key = ["tab", "variant", "fn", "low"]
+    reps = dealt.groupBy(*key).agg(F.min("digest").alias("rep"), F.max("digest").alias("last")).where("rep <> last").select(*key, "rep")
+    pairs = materialize(dealt.join(reps, key).where("digest <> rep").select(F.col("digest").alias("member"), "rep").distinct(), "near-pairs")
+    mine = pairs.join(sets.select(F.col("digest").alias("of"), F.col("shingles").alias("mine")).hint("merge"), F.col("member") == F.col("of")).select("member", "rep", "mine")
+    both = mine.join(sets.select(F.col("digest").alias("of"), F.col("shingles").alias("theirs")).hint("merge"), F.col("rep") == F.col("of")).select("member", "rep", "mine", "theirs")
+    return prints.select("doc", "digest"), materialize(both.mapInArrow(_alike, "member binary, rep binary"), "near-links")
+
+
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: the one that names it, and of several such rows one with the smallest fingerprint.
+    """df with one row of each group of texts that links of near_copies() connect: the one with the smallest identifier.
 
-    Rows are judged one by one: different texts under one identifier, or under none, stay apart.
+    Rows are judged one by one: different texts under one identifier, or under none, stay apart unless they are alike. A row without
+    an identifier stays only if its whole group has none. Equal texts are one group; letter case A-Z makes no difference. Texts of fewer words than a
+    shingle are alike if all their words are. An empty table gives an empty result.
     """
-    found = materialize(_rooted(df, id_col, text_col), "near")
-    stay = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "doc")).alias("one"))
-    stay = materialize(stay.select(F.col("one.doc").alias("__dq_doc"), F.col("one.fp").alias("__dq_of")), "near-kept")
-    if not found.groupBy("doc").count().where("count > 1").limit(1).count():
-        return df.join(stay.hint("merge"), df[id_col].eqNullSafe(stay["__dq_doc"]), "left_semi")
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prints = np.fromiter((fingerprint(x.as_py()) for x in b["__dq_body"]), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints.view(np.int64))], [*b.schema.names[:-1], "__dq_fp"])
-
-    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__dq_body")
-    own = df.select("*", body).mapInArrow(printed, StructType([*df.schema.fields, StructField("__dq_fp", LongType())]))
-    left = own.join(stay.hint("merge"), own[id_col].eqNullSafe(stay["__dq_doc"]) & (own["__dq_fp"] == stay["__dq_of"]), "left_semi")
-    return left.dropDuplicates([id_col, "__dq_fp"]).drop("__dq_fp")
+    rows, links = near_copies(df, id_col, text_col)
+    groups = connected_components(links, "member", "rep").withColumnRenamed("node", "digest")
+    grouped = materialize(rows.join(groups, "digest", "left").select("doc", "digest", F.coalesce("component", "digest").alias("root")), "near-groups")
+    first = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc").isNull(), "doc", "digest")).alias("one")).where("n > 1")
+    decided = grouped.select("digest", "root").distinct().join(first, "root").select("digest", F.col("one.doc").alias("keep_id"), F.col("one.digest").alias("keep_digest"))
+    return exact_dedup.keep_decided(df, id_col, text_col, materialize(decided, "near-decided"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
