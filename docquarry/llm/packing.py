@@ -11,7 +11,6 @@ from __future__ import annotations
 import bisect
 import itertools
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from docquarry.llm.common import materialize, small_batches
 
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
-REMEMBERED, GROUP_ROWS = 1_200_000, 20_000
+REMEMBERED, GROUP_ROWS = 500_000, 20_000
 #: Stretches of an order that are packed one after another: at most so many, of about so many sequences or more.
 STRETCHES, STRETCH_SEQUENCES = 32, 64
 #: Steps of the fit between two looks at its error.
@@ -130,6 +129,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     out.append((p, at, stop - at, zlib.crc32(end, crc) if a + stop > b else crc))
             columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(owner)) for c in ("doc", "turn")), *columns], ["doc", "turn", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc"), (F.col(turn_col) if turn_col else F.lit(0)).cast("long").alias("turn"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))

@@ -131,11 +131,12 @@ def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's shingle set, and its smallest member under SPLITS hash functions."""
-    names = ["digest", "shingles", "least"]
+    names = ["nid", "shingles", "least"]
     for b in batches:
         sets = [shingle_set(x.as_py()) for x in b["body"]]
         least = [[int(((x ^ np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(1)).min()) for k in range(1, SPLITS + 1)] for x in sets]
-        yield pa.RecordBatch.from_arrays([b["digest"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([b["nid"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))], names)
+    pa.default_memory_pool().release_unused()
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +147,15 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
         yield b.select(["member", "rep"]).filter(pa.array(keep, pa.bool_()))
+    pa.default_memory_pool().release_unused()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc, digest of each row; links: member, rep, digests of different texts that are SIMILARITY alike or more).
+    """(rows: doc, digest, nid of each row; links: member, rep, the nids of different texts that are SIMILARITY alike or more).
 
-    The texts of a ball are dealt by their smallest shingle under each of SPLITS hash functions, which two alike texts share with a probability of their
-    similarity for each, and compared with the smallest digest there. So balls of texts that share words but no
+    A ball is of use where it holds two different fingerprints, or is the one round a fingerprint that two texts have. Its
+    texts are dealt by their smallest shingle under each of SPLITS hash functions, which two alike texts share with a
+    probability of their similarity for each, and compared with the first text there. So balls of texts that share words but no
     wording fall apart, and none is compared pair by pair.
     """
     spark = df.sparkSession
@@ -160,24 +163,27 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(named(id_col).alias("doc"), exact_dedup.digest_of(text_col).alias("digest"), exact_dedup.normalised(text_col).cast("binary").alias("body"))
     prints = materialize(rows.mapInArrow(_word_prints, f"doc {dict(rows.dtypes)['doc']}, digest binary, prints array<long>"), "word-prints")
-    each = prints.groupBy("digest").agg(F.first("prints").alias("prints")).select("digest", F.posexplode("prints").alias("tab", "fp"))
+    nodes = materialize(prints.groupBy("digest").agg(F.first("prints").alias("prints")).withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(BITS)])
-    every = each.repartition(n, F.xxhash64("digest", "tab")).select("digest", "tab", "fp", F.explode(masks).alias("mask")).select("digest", "tab", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    mark = F.xxhash64("digest")
-    shared = every.groupBy("tab", "variant").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").select("tab", "variant")
-    met = materialize(every.join(materialize(shared, "near-balls").hint("merge"), ["tab", "variant"]), "near-members")
-    wanted = materialize(met.select("digest").distinct(), "near-wanted")
+    every = nodes.select("nid", "prints").repartition(n, F.xxhash64("nid")).select("nid", F.posexplode("prints").alias("tab", "fp")).select("nid", "tab", "fp", F.explode(masks).alias("mask"))
+    every = every.select(F.xxhash64("tab", F.col("fp").bitwiseXOR(F.col("mask"))).alias("ball"), "nid", "fp", (F.col("mask") == 0).alias("centre"))
+    shared = every.groupBy("ball").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2"), F.min("nid").alias("n1"), F.max("nid").alias("n2"), F.bool_or("centre").alias("centre"))
+    shared = materialize(shared.where("f1 <> f2 or centre and n1 <> n2").select("ball"), "near-balls")
+    size = min(exact_dedup.filter_rows(shared.count()), exact_dedup.BROADCAST_ROWS)
+    few = exact_dedup.probe(every.select(F.col("ball").alias("digest"), "nid"), exact_dedup.build_filter(shared.withColumnRenamed("ball", "digest"), size), size)
+    met = materialize(few.withColumnRenamed("digest", "ball").join(shared.hint("merge"), "ball"), "near-members")
+    wanted = materialize(met.select("nid").distinct().join(nodes.select("nid", "digest"), "nid"), "near-wanted")
     size = min(exact_dedup.filter_rows(wanted.count()), exact_dedup.BROADCAST_ROWS)
     bodies = exact_dedup.probe(rows.select("digest", "body"), exact_dedup.build_filter(wanted, size), size)
-    bodies = bodies.groupBy("digest").agg(F.first("body").alias("body"))
-    sets = materialize(bodies.mapInArrow(_with_sets, "digest binary, shingles binary, least array<long>"), "near-sets")
-    dealt = met.join(sets.select("digest", "least"), "digest").select("tab", "variant", "digest", F.posexplode("least").alias("fn", "low"))
-    key = ["tab", "variant", "fn", "low"]
-    reps = dealt.groupBy(*key).agg(F.min("digest").alias("rep"), F.max("digest").alias("last")).where("rep <> last").select(*key, "rep")
-    pairs = materialize(dealt.join(reps, key).where("digest <> rep").select(F.col("digest").alias("member"), "rep").distinct(), "near-pairs")
-    mine = pairs.join(sets.select(F.col("digest").alias("of"), F.col("shingles").alias("mine")).hint("merge"), F.col("member") == F.col("of")).select("member", "rep", "mine")
-    both = mine.join(sets.select(F.col("digest").alias("of"), F.col("shingles").alias("theirs")).hint("merge"), F.col("rep") == F.col("of")).select("member", "rep", "mine", "theirs")
-    return prints.select("doc", "digest"), materialize(both.mapInArrow(_alike, "member binary, rep binary"), "near-links")
+    bodies = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(wanted.hint("merge"), "digest").select("nid", "body")
+    sets = materialize(bodies.mapInArrow(_with_sets, "nid long, shingles binary, least array<long>"), "near-sets")
+    dealt = met.join(sets.select("nid", "least"), "nid").select("ball", "nid", F.posexplode("least").alias("fn", "low")).select(F.xxhash64("ball", "fn", "low").alias("part"), "nid")
+    reps = dealt.groupBy("part").agg(F.min("nid").alias("rep"), F.max("nid").alias("last")).where("rep <> last").select("part", "rep")
+    pairs = materialize(dealt.join(reps, "part").where("nid <> rep").select(F.col("nid").alias("member"), "rep").distinct(), "near-pairs")
+    side = lambda of, name: sets.select(F.col("nid").alias(of), F.col("shingles").alias(name)).hint("merge")
+    both = pairs.join(side("member", "mine"), "member").join(side("rep", "theirs"), "rep").select("member", "rep", "mine", "theirs")
+    links = materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links")
+    return prints.select("doc", "digest").join(nodes.select("digest", "nid"), "digest"), links
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,8 +194,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingle are alike if all their words are. An empty table gives an empty result.
     """
     rows, links = near_copies(df, id_col, text_col)
-    groups = connected_components(links, "member", "rep").withColumnRenamed("node", "digest")
-    grouped = materialize(rows.join(groups, "digest", "left").select("doc", "digest", F.coalesce("component", "digest").alias("root")), "near-groups")
+    groups = connected_components(links, "member", "rep").withColumnRenamed("node", "nid")
+    grouped = materialize(rows.join(groups, "nid", "left").select("doc", "digest", F.coalesce("component", "nid").alias("root")), "near-groups")
     first = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc").isNull(), "doc", "digest")).alias("one")).where("n > 1")
     decided = grouped.select("digest", "root").distinct().join(first, "root").select("digest", F.col("one.doc").alias("keep_id"), F.col("one.digest").alias("keep_digest"))
     return exact_dedup.keep_decided(df, id_col, text_col, materialize(decided, "near-decided"))

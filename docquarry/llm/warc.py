@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import materialize, named, scratch_path, small_batches
 
 #: Compressed bytes at which a file is rolled, bytes of payload in a shard, and bytes from which equal payloads are revisits.
-ROLL_BYTES, SHARD_BYTES, REVISIT_BYTES = 64 << 20, 64 << 20, 1000
-#: Bytes that a record counts besides its payload, and the most shards, whose first keys are broadcast; beyond 6 TB shards grow.
+ROLL_BYTES, SHARD_BYTES, REVISIT_BYTES = 64 << 20, 16 << 20, 1000
+#: Bytes that a record counts besides its payload, and the most shards, whose first keys are broadcast; beyond 1.6 TB shards grow.
 RECORD_BYTES, MAX_SHARDS = 400, 100_000
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
