@@ -144,7 +144,7 @@ class Answerer:
         run.queries += queries
         vectors = self.encode(queries)
         asked = self.spark.createDataFrame([(base + i, q, [float(x) for x in v]) for i, (q, v) in enumerate(zip(queries, vectors, strict=True))], "query_id int, query string, embedding array<double>")
-        found = retrieval.hybrid_search(c.chunks, c.postings, asked, self.scorer, scope, s.search_k, s.rrf_k, s.rerank_k)
+        found = retrieval.hybrid_search(c.chunks, asked, self.scorer, scope, c.postings, s.search_k, s.rrf_k, s.rerank_k)
         hits = found.select("query_id", "rerank_rank", "chunk_id", "document_id").join(c.chunks.select("chunk_id", "parent_id"), "chunk_id").join(c.parents.select("parent_id", "cost"), "parent_id")
         order = F.row_number().over(Window.partitionBy("run").orderBy("query_id", "rerank_rank"))  # queries_per_hop * rerank_k rows
         known = {e["parent_id"] for e in run.evidence}

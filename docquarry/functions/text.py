@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 # The words that searches leave out.
 STOPWORDS = ("a ao aos as da das de do dos e em na nas no nos o os ou para por qual quais que sobre sao se um uma").split()
 
-#: Blocks whose characters decompose to letters and digits: Latin, super- and subscripts, letter-like signs, ligatures, full-width forms.
-_BLOCKS = ((0xA0, 0x250), (0x2B0, 0x2FF), (0x1D2C, 0x1DC0), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0xFB00, 0xFB07), (0xFF00, 0xFF5F))
+#: Blocks whose characters decompose to letters and digits: Latin, super- and subscripts, letter-like, enclosed and squared signs, ligatures, full-width forms,
+#: mathematical letters, and letters in circles and squares beyond the basic plane.
+_BLOCKS = ((0xA0, 0x250), (0x2B0, 0x2FF), (0x1D2C, 0x1DC0), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0x2C60, 0x2C80), (0x3200, 0x3400), (0xA69C, 0xA69E), (0xA770, 0xA7FA),
+           (0xAB5C, 0xAB6A), (0xFB00, 0xFB07), (0xFF00, 0xFF5F), (0x1D400, 0x1D800), (0x1F100, 0x1F200))
 
 
 @cache
@@ -130,6 +132,7 @@ PERSON_BLOCKED = ("nome", "tbd", "total", "totais", "subtotal", "sub total", "ta
 PERSON_BLOCKED_IMPORT = (*PERSON_BLOCKED, "custo dell", "historico de margem para prestacao de contas dell")
 PERSON_PREFIXES = ("rh ", "sub total", "subtotal", "total ", "totais ", "custo ", "historico ", "margem ")
 ROLE_BLOCKED = ("ufc", "s vinculo", "total", "totais", "custo dell")
+ROLE_BLOCKED_IMPORT = (*ROLE_BLOCKED, "column")
 _WORDS = "[A-Za-zÀ-ÿ]+"
 
 

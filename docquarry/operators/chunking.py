@@ -38,22 +38,26 @@ def sections(df: DataFrame, text_col: str = "text") -> DataFrame:
     bodies, titles = F.split(text, _HEADING, -1), F.regexp_extract_all(text, F.lit(_HEADING), 1)
     whole = F.regexp_extract_all(text, F.lit(_HEADING), 0)
     lengths = F.zip_with(F.concat(F.array(F.lit("")), whole), bodies, lambda h, b: F.struct(F.length(h).alias("h"), F.length(b).alias("b")))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["h"] + x["b"])
+    block = lambda i: F.floor(i / 256).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), block(F.size(lengths) - 1)), lambda n: total(F.slice(lengths, n * 256 + 1, F.lit(256))))  # so a text of very many headings stays cheap
+    upto = lambda i: F.aggregate(F.slice(blocks, F.lit(1), block(i)), F.lit(0), lambda a, x: a + x) + total(F.slice(lengths, block(i) * 256 + 1, i % 256 + 1))
     placed = F.transform(bodies, lambda b, i: F.struct(
         F.when(i == 0, F.lit("")).otherwise(F.try_element_at(titles, i)).alias("title"), b.alias("raw"),
-        (F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["h"] + x["b"]) - F.length(b)).alias("text_start")))
+        (upto(i) - F.length(b)).alias("text_start")))
     full = F.filter(placed, lambda s: strip(s["raw"]) != "")
     others = [c for c in df.columns if c != text_col]
     return df.select(*others, F.posexplode(full).alias("section_index", "s")).select(
         *others, "section_index", F.col("s.title").alias("title"), strip(F.col("s.raw")).alias("body"), F.col("s.text_start").alias("text_start"), (F.col("s.text_start") + F.length("s.raw")).alias("text_end"))
 
 
-def _tiles(tokens: Column, first: Column, stop: Column, size: int) -> Column:
-    """Starts of tiles of size tokens from first to before stop."""
-    return F.when(stop > first, F.sequence(first, stop - 1, F.lit(size)))
+def _tiles(tokens: Column, size: Column) -> Column:
+    """ARRAY<STRUCT<at, part>>: tokens cut into tiles of size. Each tile carries its own tokens, so a long text is not copied for each."""
+    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, size), lambda at: F.struct(at.alias("at"), F.slice(tokens, at + 1, size).alias("part"))))
 
 
-def _text(tokens: Column, start: Column, stop: Column) -> Column:
-    return F.regexp_replace(F.array_join(F.slice(tokens, start + 1, stop - start), ""), r"(?U)\s+$", "")
+def _text(tokens: Column) -> Column:
+    return F.regexp_replace(F.array_join(tokens, ""), r"(?U)\s+$", "")
 
 
 def _titled(title: Column, body: Column) -> Column:
@@ -61,25 +65,25 @@ def _titled(title: Column, body: Column) -> Column:
 
 
 def parents(df: DataFrame, parent_tokens: int = PARENT_TOKENS, child_tokens: int = CHILD_TOKENS) -> DataFrame:
-    """One row per parent passage: parent_start, parent_stop (tokens), parent_id, parent_text.
+    """One row per parent passage: parent_start, parent_stop (tokens of the section), parent_id, parent_text, tokens (its own).
 
     df has document_id, version, section_index, title, body and chunk_kind (null for prose; any other kind is one whole record).
     """
-    cut = df.withColumn("tokens", tokens_with_space(strip(F.col("body")))).withColumn("n", F.size("tokens"))
-    size = F.when(F.col("chunk_kind").isNull(), F.lit(parent_tokens)).otherwise(F.greatest(F.col("n"), F.lit(1)))
-    cut = cut.where("n > 0").withColumn("parent_start", F.explode(F.sequence(F.lit(0), F.col("n") - 1, size)))
-    cut = cut.withColumn("parent_stop", F.least(F.col("parent_start") + size, F.col("n")))
-    text = _titled(F.col("title"), _text(F.col("tokens"), F.col("parent_start"), F.col("parent_stop")))
+    cut = df.withColumn("all_tokens", tokens_with_space(strip(F.col("body"))))
+    size = F.when(F.col("chunk_kind").isNull(), F.lit(parent_tokens)).otherwise(F.greatest(F.size("all_tokens"), F.lit(1)))
+    cut = cut.withColumn("tile", F.explode(_tiles(F.col("all_tokens"), size))).drop("all_tokens")
+    cut = cut.withColumn("parent_start", F.col("tile.at")).withColumn("tokens", F.col("tile.part")).withColumn("parent_stop", F.col("parent_start") + F.size("tokens")).drop("tile")
+    text = _titled(F.col("title"), _text(F.col("tokens")))
     return cut.withColumn("parent_id", stable_id(F.col("document_id"), F.col("version"), F.col("section_index"), F.col("parent_start"))).withColumn("parent_text", text)
 
 
 def children(df: DataFrame, child_tokens: int = CHILD_TOKENS) -> DataFrame:
     """One row per child passage of parents(): child_start, child_stop, chunk_id, text. Tiles begin anew in each parent."""
-    size = F.when(F.col("chunk_kind").isNull(), F.lit(child_tokens)).otherwise(F.col("n"))
-    cut = df.withColumn("child_start", F.explode(F.sequence(F.col("parent_start"), F.col("parent_stop") - 1, size)))
-    cut = cut.withColumn("child_stop", F.least(F.col("child_start") + size, F.col("parent_stop")))
-    text = _titled(F.col("title"), _text(F.col("tokens"), F.col("child_start"), F.col("child_stop")))
-    return cut.withColumn("text", text).withColumn("chunk_id", stable_id(F.col("parent_id"), F.col("child_start"), F.col("text"))).drop("tokens")
+    size = F.when(F.col("chunk_kind").isNull(), F.lit(child_tokens)).otherwise(F.size("tokens"))
+    cut = df.withColumn("tile", F.explode(F.transform(_tiles(F.col("tokens"), size), lambda t: F.struct(t["at"].alias("at"), F.size(t["part"]).alias("n"), _text(t["part"]).alias("text"))))).drop("tokens")
+    cut = cut.withColumn("child_start", F.col("parent_start") + F.col("tile.at")).withColumn("child_stop", F.col("child_start") + F.col("tile.n"))
+    cut = cut.withColumn("text", _titled(F.col("title"), F.col("tile.text"))).drop("tile")
+    return cut.withColumn("chunk_id", stable_id(F.col("parent_id"), F.col("child_start"), F.col("text")))
 
 
 def prose(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ EXPORT_MIMES = {
     "application/vnd.google-apps.document": (f"{OFFICE}wordprocessingml.document", ".docx"), "application/vnd.google-apps.spreadsheet": (f"{OFFICE}spreadsheetml.sheet", ".xlsx"),
     "application/vnd.google-apps.presentation": (f"{OFFICE}presentationml.presentation", ".pptx"), "application/vnd.google-apps.drawing": ("image/png", ".png"),
 }
-SHEET_MIMES = ("text/csv", "application/vnd.ms-excel", "application/vnd.google-apps.spreadsheet", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet")
+SHEET_MIMES = ("application/vnd.google-apps.spreadsheet", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "text/csv")
+IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff")
 
 
 def snapshot_diff(listing: DataFrame, manifest: DataFrame, key: str = "id") -> DataFrame:
@@ -42,13 +45,17 @@ def _nth(df: DataFrame, order: list[Column], name: str = "nth", keys: list[str]
     """df with its place in order. Without keys the places are counted range by range, so no task sees all rows."""
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))  # one machine, as in tests
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # read twice below, and another run could draw other ranges: one result is kept
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
     within = ranged.withColumn(name, F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    sizes = within.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__range") < F.col("a.__range"), "left").groupBy("a.__range").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a partition
     return within.join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
 
 
@@ -69,9 +76,9 @@ def pair_with_existing(files: DataFrame, existing: DataFrame, key: str = "safe_n
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key; rows without a key all stay."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.where(F.col(key).isNotNull()).withColumn("__rn", rank).where("__rn = 1").drop("__rn").unionByName(df.where(F.col(key).isNull()))
+    """The first row of each key; rows without a key all stay. Tasks keep one row of a key each before any travels."""
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("__row")).select("__row.*")
+    return first.unionByName(df.where(F.col(key).isNull()))
 
 
 def upload_route(name: Column) -> Column:
@@ -81,8 +88,11 @@ def upload_route(name: Column) -> Column:
 
 
 def file_kind(mime: Column, name: Column) -> Column:
-    image = F.startswith(mime, F.lit("image/")) | F.lower(name).rlike(r"\.(png|jpg|jpeg|webp|tiff|bmp|gif)$")
-    return F.when(mime.isin(*SHEET_MIMES), "spreadsheet").when(image, "image").when(mime == "application/pdf", "pdf").otherwise("other")
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    image = F.startswith(kind, F.lit("image/"))
+    for ending in IMAGE_ENDINGS:
+        image = image | F.endswith(F.lower(F.coalesce(name, F.lit(""))), F.lit(ending))
+    return F.when(kind.isin(*SHEET_MIMES), "spreadsheet").when(image, "image").when(kind == "application/pdf", "pdf").otherwise("other")
 
 
 def kind_summary(files: DataFrame, kind: str = "kind") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,22 @@ def expected_variants(questions: DataFrame) -> DataFrame:
 def corpus_hits(questions: DataFrame, variants: DataFrame, corpus: DataFrame) -> DataFrame:
     """id, candidate_id, document_name, level: entries that support an expected answer, explicit before implicit.
 
-    Where the question names a source that the corpus has, only its entries count. The join is by containment and has no key; the
-    question side is the stated, counted set, and it is broadcast in whole.
+    Where a question names a source, only the entries of documents that the name fits count, and the two meet by the document's
+    name. Questions without one are compared with every entry, block by block, as containment has no key.
     """
-    from docquarry.operators.retrieval import small
+    from docquarry.operators.retrieval import in_blocks
 
     asked = questions.select("id", "source_document").join(variants, "id").select("id", "source_document", E.features(F.col("variant")).alias("v"))
     seen = corpus.select("candidate_id", "document_name", E.features(F.col("text")).alias("t"))  # each text is read once, not once a question
-    pairs = seen.crossJoin(small(asked)).withColumn("level", E.support_of(F.col("t"), F.col("v"))).where("level <> 'not_found'")
-    scoped = pairs.withColumn("own", F.when(F.coalesce(F.col("source_document"), F.lit("")) == "", True).otherwise(E.source_matches(F.col("source_document"), F.col("document_name"))))
-    return scoped.where("own").groupBy("id", "candidate_id", "document_name").agg(F.min("level").alias("level"))
+    bound = F.coalesce(F.col("source_document"), F.lit("")) != ""
+    names = corpus.select("document_name").distinct()
+    sources = asked.where(bound).select("source_document").distinct()
+    fits = [names.join(F.broadcast(part), E.source_matches(F.col("source_document"), F.col("document_name"))) for part in in_blocks(sources, "source_document")]
+    matched = functools.reduce(DataFrame.unionByName, fits).join(asked.where(bound), "source_document").select("id", "v", "document_name")
+    every = [seen.join(matched, "document_name")]
+    every += [seen.crossJoin(F.broadcast(part)) for part in in_blocks(asked.where(~bound).select("id", "v"), "id")]  # the stated set, a block at a time
+    levels = functools.reduce(DataFrame.unionByName, (part.select("id", "candidate_id", "document_name", E.support_of(F.col("t"), F.col("v")).alias("level")) for part in every))
+    return levels.where("level <> 'not_found'").groupBy("id", "candidate_id", "document_name").agg(F.min("level").alias("level"))
 
 
 def grounding(evidence_level: Column, answer_has_expected: Column) -> Column:

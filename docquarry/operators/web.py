@@ -47,8 +47,8 @@ def root_vote(found: DataFrame) -> DataFrame:
 def kept_pages(pages: DataFrame, text: str = "markdown", url: str = "url", order: str = "ord") -> DataFrame:
     """Pages with text, the first of each URL (all without one), numbered by their place in the input, so gaps remain."""
     full = pages.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    rank = F.row_number().over(Window.partitionBy(url).orderBy(order))
-    with_url = full.where(F.coalesce(F.col(url), F.lit("")) != "").withColumn("rn", rank).where("rn = 1").drop("rn")
+    named = full.where(F.coalesce(F.col(url), F.lit("")) != "")
+    with_url = named.groupBy(url).agg(F.min_by(F.struct(*pages.columns), F.col(order)).alias("__row")).select("__row.*")  # one page of a URL leaves each task
     return with_url.unionByName(full.where(F.coalesce(F.col(url), F.lit("")) == ""))
 
 

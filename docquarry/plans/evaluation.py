@@ -59,42 +59,6 @@ def source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.source_rank(ranked(spark, sf_dir), F.col("document_id").isin("src3", "src4"))
 
 
-_STAGES = [("q1", "dense", ["a", "b", "c", "a"]), ("q1", "pool", ["b", "c", "d"]), ("q1", "context", ["d"]), ("q2", "dense", ["z"])]
-_HITS = [("q1", "a"), ("q1", "d"), ("q1", "e"), ("q2", "y"), ("q1", "a")]
-
-
-def stages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_STAGES, "query_id string, stage string, candidate_ids array<string>")
-
-
-def hits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_HITS, "query_id string, candidate_id string")
-
-
-@query("SELECT * FROM (VALUES ('q1', 'a', 4, NULL, NULL), ('q1', 'd', NULL, 3, 1), ('q1', 'e', NULL, NULL, NULL), ('q2', 'y', NULL, NULL, NULL)) t(query_id, candidate_id, dense, pool, context)")
-def rank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.rank_movement(hits(spark), E.stage_positions(stages(spark)), ["dense", "pool", "context"])
-
-
-@query("SELECT * FROM (VALUES ('q1', 'a', 'not_selected'), ('q1', 'e', 'not_retrieved'), ('q2', 'y', 'not_retrieved')) t(query_id, candidate_id, reason)")
-def missed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected = spark.createDataFrame([("q1", "d")], "query_id string, candidate_id string")
-    return E.missed_hits(hits(spark), E.stage_positions(stages(spark)), selected)
-
-
-_FLAGS = ("hits", "explicit_scope", "scope_excludes", "retrieved_relevant", "in_pool", "in_context", "evidence_has_answer", "answer_has_expected", "abstained")
-
-
-@query("""SELECT *, CASE WHEN hits = 0 THEN 'benchmark_data_mismatch' WHEN explicit_scope AND scope_excludes AND NOT retrieved_relevant THEN 'document_resolution_failure' WHEN NOT in_pool THEN 'retrieval_failure'
- WHEN NOT in_context THEN 'selection_failure' WHEN evidence_has_answer AND NOT answer_has_expected THEN 'generation_failure' WHEN abstained THEN 'retrieval_failure' ELSE 'no_failure' END AS failure
- FROM (SELECT i % 2 AS hits, (i // 2) % 2 = 1 AS explicit_scope, (i // 4) % 2 = 1 AS scope_excludes, (i // 8) % 2 = 1 AS retrieved_relevant, (i // 16) % 2 = 1 AS in_pool, (i // 32) % 2 = 1 AS in_context,
- (i // 64) % 2 = 1 AS evidence_has_answer, (i // 128) % 2 = 1 AS answer_has_expected, (i // 256) % 2 = 1 AS abstained FROM range(512) t(i))""")
-def failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bit = lambda n: F.expr(f"(id div {2**n}) % 2")
-    rows = spark.range(512).select(bit(0).alias("hits"), *((bit(n) == 1).alias(name) for n, name in enumerate(_FLAGS) if n))
-    return rows.withColumn("failure", E.failure_class(*(F.col(c) for c in _FLAGS)))
-
-
 @query("""SELECT count(*) AS questions, count(*) FILTER (doc_id % 5 = 0) AS passed, count(*) FILTER (doc_id % 9 = 0) AS abstained, round(100 * avg((doc_id % 9 = 0)::INT), 2) AS abstained_percent, round(avg((doc_id % 4)::DOUBLE / 4), 4) AS mean_hit_rate FROM documents""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select(F.when(F.col("doc_id") % 5 == 0, "no_failure").otherwise("retrieval_failure").alias("failure"), (F.col("doc_id") % 9 == 0).alias("abstained"), (F.col("doc_id") % 4 / 4).alias("context_hit_rate"))
@@ -106,116 +70,6 @@ def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.failure_counts(docs(spark, sf_dir).select(F.when(F.col("doc_id") % 5 == 0, "no_failure").otherwise("retrieval_failure").alias("failure")))
 
 
-@query("SELECT query_id, r::DOUBLE AS evidence_recall, complete FROM (VALUES ('q1', 0.5, false), ('q2', 1.0, true), ('q3', 0.0, false)) t(query_id, r, complete)")
-def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.createDataFrame([("q1", 1, "alpha beta"), ("q1", 2, "gamma"), ("q1", 11, "delta"), ("q2", 1, "x y")], "query_id string, rank int, text string")
-    groups = spark.createDataFrame([("q1", 1, ["beta", "zeta"]), ("q1", 2, ["delta"]), ("q2", 1, ["y"]), ("q3", 1, ["y"])], "query_id string, phrase_group int, phrases array<string>")
-    return E.evidence_recall(found, groups)
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) t(k, ok)")
-def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["Ana", "10"], "ana tem 10", False), (2, ["Rui"], "ana", False), (3, [], "", True), (4, [], "algo", False)], "k int, terms array<string>, answer string, abstained boolean")
-    return rows.select("k", E.answer_contains(F.col("terms"), F.col("answer"), F.col("abstained")).alias("ok"))
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false)) t(k, ok)")
-def source_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Relatório 2024.pdf", "relatorio 2024 pdf"), (2, "relatório", "01_Relatório final.md"), (3, "x", "y"), (4, "", "y")], "k int, source string, name string")
-    return rows.select("k", E.source_matches(F.col("source"), F.col("name"), F.lit(None).cast("string")).alias("ok"))
-
-
-@query("SELECT k, r::DOUBLE AS rate FROM (VALUES (1, 0.6667), (2, 0.0), (3, 1.0)) t(k, r)")
-def context_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["a", "b"], ["a"], ["k"], ["k", "m"], 3), (2, ["a"], [], ["k"], [], 0), (3, ["a"], ["a"], [], [], 1)], "k int, h array<string>, c array<string>, hk array<string>, ck array<string>, n int")
-    return rows.select("k", E.context_hit_rate(*(F.col(c) for c in ("h", "c", "hk", "ck", "n"))).alias("rate"))
-
-
 @query("SELECT doc_id, lower(source) || '|' || lang || '|' || doc_id || '|' AS evidence_key FROM documents")
 def evidence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", E.evidence_key(F.col("source"), F.col("lang"), F.col("doc_id"), F.lit("")).alias("evidence_key"))
-
-
-_QUESTIONS = [("1", "Ana Souza", ["ana souza", "A. Souza"], None), ("2", "R$ 5.500,00", [], "budget.md"), ("3", "blue", [], None), ("4", "red house", [], None)]
-_CORPUS = [("c1", "team.md", "Coordinator: Ana Souza"), ("c2", "budget.md", "Total R$ 5.500,00"), ("c3", "other.md", "Total 5500,00 R$ 5.500,00"), ("c4", "house.md", "the house is red")]
-
-
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_QUESTIONS, "id string, expected_answer string, accepted_answers array<string>, source_document string")
-
-
-def corpus(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CORPUS, "candidate_id string, document_name string, text string")
-
-
-@query("SELECT * FROM (VALUES ('1', 'Ana Souza'), ('1', 'A. Souza'), ('2', 'R$ 5.500,00'), ('3', 'blue'), ('4', 'red house')) t(id, variant)")
-def expected_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.expected_variants(asked(spark))
-
-
-@query("SELECT * FROM (VALUES ('1', 'c1', 'explicit'), ('2', 'c2', 'explicit'), ('4', 'c4', 'implicit')) t(id, candidate_id, level)")
-def corpus_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.corpus_hits(asked(spark), R.expected_variants(asked(spark)), corpus(spark)).select("id", "candidate_id", "level")
-
-
-def results(spark: SparkSession) -> DataFrame:
-    hits = R.corpus_hits(asked(spark), R.expected_variants(asked(spark)), corpus(spark))
-    staged = [("1", "candidate_pool", ["c1", "c2"]), ("1", "selected_context", ["c1"]), ("2", "candidate_pool", ["c2"]), ("2", "selected_context", ["c3"]), ("4", "candidate_pool", ["c4"]), ("4", "selected_context", ["c4"])]
-    answers = [("1", "It is Ana Souza.", False, 0.6, False, False), ("2", "none", False, 0.5, False, False), ("3", "", True, None, False, False), ("4", "a green one", False, 0.1, False, False)]
-    return R.question_results(asked(spark), hits, spark.createDataFrame(staged, "query_id string, stage string, candidate_ids array<string>"),
-                              spark.createDataFrame(answers, "id string, answer string, abstained boolean, evidence_score double, explicit_scope boolean, scope_excludes boolean"), corpus(spark))
-
-
-@query("""SELECT id, hits::BIGINT AS hits, in_pool, in_context, evidence_level, grounding, confidence::DOUBLE AS confidence, context_hit_rate::DOUBLE AS context_hit_rate, failure FROM (VALUES ('1', 1, true, true, 'explicit', 'grounded', 0.8, 1.0, 'no_failure'), ('2', 1, true, false, 'not_found', 'unsupported', 0.25, 0.0, 'selection_failure'),
- ('3', 0, false, false, 'not_found', 'unsupported', 0.0, 0.0, 'benchmark_data_mismatch'), ('4', 1, true, true, 'implicit', 'weakly_grounded', 0.15, 1.0, 'generation_failure')) t(id, hits, in_pool, in_context, evidence_level, grounding, confidence, context_hit_rate, failure)""")
-def question_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark).drop("abstained")
-
-
-@query("""SELECT * FROM (VALUES ('# Evaluation'), ('Questions: 4'), ('Passed: 1'), ('Abstained: 1 (25.0%)'), ('| id | failure | grounding | confidence |'), ('| 1 | no_failure | grounded | 0.80 |'), ('| 2 | selection_failure | unsupported | 0.25 |'),
- ('| 3 | benchmark_data_mismatch | unsupported | 0.00 |'), ('| 4 | generation_failure | weakly_grounded | 0.15 |')) t(line)""")
-def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.report_lines(results(spark)).select("line")
-
-
-@query("SELECT * FROM (VALUES (1, 'graded'), (2, 'fallback'), (3, 'fallback'), (4, 'fallback'), (5, 'fallback')) t(k, status)")
-def grading_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "graded", "correct", "grounded", "no_failure", "explicit", 0.5), (2, "graded", "great", "grounded", "no_failure", "explicit", 0.5), (3, "graded", "correct", "grounded", "no_failure", "explicit", 1.5), (4, "error", "correct", "grounded", "no_failure", "explicit", 0.5), (5, "graded", "correct", "grounded", "no_failure", "explicit", None)]
-    made = spark.createDataFrame(rows, "k int, s string, c string, g string, f string, e string, p double")
-    return made.select("k", R.checked_grading(*(F.col(c) for c in ("s", "c", "g", "f", "e", "p"))).alias("status"))
-
-
-@query("SELECT * FROM (VALUES (1, 'short'), (2, 'aaaa bbbb [...truncated]'), (3, 'aaaaaaaaaa [...truncated]')) t(k, cut)")
-def cut_at_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "short"), (2, "aaaa bbbb cc"), (3, "aaaaaaaaaaaaaa b")], "k int, t string")
-    return rows.select("k", R.cut_at_word(F.col("t"), 10).alias("cut"))
-
-
-@query("SELECT * FROM (VALUES (1, 'text'), (2, 'plain **X** y'), (3, 'a')) t(k, clean)")
-def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "**MODO CONSULTA**\n\ntext\n\nPara sair do modo use /x"), (2, " plain **X** y "), (3, "a\n\npara SAIR do modo\nz")], "k int, t string")
-    return rows.select("k", R.clean_answer(F.col("t")).alias("clean"))
-
-
-@query("SELECT * FROM (VALUES (1), (3)) t(id)")
-def runnable_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame([(1, ["a"]), (2, ["a", "z"]), (3, [])], "id int, documents array<string>")
-    return R.runnable(cases, spark.createDataFrame([("a",), ("b",)], "document_name string")).select("id")
-
-
-@query("SELECT * FROM (VALUES ('c1', 'new.md'), ('c2', 'budget.md'), ('zz', NULL)) t(candidate_id, document_name)")
-def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.createDataFrame([("c1",), ("c2",), ("zz",)], "candidate_id string")
-    catalog = spark.createDataFrame([("c1", "new.md", "t")], "candidate_id string, document_name string, text string")
-    return R.lookup_candidates(ids, catalog, corpus(spark)).select("candidate_id", "document_name")
-
-
-@query("SELECT * FROM (VALUES ('q', ['a', 'c', 'b'])) t(query_id, candidate_ids)")
-def pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pool_union(spark.createDataFrame([("q", 1, 2, "c"), ("q", 2, 1, "b"), ("q", 1, 1, "a"), ("q", 2, 2, "a")], "query_id string, hop int, rank int, chunk_id string"))
-
-
-@query("SELECT * FROM (VALUES (1, ['What is  it', 'b']), (2, ['b']), (3, ['x'])) t(k, queries)")
-def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "What is  it", "what is it", ["b", "What is  it"]), (2, "x", "y", ["b", "b"]), (3, "x", "y", [])], "k int, r string, o string, p array<string>")
-    return rows.select("k", R.query_list(F.col("r"), F.col("o"), F.col("p")).alias("queries"))

@@ -75,12 +75,6 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", U.normalize_url(F.col("url")).alias("url"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'https://a.org/x'), (2, 'https://a.org/'), (3, NULL), (4, 'http://A.org/b'), (5, 'https://docs.a.org/')) t(k, url)""")
-def url_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, " a.org/x/?q=1#f "), (2, "https://a.org"), (3, "https:///x"), (4, "http://A.org/b//"), (5, "docs.a.org")]
-    return spark.createDataFrame(rows, "k int, raw string").select("k", U.normalize_url(F.col("raw")).alias("url"))
-
-
 _LINKS = f"""h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]+)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a [^>]*?href="([^"]+)"', 1), 1) - 1 AS pos FROM pages),
  r AS (SELECT page_id AS page, pos, href, url AS base, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN {_part('url', 1)} || ':' || href
    WHEN href LIKE '/%' THEN lower({_part('url', 1)}) || '://' || {_part('url', 2)} || href WHEN regexp_matches(href, '^[?#]') THEN lower({_part('url', 1)}) || '://' || {_part('url', 2)} || {_part('url', 3)} || href
@@ -122,15 +116,6 @@ def docs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.docs_links(found.select("page", "target", root.alias("root"), F.lit("/").alias("prefix")))
 
 
-_VOTES = [("https://a.org/x", "https://a.org/docs/1"), ("https://a.org/x", "https://a.org/docs/2"), ("https://a.org/x", "https://docs.a.org/z"), ("https://a.org/x", "https://b.org/docs/1"), ("https://a.org/x", "https://a.org/help/docs/3"), ("https://a.org/x", "https://a.org/help/4"), ("https://a.org/x", "https://a.org/plain")]
-
-
-@query("SELECT page, root, votes::BIGINT AS votes FROM (VALUES (1, 'https://a.org/docs', 2), (2, 'https://a.org/help', 1)) t(page, root, votes)")
-def root_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, *v) for v in _VOTES] + [(2, "https://a.org/x", "https://a.org/help/x"), (2, "https://a.org/x", "https://a.org/learn/x")]
-    return web.root_vote(spark.createDataFrame(rows, "page int, base string, target string"))
-
-
 @query("SELECT min(page_id) AS page_id FROM pages WHERE trim(html) <> '' GROUP BY regexp_replace(url, '[?#].*$', '')")
 def kept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages(spark, sf_dir).select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), F.col("html").alias("markdown"), F.col("page_id").alias("ord"))
@@ -189,44 +174,6 @@ def collection_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT * FROM (VALUES (1, ['__root__', 'alpha', 'Beta'], ['__root__', 'alpha'], ['alpha', 'Beta']), (2, ['b'], ['b', 'Beta'], ['b'])) t(k, names, toggled, kept)")
-def selection_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [" Beta", "alpha", "", "__root__", "Beta"], ["alpha", "Beta"]), (2, ["b", "b "], ["b"])], "k int, raw array<string>, available array<string>")
-    names = sessions.normalize_selection(F.col("raw"))
-    return rows.select("k", names.alias("names"), sessions.toggle_selection(names, F.lit("Beta")).alias("toggled"), sessions.available_selection(F.col("raw"), F.col("available")).alias("kept"))
-
-
-_ASKED = [(1, 1, "quais pdfs existem"), (1, 2, "e quais sao"), (1, 3, "liste os arquivos da base"), (1, 4, "qual o prazo do contrato"), (1, 5, "de qual pasta vieram"), (1, 6, "qual extrator foi usado"), (1, 7, "mostre as imagens"), (1, 8, "quantas planilhas"), (1, 9, "os nomes")]
-
-
-def asked(spark: SparkSession) -> DataFrame:
-    made = spark.createDataFrame(_ASKED, "conv_id int, turn int, text string").withColumn("intent", sessions.collection_intent(F.col("text")))
-    return sessions.with_follow_ups(made)
-
-
-@query("""SELECT * FROM (VALUES (1, 'pdfs', 'pdfs'), (2, NULL, 'pdfs'), (3, 'files', 'files'), (4, NULL, NULL), (5, 'folder', 'folder'), (6, 'extractor', 'extractor'), (7, 'images', 'images'), (8, 'spreadsheets', 'spreadsheets'), (9, NULL, 'spreadsheets')) t(turn, intent, resolved)""")
-def collection_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark).select("turn", "intent", "resolved")
-
-
-@query("""SELECT * FROM (VALUES (1, 1, ['a.pdf']), (2, 1, ['a.pdf']), (3, 3, ['a.pdf', 'b.csv', 'c.csv']), (7, 0, []), (8, 2, ['b.csv', 'c.csv']), (9, 2, ['b.csv', 'c.csv'])) t(turn, files, names)""")
-def inventory_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("c.csv", "spreadsheet"), ("a.pdf", "pdf"), ("b.csv", "spreadsheet")], "name string, kind string")
-    return sessions.inventory_answer(asked(spark), files).select("turn", "files", "names")
-
-
-@query("""SELECT * FROM (VALUES (2, 7), (0, 1), (0, 1), (0, 3)) t(sessions, next_id)""")
-def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ['{"sessions": [{"id": "chat_1"}, {"id": "chat_2"}], "next_chat_session_id": 7}', "not json", '{"next_chat_session_id": -4}', '{"sessions": null, "next_chat_session_id": 3}']
-    return sessions.read_state(spark.createDataFrame([(r,) for r in rows], "value string")).select(F.size("sessions").alias("sessions"), "next_id")
-
-
-@query("""SELECT * FROM (VALUES ('1', 'download', NULL, '.pdf'), ('2', 'download', NULL, '.docx'), ('3', 'export', 'image/png', '.png'), ('5', 'download', NULL, '.jpeg')) t(id, mode, export_mime, suffix)""")
-def file_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("1", "a", "application/pdf"), ("2", "b.DOCX", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("3", "c.x", "application/vnd.google-apps.drawing"), ("4", "d.zip", "application/zip"), ("5", "e.JPEG", "IMAGE/JPEG"), ("6", "f", None)]
-    return ingest.file_plans(spark.createDataFrame(rows, "id string, name string, mime_type string")).select("id", "mode", "export_mime", "suffix")
-
-
 @query(f"""WITH {_SNAPSHOT}, t AS (SELECT id, status, output_file FROM d WHERE status IN ('new', 'changed')), w AS (SELECT id, status, row_number() OVER (ORDER BY id) AS n FROM t WHERE output_file IS NULL),
  f AS (SELECT i AS number, row_number() OVER (ORDER BY i) AS n FROM range(1, (SELECT count(*) FROM w) + 4) t(i) WHERE i NOT IN (1, 4, 5))
  SELECT id, status, output_file FROM t WHERE output_file IS NOT NULL UNION ALL SELECT id, status, CASE WHEN number < 10 THEN '0' ELSE '' END || number || '_order_' || id || '.md' FROM w JOIN f USING (n)""")
@@ -238,17 +185,6 @@ def import_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.write_plan(ingest.snapshot_diff(listing, manifest), files, used)
 
 
-@query("""SELECT * FROM (VALUES (1, ['^/docs$', '^/docs/.*$']), (2, ['^/a/b$', '^/a/b/.*$']), (3, NULL), (4, ['^/$', '^//.*$'])) t(k, paths)""")
-def include_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "https://a.org/docs/x"), (2, "https://a.org/a/b/"), (3, "https://a.org/"), (4, "https://docs.a.org/x")]
-    return spark.createDataFrame(rows, "k int, url string").select("k", U.include_paths(F.col("url")).alias("paths"))
-
-
-@query("SELECT 18 AS next_id")
-def next_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.next_session_id(spark.createDataFrame([("chat_3",), ("chat_17",), ("other_99",), ("chat_x",)], "id string"))
-
-
 @query("SELECT l_linenumber AS k, CASE WHEN l_linenumber = 7 THEN 100 ELSE least(99, floor(100.0 * l_linenumber / 5))::INT END AS percent FROM lineitem GROUP BY l_linenumber")
 def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").alias("k")).distinct()

@@ -9,6 +9,7 @@ from docquarry.functions.text import document_title, excerpt, stable_id
 from docquarry.operators import chunking, context, evidence
 from docquarry.plans.registry import query
 
+
 _TOKENS = r"""p AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[^\s\p{Z}]+[\s\p{Z}]*') AS t FROM documents)"""
 _JOIN = r"regexp_replace(array_to_string(t[{a} + 1:{b}], ''), '[\s\p{{Z}}]+$', '')"
 
@@ -45,16 +46,6 @@ def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("document_id").alias("doc_id"), F.col("parent_start").cast("long").alias("parent_start"), "parent_id")
 
 
-_HEADED = "a\n# T1\nx\n\n##\nT2\ny z\n### T3\n\n# T4 \nlast  "
-
-
-@query("""SELECT * FROM (VALUES (1, 0, '', 'a', 0, 2), (1, 1, 'T1', 'x', 6, 10), (1, 2, 'T2', 'y z', 15, 20), (1, 3, 'T4 ', 'last', 33, 40),
- (2, 0, '', 'plain text', 0, 10)) t(doc, section_index, title, body, text_start, text_end)""")
-def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, _HEADED), (2, "plain text"), (3, "# only a heading\n"), (4, None)], "doc int, text string")
-    return chunking.sections(rows)
-
-
 @query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?m)^# (.*)$', 1), ''), 'doc-' || doc_id || '.md') AS title FROM documents")
 def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", document_title(F.col("text"), F.concat(F.lit("doc-"), "doc_id", F.lit(".md"))).alias("title"))
@@ -95,7 +86,17 @@ def context_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.admit(candidates(spark, sf_dir), budget=1000).select("query_id", "rank", "parent_id", "cost", "admitted", "used")
 
 
-@query()
+_TAKE = "NOT list_contains(r.known, q.parent_id) AND r.used + q.cost <= 1000 AND list_extract(r.per, q.d) + q.cost <= 400"
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES}, q AS (SELECT query_id || '-' || part AS query_id, rank, parent_id, document_id, doc_id % 3 + 1 AS d, cost FROM c),
+ r AS (SELECT query_id, 0::BIGINT AS rank, '' AS parent_id, '' AS document_id, 0 AS cost, false AS admitted, 0 AS used, NULL::VARCHAR AS reason, []::VARCHAR[] AS known, [0, 0, 0] AS per FROM (SELECT DISTINCT query_id FROM q)
+ UNION ALL SELECT q.query_id, q.rank, q.parent_id, q.document_id, q.cost, {_TAKE}, CASE WHEN {_TAKE} THEN r.used + q.cost ELSE r.used END,
+ CASE WHEN list_contains(r.known, q.parent_id) THEN 'known' WHEN list_extract(r.per, q.d) + q.cost > 400 THEN 'document_token_budget' WHEN r.used + q.cost > 1000 THEN 'token_budget' END,
+ CASE WHEN {_TAKE} THEN list_append(r.known, q.parent_id) ELSE r.known END,
+ CASE WHEN {_TAKE} THEN list_transform(r.per, lambda x, i: CASE WHEN i = q.d THEN x + q.cost ELSE x END) ELSE r.per END
+ FROM r JOIN q ON q.query_id = r.query_id AND q.rank = r.rank + 1)
+ SELECT query_id, rank::INT AS rank, parent_id, document_id, cost, admitted, used, reason FROM r WHERE rank > 0""")
 def context_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.admit(candidates(spark, sf_dir), budget=1000, per_document=400)
 
@@ -111,12 +112,6 @@ def coverage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.batches(candidates(spark, sf_dir), budget=350, max_batches=8, order="rank")
 
 
-@query("""SELECT * FROM (VALUES ('q', 1, 'E1', 3, 0), ('q', 2, 'E2', 2, 0), ('q', 3, 'E3', 4, 1), ('q', 4, 'E4', 7, 2), ('q', 5, 'E5', 1, 3)) t(query_id, ord, evidence_id, cost, batch)""")
-def focus_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("q", 1, "E1", "a b c"), ("q", 2, "E2", "d e"), ("q", 3, "E3", "f g h i"), ("q", 4, "E4", "1 2 3 4 5 6 7"), ("q", 5, "E5", "z")]
-    return context.focus_batches(spark.createDataFrame(rows, "query_id string, ord int, evidence_id string, excerpt string"), budget=5)
-
-
 @query(f"""WITH {_CANDIDATES}, q AS (SELECT query_id || '-' || part AS query_id, rank, parent_id, doc_id FROM c)
  SELECT query_id, parent_id, list_transform(list_sort(list({{'r': rank, 'd': doc_id}})), lambda x: cast(x.d AS VARCHAR)) AS chunk_ids, count(*) AS occurrences FROM q GROUP BY ALL""")
 def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,55 +127,3 @@ def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 600")
     spans = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", at.alias("start"), (at + F.col("event_id") % 90).alias("end"))
     return evidence.merge_spans(spans, ["user_id"])
-
-
-@query("""SELECT * FROM (VALUES (1, 8, 36), (2, 0, 5), (3, NULL, NULL), (4, NULL, NULL), (5, 4, 11), (6, 2, 5)) t(k, "start", "end")""")
-def literal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Before. The budget is\n one thousand. After", "The budget is one thousand.  "), (2, "Alpha beta", "ALPHA"), (3, "Alpha beta", "gamma"), (4, "Alpha", "  "), (5, "say a.b (c) now", "a.B (C)"), (6, "x été y", "ÉtÉ ")]
-    made = spark.createDataFrame(rows, "k int, text string, quote string").withColumn("s", evidence.literal_span(F.col("text"), F.trim("quote")))
-    return made.select("k", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-
-
-@query("""SELECT * FROM (VALUES ('E1', 0, 19, 'alpha beta gamma de', ['C1', 'C2']), ('E1', 24, 27, 'eps', ['C2']), ('E2', 5, 10, 'other', ['C1'])) t(evidence_id, "start", "end", quote, claim_ids)""")
-def focus_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = [("C1", "E1", "Alpha  beta gamma", 1), ("C2", "E1", "gamma de", 2), ("C2", "E1", "eps", 3), ("C9", "E1", "alpha", 4), ("C1", "E9", "alpha", 5), ("C1", "E2", "other", 6), ("C1", "E2", "missing", 7)]
-    return evidence.focus_spans(
-        spark.createDataFrame(picked, "claim_id string, evidence_id string, quote string, ord int"),
-        spark.createDataFrame([("E1", "alpha beta gamma delta  eps"), ("E2", "some other text")], "evidence_id string, excerpt string"),
-        spark.createDataFrame([("C1",), ("C2",)], "claim_id string"))
-
-
-_CLAIMS = [("q1", "B0C1", 1, ["E1", "E2"]), ("q1", "B0C2", 2, ["E2"]), ("q1", "B0C3", 3, []), ("q1", "B0C4", 4, ["E9"]), ("q2", "B0C1", 1, ["E1"]), ("q2", "B0C2", 2, ["E1"])]
-_VERDICTS = [("q1", "B0C1", "SUPPORTED"), ("q1", "B0C2", "CONTRADICTED"), ("q1", "B0C3", "SUPPORTED"), ("q1", "B0C4", "SUPPORTED"), ("q2", "B0C1", "PARTIALLY_SUPPORTED")]
-
-
-def claims(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CLAIMS, "query_id string, claim_id string, claim_order int, evidence_ids array<string>")
-
-
-@query("""SELECT * FROM (VALUES ('q1', 'B0C1', true, 'SUPPORTED'), ('q1', 'B0C2', true, 'CONTRADICTED'), ('q1', 'B0C3', false, 'UNSUPPORTED'), ('q1', 'B0C4', false, 'UNSUPPORTED'),
- ('q2', 'B0C1', true, 'PARTIALLY_SUPPORTED'), ('q2', 'B0C2', true, 'UNSUPPORTED')) t(query_id, claim_id, valid, status)""")
-def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("q1", "E1"), ("q1", "E2"), ("q2", "E1")], "query_id string, evidence_id string")
-    verdicts = spark.createDataFrame(_VERDICTS, "query_id string, claim_id string, status string")
-    return evidence.claim_verdicts(claims(spark), verdicts, known).select("query_id", "claim_id", "valid", "status")
-
-
-@query("""SELECT * FROM (VALUES ('q1', 'E1', 1), ('q1', 'E2', 2), ('q1', 'E9', 3), ('q2', 'E1', 1)) t(query_id, evidence_id, position)""")
-def cited_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.cited_order(claims(spark))
-
-
-@query("""SELECT * FROM (VALUES ('q1', 'E9')) t(query_id, evidence_id)""")
-def unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("E1",), ("E2",)], "evidence_id string")
-    return evidence.check_references(claims(spark), known).select("query_id", "evidence_id")
-
-
-@query("""SELECT a, b, c, d, CASE WHEN NOT a THEN 'abstained' WHEN NOT b OR c OR NOT coalesce(d, true) THEN 'partial' ELSE 'answered' END AS status
- FROM (VALUES (true), (false)) t1(a), (VALUES (true), (false)) t2(b), (VALUES (true), (false)) t3(c), (VALUES (true), (false), (NULL)) t4(d)""")
-def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two, three = [True, False], [True, False, None]
-    rows = [(a, b, c, d) for a in two for b in two for c in two for d in three]
-    made = spark.createDataFrame(rows, "a boolean, b boolean, c boolean, d boolean")
-    return made.withColumn("status", evidence.final_status(*(F.col(x) for x in "abcd")))

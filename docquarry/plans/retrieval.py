@@ -56,33 +56,22 @@ _SPARSE = f"""w AS (SELECT doc_id AS chunk_id, unnest({tokens_sql('text')}) AS t
  sp AS (SELECT query_id, chunk_id, sum(p.weight * q.weight) AS score FROM p JOIN q USING (token) GROUP BY ALL)"""
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.postings(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text"))
-
-
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("item_id") % QUESTIONS == 0)
-    split = asked.select(F.col("item_id").alias("query_id"), F.explode(search_tokens(F.col("text"))).alias("token"))
-    return split.groupBy("query_id", "token").agg((1 + F.log(F.count(F.lit(1)))).alias("weight"))
+    return R.question_terms(spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sparse_top_k(postings(spark, sf_dir), terms(spark, sf_dir))
-
-
-# equal sums may differ in the last bit, so ranks are compared on rounded scores
-_SPARSE_RANK = f"sr AS (SELECT query_id, chunk_id, round(score, 6) AS score, {_RANK.format('round(score, 6)')} AS rank FROM sp)"
+    asked = terms(spark, sf_dir)
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    return R.sparse_top_k(R.postings(chunks, tokens=asked), asked)
 
 
-def rounded_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = R.small(terms(spark, sf_dir).withColumnRenamed("weight", "q_weight"))
-    scored = postings(spark, sf_dir).join(q, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q_weight")), 6).alias("score"))
-    return R.top_k(scored, R.SEARCH_K)
+_SPARSE_RANK = f"sr AS (SELECT query_id, chunk_id, round(score, 9) AS score, {_RANK.format('round(score, 9)')} AS rank FROM sp)"
 
 
-@query(f"WITH {_SPARSE}, {_SPARSE_RANK} SELECT query_id, chunk_id, score, rank FROM sr WHERE rank <= 30")
+@query(f"WITH {_SPARSE}, {_SPARSE_RANK} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sr WHERE rank <= 30")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_sparse(spark, sf_dir).select("query_id", "chunk_id", "score", "rank")
+    return sparse(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _FUSED = f"""{_DENSE}, dr AS (SELECT query_id, chunk_id, {_RANK.format('score')} AS rank FROM s), {_SPARSE}, {_SPARSE_RANK},
@@ -93,7 +82,7 @@ _FUSED = f"""{_DENSE}, dr AS (SELECT query_id, chunk_id, {_RANK.format('score')}
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.fuse(R.dense_top_k(vectors(spark, sf_dir), questions(spark, sf_dir)), rounded_sparse(spark, sf_dir))
+    return R.fuse(R.dense_top_k(vectors(spark, sf_dir), questions(spark, sf_dir)), sparse(spark, sf_dir))
 
 
 @query(f"WITH {_FUSED} SELECT query_id, chunk_id, dense_rank, sparse_rank, round(rrf_score, 9) AS rrf_score, rank FROM fr WHERE rank <= 30")
@@ -116,10 +105,25 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("query_id", "chunk_id", "rank", "rerank_score", "rerank_rank")
 
 
-@query()
+@query(f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+ c AS (SELECT v.*, d.text FROM v JOIN documents d ON d.doc_id = v.vec_id WHERE v.label IN (1, 3, 5)),
+ a AS (SELECT b.item_id AS query_id, b.text AS query, v.e, v.n FROM benchmark b JOIN v ON v.vec_id = b.item_id WHERE b.item_id % 20 = 0),
+ s AS (SELECT a.query_id, c.vec_id AS chunk_id, list_dot_product(a.e, c.e) / (a.n * c.n) AS score FROM a, c), dr AS (SELECT query_id, chunk_id, {_RANK.format('score')} AS rank FROM s),
+ w AS (SELECT vec_id AS chunk_id, unnest({tokens_sql('text')}) AS token FROM c), p AS (SELECT token, chunk_id, 1 + ln(count(*)) AS weight FROM w GROUP BY ALL),
+ qw AS (SELECT query_id, unnest({tokens_sql('query')}) AS token FROM a), q AS (SELECT query_id, token, 1 + ln(count(*)) AS weight FROM qw GROUP BY ALL),
+ sp AS (SELECT query_id, chunk_id, sum(p.weight * q.weight) AS score FROM p JOIN q USING (token) GROUP BY ALL), {_SPARSE_RANK},
+ f AS (SELECT coalesce(d.query_id, x.query_id) AS query_id, coalesce(d.chunk_id, x.chunk_id) AS chunk_id, d.rank AS dense_rank, x.rank AS sparse_rank,
+   coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0) AS rrf_score
+   FROM (SELECT * FROM dr WHERE rank <= 30) d FULL JOIN (SELECT * FROM sr WHERE rank <= 30) x ON d.query_id = x.query_id AND d.chunk_id = x.chunk_id),
+ fr AS (SELECT *, {_RANK.format('rrf_score')} AS rank FROM f),
+ k AS (SELECT fr.query_id, fr.chunk_id, fr.dense_rank, fr.sparse_rank, fr.rrf_score, fr.rank, c.label AS document_id,
+   round(len(list_intersect(list_distinct({tokens_sql('a.query')}), list_distinct({tokens_sql('c.text')}))) / greatest(len(list_distinct({tokens_sql('a.query')})), 1)::DOUBLE, 9) AS rerank_score
+   FROM fr JOIN c ON c.vec_id = fr.chunk_id JOIN a USING (query_id) WHERE rank <= 30)
+ SELECT query_id, chunk_id, dense_rank, sparse_rank, round(rrf_score, 9) AS rrf_score, rank, document_id, rerank_score, {_RANK.format('rerank_score')} AS rerank_rank FROM k""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole retrieval as one plan over documents that have a vector; scope: two labels."""
+    """The whole retrieval as one plan over documents that have a vector; scope: three labels."""
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
     chunks = vectors(spark, sf_dir).withColumnRenamed("label", "document_id").join(texts, "chunk_id")
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.hybrid_search(chunks, postings(spark, sf_dir), asked.join(questions(spark, sf_dir), "query_id"), R.token_overlap, scope=[1, 3, 5])
+    found = R.hybrid_search(chunks, asked.join(questions(spark, sf_dir), "query_id"), lambda q, t: F.round(R.token_overlap(q, t), 9), scope=[1, 3, 5])
+    return found.withColumn("rrf_score", F.round("rrf_score", 9))

@@ -58,68 +58,6 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.column_profiles(cells, ["sheet"]).drop("sheet").withColumn("total", F.round("total", 2))
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 'Name'), (1, 2, 'Column_2'), (1, 3, 'Name_2'), (1, 4, 'a b'), (1, 5, 'Name_3'), (2, 1, 'Column_1'), (2, 2, 'Column_2')) t(sheet, "index", header)""")
-def header_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 1, "Name"), (1, 2, ""), (1, 3, " Name "), (1, 4, "a  b"), (1, 5, "Name"), (2, 1, None), (2, 2, " ")]
-    return tables.unique_headers(spark.createDataFrame(rows, "sheet int, index int, raw_header string"), ["sheet"]).select("sheet", "index", "header")
-
-
-@query("""SELECT sheet, row_number, pairs, o::BIGINT AS omitted_rows FROM (VALUES ('S', 2, ['a=1', 'c=3'], 0), ('S', 3, ['a=4'], 0)) t(sheet, row_number, pairs, o)""")
-def sheet_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = [("S", 1, ["", ""]), ("S", 2, ["a", "b", "c"]), ("S", 5, ["1", "", "3"]), ("S", 6, ["", "", ""]), ("S", 9, ["4"])]
-    made = tables.build_sheet(spark.createDataFrame(raw, "sheet string, physical int, cells array<string>"))
-    pairs = F.array_sort(F.transform(F.map_entries("row_values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return made.select("sheet", "row_number", pairs.alias("pairs"), "omitted_rows")
-
-
-_SHEET = """# budget.xlsx
-Extraction method: spreadsheet
-Total sheets: 1
-
-## Sheet: Team
-Spreadsheet file: budget.xlsx
-Data rows indexed: 3
-
-Column profiles:
-- Pay: numeric count=2, sum=3, min=1, max=2
-
-People index:
-- Person: Ana Souza | Role: Analista | Sheet: Team | Row: 2
-- Role: nobody
-
-Row records:
-- Spreadsheet file budget.xlsx | Sheet Team | Row 2: Name=Ana Souza | Cargo=Analista | Pay=1
-- Spreadsheet file budget.xlsx | Sheet Team | Row 3: Name=Rui Costa | Pay=2 | Cargo=Gestor | Pay=9
-- Spreadsheet file budget.xlsx | Sheet Team | Row 4: Name=Total | Pay=3
-"""
-
-
-def sheet_lines(spark: SparkSession) -> DataFrame:
-    return spreadsheet.parse_lines(spark.createDataFrame([("d1", _SHEET)], "document_id string, text string"))
-
-
-@query("""SELECT kind, n::BIGINT AS n FROM (VALUES ('summary', 2), ('sheet_summary', 2), ('column_profile', 1), ('people_index', 2), ('row_record', 3)) t(kind, n)""")
-def sheet_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet_lines(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT * FROM (VALUES ('Ana Souza', 'Analista', 'Team', 2), ('Rui Costa', 'Gestor', 'Team', 3)) t(name, role, sheet, row_number)""")
-def sheet_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spreadsheet.people(sheet_lines(spark)).select("name", "role", "sheet", "row_number")
-
-
-@query("""SELECT * FROM (VALUES (2, ['Cargo=Analista', 'Name=Ana Souza', 'Pay=1']), (3, ['Cargo=Gestor', 'Name=Rui Costa', 'Pay=9']), (4, ['Name=Total', 'Pay=3'])) t(row_number, cells)""")
-def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spreadsheet.chunks(sheet_lines(spark)).where("kind = 'row_record'")
-    return made.select("row_number", F.array_sort(F.transform(F.map_entries("row_values"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("cells"))
-
-
-@query("""SELECT * FROM (VALUES (0, 'summary', NULL), (1, 'sheet_summary', NULL), (2, 'column_profile', NULL), (3, 'people_index', 'Ana Souza'), (4, 'people_index', 'Rui Costa'),
- (5, 'row_record', 'Ana Souza'), (6, 'row_record', 'Rui Costa'), (7, 'row_record', NULL)) t(chunk_order, kind, entity_name)""")
-def sheet_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spreadsheet.chunks(sheet_lines(spark)).select("chunk_order", "kind", "entity_name")
-
-
 @query("""SELECT n_name AS sheet, c_custkey AS row_number, '- Spreadsheet file c.xlsx | Sheet ' || n_name || ' | Row ' || c_custkey || ': name=' || c_name || ' | segment=' || c_mktsegment AS line
  FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def sheet_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,15 +79,3 @@ def running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("n", F.row_number().over(by) - 1)
     return rows.groupBy("l_orderkey").agg(F.max("n").alias("last_order"))
-
-
-@query("""SELECT kind, n::BIGINT AS n FROM (VALUES ('summary', 0), ('sheet_summary', 3), ('column_profile', 1), ('people_index', 1), ('row_record', 2)) t(kind, n) WHERE n > 0""")
-def sheet_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rendered spreadsheet document, read back by the parser."""
-    rows = spark.createDataFrame([("S", 2, [("Name", "Ana Souza"), ("Pay", "1")]), ("S", 3, [("Name", "Total")])], "sheet string, row_number int, pairs array<struct<header:string,value:string>>")
-    profiles = spark.createDataFrame([("S", 1, "Pay: numeric count=2")], "sheet string, ord int, line string")
-    who = spark.createDataFrame([("S", 2, "Ana Souza", None)], "sheet string, row_number int, name string, role string")
-    lines = spreadsheet.render_document(rows, profiles, who, "f.xlsx")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "part", "ord", "line"))), lambda x: x["line"]), "\n")  # one small document
-    whole = lines.agg(F.concat(F.lit("# f.xlsx\n"), text).alias("text")).select(F.lit("d").alias("document_id"), "text")
-    return spreadsheet.parse_lines(whole).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -53,31 +53,6 @@ def doc_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-_NUMBERS = ["1.234,56", "1,234.56", "1.234", "1,234", "0.125", "5%", "R$ 10,00", "abc", "", "-7", "1.234.567", "12,5", "R$ 5.500,00", "1,234,567"]
-
-
-@query("""SELECT raw, table_value::DOUBLE AS table_value, profile_value::DOUBLE AS profile_value, evidence_value FROM (VALUES ('1.234,56', 1234.56, 1234.56, '1234.56'), ('1,234.56', 1.23456, 1234.56, '1234.56'), ('1.234', 1.234, 1.234, '1234'), ('1,234', 1.234, 1.234, '1234'),
- ('0.125', 0.125, 0.125, '125'), ('5%', NULL, 5, '5'), ('R$ 10,00', 10, 10, '10'), ('abc', NULL, NULL, NULL), ('', NULL, NULL, NULL), ('-7', -7, -7, '-7'),
- ('1.234.567', NULL, NULL, '1234567'), ('12,5', 12.5, 12.5, '12.5'), ('R$ 5.500,00', 5500, 5500, '5500'), ('1,234,567', NULL, NULL, NULL)) t(raw, table_value, profile_value, evidence_value)""")
-def number_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three readings side by side; the table reading is the lenient one here, since it stops on what is no number."""
-    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "raw string")
-    return rows.select("raw", N.table_text(F.col("raw")).try_cast(N.MONEY).cast("double").alias("table_value"), N.profile_number(F.col("raw")).alias("profile_value"), N.evidence_number(F.col("raw")).alias("evidence_value"))
-
-
-_TEXTS = [(1, "Paid R$ 5.500,00 on 03/04/24, then 12,5% of 1.000 in 2023-7-9"), (2, "no values"), (3, "v1.2 x3 -4 and 4 and 4,0; RS 10 rs 7"), (4, None), (5, "a 31-12-1999 b 7% 7 %")]
-
-
-@query("""SELECT * FROM (VALUES (1, ['1000', '12.5', '2023', '24', '3', '4', '5500', '7', '9']::VARCHAR[], ['12.5']::VARCHAR[], ['5500']::VARCHAR[], ['2023-07-09', '2024-04-03']::VARCHAR[]),
- (2, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]),
- (3, ['-4', '10', '2', '4', '7']::VARCHAR[], []::VARCHAR[], ['10', '7']::VARCHAR[], []::VARCHAR[]),
- (4, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]),
- (5, ['12', '1999', '31', '7']::VARCHAR[], ['7']::VARCHAR[], []::VARCHAR[], ['1999-12-31']::VARCHAR[])) t(k, numbers, percents, amounts, dates)""")
-def values_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return spark.createDataFrame(_TEXTS, "k int, text string").select("k", N.numbers_in(t).alias("numbers"), N.percentages_in(t).alias("percents"), N.currencies_in(t).alias("amounts"), N.dates_in(t).alias("dates"))
-
-
 @query(r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[^\p{L}\p{N}_]|$)', 1)) AS d FROM documents)
  SELECT doc_id, count(DISTINCT d) AS n FROM d GROUP BY doc_id""")
 def dates_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,35 +60,6 @@ def dates_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-_SUPPORT = [(1, "O valor foi R$ 5.500,00 no contrato", "5500,00"), (2, "O valor foi R$ 5.400,00", "5500,00"), (3, "Coordenação Geral", "coordenacao geral"), (4, "geral da coordenação", "coordenação geral"), (5, "", "x"), (6, "prazo 10 dias úteis", "10 dias"), (7, "taxa de 12,5%", "12,5%"), (8, "início 03/04/2024", "2024-04-03"), (9, "outra coisa", "")]
-
-
-@query("""SELECT * FROM (VALUES (1, 'implicit'), (2, 'not_found'), (3, 'explicit'), (4, 'implicit'), (5, 'not_found'), (6, 'explicit'), (7, 'explicit'), (8, 'implicit'), (9, 'not_found')) t(k, level)""")
-def support_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_SUPPORT, "k int, text string, variant string")
-    return rows.select("k", E.support_level(F.col("text"), F.col("variant")).alias("level"))
-
-
-_PEOPLE = [(1, "Maria da Silva", True), (2, "MARIA SILVA", False), (3, "Total geral", False), (4, "Ana 2", False), (5, "RH direto bolsas", False), (6, "Ana", False), (7, "José Álvares", True), (8, "Nome", False), (9, None, False)]
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, true), (8, false), (9, false)) t(k, person)")
-def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_PEOPLE, "k int, value string, want boolean").select("k", T.is_person_name(F.col("value")).alias("person"))
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, true), (6, false)) t(k, role)")
-def role_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Coordenador"), (2, "12,5"), (3, "2024-01-02 Analista"), (4, "UFC"), (5, "Analista de Sistemas II"), (6, "")]
-    return spark.createDataFrame(rows, "k int, value string").select("k", T.is_role(F.col("value")).alias("role"))
-
-
-@query("SELECT * FROM (VALUES (1, 'héé'), (2, 'olé'), (3, 'café')) t(k, text)")
-def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, bytearray("﻿héé".encode())), (2, bytearray("olé".encode())), (3, bytearray("café".encode("latin-1")))]
-    return spark.createDataFrame(rows, "k int, content binary").select("k", T.decode_with_fallback(F.col("content")).alias("text"))
-
-
 @query("""SELECT doc_id, regexp_replace(trim(source || ' / ' || lang || ' é.pdf'), '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM documents""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.safe_file_name(F.concat("source", F.lit(" / "), "lang", F.lit(" é.pdf"))).alias("safe"))
