@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import materialize, small_batches
 
 LENGTH, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Word forms that a worker remembers, and rows in one group when pieces of a length are numbered.
-REMEMBERED, GROUP_ROWS = 500_000, 20_000
+#: Word forms that a worker remembers, and pieces in one group when those of a length are numbered: by hash, or along an order.
+REMEMBERED, GROUP_ROWS, TURN_ROWS = 500_000, 500, 20_000
 #: Stretches of an order that are packed one after another: at most so many, of about so many sequences or more.
 STRETCHES, STRETCH_SEQUENCES = 32, 64
 #: Steps of the fit between two looks at its error.
@@ -312,7 +312,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         found.append(here)
     sent = spark.sparkContext.broadcast({c: np.concatenate([h[c] for h in found]) for c in _PLACE})
     if turn_col:
-        dealt = cut.withColumn("grp", F.floor(F.col("turn") / GROUP_ROWS))
+        dealt = cut.withColumn("grp", F.floor(F.col("turn") / TURN_ROWS))
     else:
         groups = spark.createDataFrame([(r["length"], -(-r["n"] // GROUP_ROWS)) for r in counts], "length long, groups long")
         dealt = cut.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.col("groups")))

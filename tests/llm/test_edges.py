@@ -15,7 +15,7 @@ ROWS = [(1, "one two three four"), (1, "one two three four"), (2, "ONE two three
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.lit("s"))).withColumn("n_chars", F.length("text").cast("long"))
-    for clash in ("doc", "digest", "kept", "fp", "tid", "body", "score", "block", "slot", "row", "member_id", "label", "value", "key"):
+    for clash in ("doc", "digest", "kept", "fp", "tid", "body", "score", "block", "slot", "row", "member_id", "label", "value", "key", "a.b", "shard", "nid", "c0", "keep_id"):
         df = df.withColumn(clash, F.lit(clash))
     return df.persist()
 
@@ -37,6 +37,24 @@ def test_odd_rows(odd, name):
     got = OPERATORS[name](odd).collect()
     if name in ("pii", "simhash", "exact", "mixing", "suffix", "quality"):
         assert len(got) == len(ROWS)
+    by = {}
+    for r in got:
+        by.setdefault(r["row"]["doc_id"] if name == "mixing" else r["doc"], []).append(r)
+    if name == "pii":
+        assert all(r["spans"] == [] for r in got)
+    elif name == "substring":
+        assert {(r["doc"], r["other"]) for r in got} == {(7, 6)} and all(r["similarity"] == 1.0 and r["stop"] == 60_000 for r in got)
+    elif name == "simhash":
+        assert {by[d][0]["component_id"] for d in (3, 4, 5)} == {3} and {r["component_id"] for r in by[1] + by[2]} == {1} and by[7][0]["component_id"] == 6 and by[None][0]["component_id"] is None
+    elif name == "mixing":
+        assert len({(r["slot"], r["place"]) for r in got}) == len(ROWS) and {r["source"] for r in got} == {None, "s"}
+    elif name == "suffix":
+        sizes = {d: (by[d][0]["n_bytes"], by[d][0]["n_removed"]) for d in (3, 4, 5, 6, 7, 8, 9, None)}
+        assert sizes[3] == sizes[4] == (0, 0) and sizes[5] == (4, 0) and all(n == gone for n, gone in (sizes[6], sizes[7], sizes[8], sizes[9])) and sizes[None] == (13, 0)
+    elif name == "quality":
+        assert all(0 <= r["score"] <= 1 for r in got) and by[3][0]["score"] == by[4][0]["score"]
+    elif name == "packing":
+        assert [len(by[d]) for d in (1, 2, 3, 4, 5, None)] == [2, 1, 1, 1, 1, 1]
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -83,3 +101,14 @@ def test_near_copies_are_judged_by_row(spark):
     data = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, four), (3, two)]
     kept = simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, three), (0, four), (1, one), (1, two)]
+
+
+def test_odd_pages(spark, tmp_path):
+    big = "<p>" * 400
+    rows = [(None, None, big), (None, "http://a/1", big), (1, None, None), (1, None, None), (1, "", ""), (2, "http://a b/\r\n", big), (2, "http://a b/\r\n", big), (3, "http://é/", "é")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for clash in ("page", "digest", "place", "kind", "shard", "first", "times", "payload", "a.b"):
+        df = df.withColumn(clash, F.lit(clash))
+    folder = f"file:{tmp_path}/warc"
+    got = sorted((r["page"] or 0, r["type"], r["payload_bytes"], r["refers_to"] or 0) for r in warc.read_archives(warc.write_archives(df, folder), folder).collect())
+    assert got == [(0, "revisit", 1200, 2)] * 2 + [(1, "response", 0, 0)] * 3 + [(2, "response", 1200, 0)] * 2 + [(3, "response", 2, 0)]

@@ -563,6 +563,49 @@ def test_near_passages(spark):
         assert min(len(x), len(y)) >= 50 and similarity(x, y) == pytest.approx(r["similarity"]) and r["similarity"] >= 0.8
 
 
+def test_recall_by_bands_of_similarity(spark):
+    """Edited pairs, and families of edited copies, against all pairs that are alike: found, or linked through others."""
+    draw = random.Random(1)
+    word = lambda n: [f"w{draw.randrange(5000)}" for _ in range(n)]
+
+    def edited(passage, n):
+        out = list(passage)
+        for _ in range(n):
+            k = draw.randrange(len(out))
+            out[k : k + 1] = draw.choice([[], [f"e{draw.randrange(5000)}"], [out[k], f"i{draw.randrange(5000)}"]])
+        return out
+
+    passages, groups = {}, []
+    for _ in range(160):
+        one = word(draw.randint(70, 250))
+        groups.append([one, edited(one, draw.randint(1, max(1, len(one) // 40)))])
+    for _ in range(25):
+        one = word(120)
+        groups.append([edited(one, draw.randint(0, 2)) for _ in range(8)])
+    for _ in range(10):  # chains: each copy is an edit of the one before
+        one, chain = word(110), []
+        for _ in range(15):
+            chain.append(one)
+            one = edited(one, draw.randint(1, 2))
+        groups.append(chain)
+    ids = list(range(sum(map(len, groups))))
+    draw.shuffle(ids)
+    pairs, texts = [], {}
+    for group in groups:
+        mine = [(ids.pop(), p) for p in group]
+        passages |= dict(mine)
+        texts |= {d: word(draw.randint(0, 150)) + p + word(draw.randint(0, 150)) for d, p in mine}
+        pairs += [(a, b, s) for i, (a, p) in enumerate(mine) for b, q in mine[i + 1 :] if min(len(p), len(q)) >= 50 and (s := similarity(p, q)) >= 0.8]
+    got = substring_dedup.near_passages(frame(spark, [(d, " ".join(t)) for d, t in texts.items()])).collect()
+    links = {(r["doc"], r["other"]) for r in got}
+    root = components(texts, links)
+    for low in (0.8, 0.85, 0.9, 0.95):
+        band = [(a, b) for a, b, s in pairs if low <= s < low + 0.05 or s == 1 and low == 0.95]
+        assert len(band) > 20 and sum(root[a] == root[b] for a, b in band) >= 0.97 * len(band)
+    truth = components(texts, [(a, b) for a, b, _ in pairs])
+    assert all(truth[a] == truth[b] for a, b in links)
+
+
 def test_edited_passages_against_brute_force():
     draw = np.random.default_rng(5)
     word = lambda n: [f"w{v}" for v in draw.integers(0, 10**9, n)]
