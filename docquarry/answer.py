@@ -183,12 +183,27 @@ class Answerer:
         return run
 
 
-def load(spark: SparkSession, chunks: DataFrame, encoder, rows: DataFrame | None = None) -> Collection:
-    """Index chunks (chunk_id, document_id, parent_id, parent_text, text): vectors, postings and parents with their token counts."""
+def load(spark: SparkSession, chunks: DataFrame, encoder, rows: DataFrame | None = None, folder: str | None = None, name: str | None = None) -> Collection:
+    """Index chunks (chunk_id, document_id, parent_id, parent_text, text): vectors, postings and parents with their token counts.
+
+    folder and name (files.fingerprint() of the inventory and the settings): the index is read from there if a sound one stands
+    there, else made and stored, so an unchanged collection is never indexed again.
+    """
     from docquarry.boundary import encode
     from docquarry.operators.chunking import token_count
-
-    vectors = encode(chunks.select("chunk_id", "text"), encoder, "chunk_id", "text").select("chunk_id", "embedding")
-    full = chunks.select("chunk_id", "document_id", "parent_id", "text").join(vectors, "chunk_id")
-    parents = chunks.groupBy("parent_id").agg(F.min("parent_text").alias("text")).withColumn("cost", token_count(F.col("text")))
-    return Collection(full.persist(), parents.persist(), retrieval.postings(chunks).persist(), chunks.select("document_id").distinct(), rows)
+    from docquarry.sources import files
+
+    def made() -> tuple[DataFrame, DataFrame]:
+        vectors = encode(chunks.select("chunk_id", "text"), encoder, "chunk_id", "text").select("chunk_id", "embedding")
+        return chunks.select("chunk_id", "document_id", "parent_id", "parent_text", "text").join(vectors, "chunk_id"), retrieval.postings(chunks)
+
+    if folder and name:
+        found = files.load_index(spark, folder, name)
+        if found is None:
+            files.save_index(*made(), folder, name)
+            found = files.load_index(spark, folder, name)
+        full, postings = found
+    else:
+        full, postings = (df.persist() for df in made())
+    parents = full.groupBy("parent_id").agg(F.min("parent_text").alias("text")).withColumn("cost", token_count(F.col("text"))).persist()
+    return Collection(full.drop("parent_text"), parents, postings, full.select("document_id").distinct(), rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTEXT_TOKENS, MAX_BATCHES, FOCUS_CHARS = 3000, 16, 8000
@@ -57,9 +57,14 @@ def evidence(admitted: DataFrame, candidates: DataFrame, group: str = "query_id"
 def batches(df: DataFrame, budget: int = CONTEXT_TOKENS, max_batches: int = MAX_BATCHES, group: str = "query_id", order: str = "ord", item: str = "parent_id") -> DataFrame:
     """Next-fit batches for full coverage: group, order, item, cost, batch (null where skipped).
 
-    An item above the budget is skipped, a full batch closes, and nothing enters once max_batches are closed.
+    An item above the budget is skipped, a full batch closes, and nothing enters once max_batches are closed. What stands
+    behind max_batches full batches cannot enter, so only the items before that are folded: a number that the budget bounds.
     """
-    items = _ordered(df, [group], order, item, "cost")
+    by = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.col("cost") <= budget
+    marked = df.select(group, order, item, "cost", (fits & (F.coalesce(F.sum(F.when(fits, F.col("cost"))).over(by), F.lit(0)) <= budget * max_batches)).alias("__near"))
+    behind = marked.where("not __near").select(group, order, item, "cost", F.lit(None).cast("int").alias("batch"))
+    items = _ordered(marked.where("__near"), [group], order, item, "cost")
     zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("size"), F.expr("cast(array() as array<int>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -73,7 +78,7 @@ def batches(df: DataFrame, budget: int = CONTEXT_TOKENS, max_batches: int = MAX_
 
     done = items.select(group, "items", F.aggregate("items", zero, step, lambda a: a["out"]).alias("b"))
     rows = done.select(group, F.inline(F.zip_with("items", "b", lambda x, b: F.struct(x["ord"].alias(order), x[item].alias(item), x["cost"].alias("cost"), b.alias("batch")))))
-    return rows
+    return rows.unionByName(behind)
 
 
 def focus_batches(df: DataFrame, budget: int = CONTEXT_TOKENS, group: str = "query_id") -> DataFrame:

@@ -193,5 +193,6 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, count(*) AS sound FROM conversations WHERE role IN ('user', 'assistant', 'system') AND trim(text) <> '' GROUP BY conv_id""")
 def sound_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m"))
-    return rows.select("conv_id", F.size(sessions.sound_messages(F.col("m"))).cast("long").alias("sound"))
+    one = F.array(F.struct("role", F.col("text").alias("content")))  # message by message, however long a conversation is
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.size(sessions.sound_messages(one)).alias("n"))
+    return rows.groupBy("conv_id").agg(F.sum("n").alias("sound")).where("sound > 0")

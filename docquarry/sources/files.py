@@ -78,6 +78,40 @@ def load_questions(spark: SparkSession, path: str) -> DataFrame:
     return clean
 
 
+def only_questions(questions: DataFrame, ids: Sequence[str] | None) -> DataFrame:
+    """The questions with these ids (all where none are given); a selection that leaves none stops the call."""
+    if not ids:
+        return questions
+    left = questions.where(F.col("id").isin(*ids))
+    if left.isEmpty():
+        raise ValueError(f"no question among {', '.join(ids)}")
+    return left
+
+
+def save_state(df: DataFrame, path: str) -> None:
+    """Add df to the table at path as its newest state: manifests, chat states, sidecars. Spark commits it as a whole, so readers see the old state or the new one."""
+    last = read_or_empty(df.sparkSession, path, "seq long")[0].agg(F.max("seq")).first()[0] or 0
+    df.withColumn("seq", F.lit(last + 1).cast("long")).write.mode("append").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest state at path, or an empty one."""
+    states, there = read_or_empty(spark, path, f"{schema}, seq long")
+    return states.where(F.col("seq") == (states.agg(F.max("seq")).first()[0] or 0)).drop("seq") if there else states.drop("seq")
+
+
+def save_sidecars(docs: DataFrame, path: str) -> None:
+    """Sections of texts (relative_path, text, sections) with the hash of the text that they were made for; texts without sections get none."""
+    save_state(docs.where(F.size("sections") > 0).select("relative_path", F.sha2("text", 256).alias("markdown_sha256"), "sections"), path)
+
+
+def save_run(results: DataFrame, lines: DataFrame, folder: str, run_id: str, latest: bool = False) -> None:
+    """A run's results as JSON lines and its report (line_no, line) as text below its id, and below latest too where asked."""
+    for name in [run_id, "latest"] if latest else [run_id]:
+        results.write.mode("overwrite").json(f"{folder}/{name}/results")
+        lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/report")
+
+
 def read_csv_sheet(spark: SparkSession, path: str, sheet: str = "CSV") -> DataFrame:
     """sheet, physical, cells: all cells as text. The delimiter is guessed from the first characters of the file."""
     head = spark.read.text(path).limit(50).agg(F.array_join(F.collect_list("value"), "\n").alias("t")).first()["t"] or ""  # 50 lines
