@@ -190,7 +190,10 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
         both = parts.select("shard", *(F.col(c).alias(f"_{c}") for c in _KEY)).join(one, F.expr(" AND ".join(f"{c} <=> _{c}" for c in _KEY)))
         every = every.unionByName(full(both.select("shard", *_KEY, "url", "payload"), 1))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
-    sorted_rows = every.repartition(n, "shard").sortWithinPartitions("shard", *_order(), "kind")
+    # shards in turn over the tasks: for each task a key that Spark's hash deals to it, so that no two shards meet by chance
+    lots = spark.range(16 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("task")).agg(F.min("id").alias("lot"))
+    dealt = every.join(F.broadcast(lots), F.pmod("shard", F.lit(n)) == F.col("task"), "left")  # MAX_SHARDS rows, or as many as there are partitions
+    sorted_rows = dealt.repartition(n, "lot").sortWithinPartitions("shard", *_order(), "kind")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, known, first, times = _Roll(folder, roll_bytes, date), None, None, None
