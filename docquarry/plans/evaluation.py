@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import evaluate as E
-from docquarry.operators import reports as R
 from docquarry.plans.passages import docs
 from docquarry.plans.registry import query
 

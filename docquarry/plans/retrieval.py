@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import STOPWORDS, search_tokens
+from docquarry.functions.text import STOPWORDS
 from docquarry.operators import retrieval as R
 from docquarry.plans.registry import query
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import numbers as N
 from docquarry.functions import text as T
-from docquarry.operators import evaluate as E
 from docquarry.plans.passages import docs
 from docquarry.plans.registry import query
 from docquarry.plans.retrieval import _NORM, tokens_sql
