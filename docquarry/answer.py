@@ -1,23 +1,23 @@
-"""Answering questions: a driver loop that issues one Spark plan per hop and keeps only decisions itself.
+"""A loaded collection, and answers to questions about it.
 
 The plan, reasoning, new queries, claims and verdicts come from a language model (see boundary); retrieval, context
-selection, checks and the status come from the operators.
+selection, checks and the status come from the operators. Questions are answered by frontier, many at a time or one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.boundary import LanguageModel, structured
-from docquarry.functions.text import fold
-from docquarry.operators import context, evidence, retrieval, tables
+from docquarry.boundary import LanguageModel
+from docquarry.frontier import NO_ANSWER, Answers, Frontier
+from docquarry.operators import retrieval
 
-BROAD = ("summary", "list_extraction", "document_expansion", "aggregation")
-NO_ANSWER = "No sufficient evidence was found."
+__all__ = ["NO_ANSWER", "Answerer", "Answers", "Collection", "Run", "Settings", "load"]
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ class Settings:
     max_batches: int = 16
     child_tokens: int = 384
     parent_tokens: int = 1536
+    calculations: int = 1000
 
     def __post_init__(self) -> None:
         if self.parent_tokens < self.child_tokens or self.parent_tokens > self.context_tokens:
@@ -51,6 +52,9 @@ class Run:
     verdicts: list[dict] = field(default_factory=list)
     table: dict | None = None
     hops: int = 0
+    spans: list[dict] = field(default_factory=list)
+    focus: dict[str, str] = field(default_factory=dict)
+    trace: DataFrame | None = None
 
 
 @dataclass
@@ -64,13 +68,8 @@ class Collection:
     rows: DataFrame | None = None
 
 
-def _folded(spark: SparkSession, texts: list[str]) -> list[str]:
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, q string") if texts else None
-    return [r["k"] for r in rows.select("i", fold(F.col("q")).alias("k")).orderBy("i").collect()] if rows is not None else []
-
-
 class Answerer:
-    """ask() runs one question. encode gives query vectors, scorer is a reranker expression."""
+    """ask() runs one question of a conversation, ask_all() a table of them. encode gives query vectors, scorer is a reranker expression."""
 
     def __init__(self, spark: SparkSession, collection: Collection, model: LanguageModel, encode: Callable[[list[str]], list[list[float]]], scorer, settings: Settings | None = None) -> None:
         self.spark, self.collection, self.model, self.encode, self.scorer = spark, collection, model, encode, scorer
@@ -80,107 +79,23 @@ class Answerer:
         """Another language model; the index stays."""
         self.model = model
 
+    def ask_all(self, questions: DataFrame, in_tasks: bool = True) -> Answers:
+        """questions: question_id, question, optionally history. The model is asked in the tasks, so it must be one that can be sent there."""
+        return Frontier(self.spark, self.collection, self.model, self.encode, self.scorer, self.settings, in_tasks).run(questions)
+
     def ask(self, question: str, history: list[dict] | None = None) -> Run:
-        run, s = Run(question), self.settings
-        plan = structured(self.model, "plan", {"question": question, "history": (history or [])[-6:]}, lambda r: r["intent"])
-        if plan["intent"] == "casual":
-            run.status, run.stop_reason, run.answer = "answered", "casual", plan.get("reply", "")
-            return run
-        if plan.get("ambiguous"):
-            run.status, run.stop_reason, run.answer = "clarify", "ambiguous", plan.get("clarification", "")
-            return run
-        scope = plan.get("document_ids")
-        if scope is not None and not scope:
-            run.status, run.stop_reason, run.answer = "abstained", "insufficient_scope", NO_ANSWER
-            return run
-        if scope:
-            wanted = self.spark.createDataFrame([(d,) for d in scope], "document_id string")
-            if not wanted.join(self.collection.documents.select("document_id"), "document_id", "left_anti").isEmpty():
-                raise ValueError("the plan names unknown documents")
-        if plan.get("aggregation") and self.collection.rows is not None:
-            a = plan["aggregation"]
-            rows = retrieval.in_scope(self.collection.rows, scope)
-            run.table = tables.aggregate_rows(rows, a["operation"], a.get("column"), a.get("equals")).first().asDict()
-        queries = self._distinct([question, *plan.get("queries", [])], [])[: s.queries_per_hop]
-        while True:
-            run.hops += 1
-            added = self._hop(run, queries, scope)
-            if not added:
-                run.stop_reason = "no_new_evidence"
-                break
-            if plan.get("single_pass"):
-                run.stop_reason = "single_pass"
-                break
-            thought = structured(self.model, "reason", {"question": question, "evidence": [e["evidence_id"] for e in run.evidence]}, lambda r: r["sufficient"])
-            if thought["sufficient"]:
-                run.stop_reason = "evidence_sufficient"
-                break
-            if thought.get("unanswerable"):
-                run.stop_reason = "unanswerable"
-                break
-            if run.hops >= s.max_hops:
-                run.stop_reason = "max_hops"
-                break
-            asked = structured(self.model, "research", {"question": question, "previous": run.queries}, lambda r: r["queries"])["queries"]
-            queries = self._distinct(asked, run.queries)[: s.queries_per_hop]
-            if not queries:
-                run.stop_reason = "repeated_query"
-                break
-        return self._conclude(run, plan, scope)
-
-    def _distinct(self, queries: list[str], before: list[str]) -> list[str]:
-        keys = _folded(self.spark, [*before, *queries])
-        seen, out = set(keys[: len(before)]), []
-        for q, k in zip(queries, keys[len(before) :], strict=True):
-            if k and k not in seen:
-                seen.add(k)
-                out.append(q)
-        return out
-
-    def _hop(self, run: Run, queries: list[str], scope: list[str] | None) -> int:
-        """Retrieve for all queries of the hop in one plan and admit parents, queries in order, into what is left of the budget."""
-        s, c = self.settings, self.collection
-        base = len(run.queries)
-        run.queries += queries
-        vectors = self.encode(queries)
-        asked = self.spark.createDataFrame([(base + i, q, [float(x) for x in v]) for i, (q, v) in enumerate(zip(queries, vectors, strict=True))], "query_id int, query string, embedding array<double>")
-        found = retrieval.hybrid_search(c.chunks, asked, self.scorer, scope, c.postings, s.search_k, s.rrf_k, s.rerank_k)
-        hits = found.select("query_id", "rerank_rank", "chunk_id", "document_id").join(c.chunks.select("chunk_id", "parent_id"), "chunk_id").join(c.parents.select("parent_id", "cost"), "parent_id")
-        order = F.row_number().over(Window.partitionBy("run").orderBy("query_id", "rerank_rank"))  # queries_per_hop * rerank_k rows
-        known = {e["parent_id"] for e in run.evidence}
-        used = sum(e["cost"] for e in run.evidence)
-        ranked = hits.withColumn("run", F.lit(0)).withColumn("rank", order)
-        fresh = ranked.where(~F.col("parent_id").isin(*known)) if known else ranked
-        admitted = context.admit(fresh, budget=s.context_tokens - used, group="run").where("admitted")
-        rows = admitted.select("rank", "parent_id", "document_id", "cost").join(c.parents.select("parent_id", "text"), "parent_id").orderBy("rank").collect()  # within the token budget
-        for r in rows:
-            run.evidence.append({"evidence_id": f"E{len(run.evidence) + 1}", **r.asDict()})
-        return len(rows)
-
-    def _conclude(self, run: Run, plan: dict, scope: list[str] | None) -> Run:
-        if not run.evidence:
-            run.status, run.answer = "abstained", NO_ANSWER
-            return run
-        complete = True
-        if plan["intent"] in BROAD:
-            pool = retrieval.in_scope(self.collection.chunks, scope).select("parent_id").distinct().join(self.collection.parents, "parent_id")
-            cut = context.batches(pool.withColumn("query_id", F.lit(0)).withColumn("ord", F.col("parent_id")), self.settings.context_tokens, self.settings.max_batches)
-            complete = cut.where("batch is null").isEmpty()
-        got = structured(self.model, "answer", {"question": run.question, "evidence": [{"evidence_id": e["evidence_id"], "text": e["text"]} for e in run.evidence], "table": run.table}, lambda r: r["claims"])
-        claims = [{"claim_id": f"B0C{i + 1}", "claim_order": i, "text": c["text"], "evidence_ids": c["evidence_ids"]} for i, c in enumerate(got["claims"])]
-        judged = structured(self.model, "verify", {"claims": claims}, lambda r: r["verdicts"])
-        if claims:
-            q = lambda rows: [(0, *r) for r in rows]
-            table = self.spark.createDataFrame(q((c["claim_id"], c["claim_order"], c["text"], c["evidence_ids"]) for c in claims), "query_id int, claim_id string, claim_order int, text string, evidence_ids array<string>")
-            verdicts = self.spark.createDataFrame(q((v["claim_id"], v["status"]) for v in judged["verdicts"]) or [(1, "", "")], "query_id int, claim_id string, status string")
-            known = self.spark.createDataFrame(q((e["evidence_id"],) for e in run.evidence), "query_id int, evidence_id string")
-            run.verdicts = [r.asDict() for r in evidence.claim_verdicts(table, verdicts, known).orderBy("claim_order").collect()]
-        run.claims = [v for v in run.verdicts if v["status"] == "SUPPORTED"]
-        rejected = len(run.claims) < len(run.verdicts)
-        flags = self.spark.range(1).select(evidence.final_status(*(F.lit(x) for x in (bool(run.claims), bool(judged.get("central_supported")), rejected, complete))).alias("s"))
-        run.status = flags.first()["s"]
-        run.answer = NO_ANSWER if run.status == "abstained" else "\n\n".join(f"{c['text']} " + " ".join(f"[{e}]" for e in c["evidence_ids"]) for c in run.claims)
-        return run
+        """One question; the model is asked by the driver. A failure that belongs to the question is raised."""
+        turns = [{k: str(v) for k, v in t.items()} for t in history or []]
+        got = self.ask_all(self.spark.createDataFrame([(0, question, turns)], "question_id int, question string, history array<map<string,string>>"), in_tasks=False)
+        done = got.questions.first()
+        if done["status"] == "failed":
+            raise ValueError(done["error"])
+        texts = got.evidence.join(self.collection.parents.select("parent_id", "text"), "parent_id").orderBy("seq")
+        verdicts = [r.asDict(recursive=True) for r in got.claims.orderBy("batch", "claim_order").collect()]
+        table = got.calculations.first() if got.calculations is not None else None
+        return Run(question, done["status"], done["stop_reason"], done["answer"], list(done["queries"]), [r.asDict() for r in texts.collect()], [v for v in verdicts if v["accepted"]], verdicts,
+                   json.loads(table["table"]) if table else None, done["hops"], [r.asDict(recursive=True) for r in got.spans.orderBy("evidence_id", "start").collect()],
+                   {r["evidence_id"]: r["status"] for r in got.focus.collect()}, got.trace)
 
 
 def load(spark: SparkSession, chunks: DataFrame, encoder, rows: DataFrame | None = None, folder: str | None = None, name: str | None = None) -> Collection:

@@ -94,6 +94,17 @@ class ScriptedModel:
         return left.pop(0) if len(left) > 1 else left[0]
 
 
+@dataclass(frozen=True)
+class RuleModel:
+    """Stand-in without memory: rule(role, payload) is the reply. It can be sent to tasks."""
+
+    rule: Callable[[str, dict], dict]
+    identity: str = "rule-1"
+
+    def reply(self, role: str, payload: dict) -> dict:
+        return self.rule(role, payload)
+
+
 def structured(model: LanguageModel, role: str, payload: dict, check: Callable[[dict], None], attempts: int = 2) -> dict:
     """A reply that passes check, with one repair: the second attempt is told what was wrong with the first."""
     for attempt in range(attempts):

@@ -43,12 +43,23 @@ def _ranges(chars: list[str], gap: int = 16) -> list[str]:
     return [f"{a}-{b}" for a, b in out]
 
 
+@cache
+def _spelt_out() -> dict[str, str]:
+    return {k: v for k, v in _decompositions()[2].items() if any(c.isascii() and c.isalnum() for c in v)}
+
+
+@cache
+def _pairs() -> str:
+    """The characters that become several, as SQL: one expression instead of a call for each."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "array(" + ", ".join(f"named_struct('c', {quoted(c)}, 'p', {quoted(p)})" for c, p in _spelt_out().items()) + ")"
+
+
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks."""
     source, target, longer = _decompositions()
-    short = {k: v for k, v in longer.items() if any(c.isascii() and c.isalnum() for c in v)}
-    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in short.items()))
-    spelt = F.aggregate(pairs, text, lambda t, x: F.replace(t, x["c"], x["p"]))
+    short = _spelt_out()
+    spelt = F.aggregate(F.expr(_pairs()), text, lambda t, x: F.replace(t, x["c"], x["p"]))
     spelt = F.when(text.rlike("[" + "".join(_ranges(sorted(short))) + "]"), spelt).otherwise(text)
     plain = F.regexp_replace(F.translate(spelt, source, target), r"\p{Mn}+", "")
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.scratch import materialize
+
 CONTEXT_TOKENS, MAX_BATCHES, FOCUS_CHARS = 3000, 16, 8000
+#: Items in a range when a scope is cut into batches.
+RANGE_ROWS = 20_000
 
 
 def _ordered(df: DataFrame, group: list[str], order: str, *columns: str) -> DataFrame:
@@ -13,14 +17,15 @@ def _ordered(df: DataFrame, group: list[str], order: str, *columns: str) -> Data
     return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), *columns))).alias("items"))
 
 
-def admit(df: DataFrame, budget: int = CONTEXT_TOKENS, per_document: int | None = None, group: str = "query_id") -> DataFrame:
+def admit(df: DataFrame, budget: int = CONTEXT_TOKENS, per_document: int | str | None = None, group: str = "query_id") -> DataFrame:
     """Greedy admission in rank order: a parent already in costs nothing, one that does not fit is passed over, later ones still may.
 
     df: group, rank, parent_id, document_id, cost. Gives rank, parent_id, cost, admitted, used (tokens after the row) and
-    reason (known, token_budget, document_token_budget or null). per_document limits the tokens of each document.
+    reason (known, token_budget, document_token_budget or null). per_document limits the tokens of each document: a number, or a
+    column of df that has the number, or null for none, on each row.
     """
-    items = _ordered(df, [group], "rank", "parent_id", "document_id", "cost")
-    limit = F.lit(per_document if per_document is not None else 2**31 - 1)
+    quota = F.col(per_document) if isinstance(per_document, str) else F.lit(per_document)
+    items = _ordered(df, [group], "rank", "parent_id", "document_id", "cost", F.coalesce(quota.cast("int"), F.lit(2**31 - 1)).alias("quota"))
     zero = F.struct(F.lit(0).alias("used"), F.expr("cast(map() as map<string,int>)").alias("per"), F.expr("cast(array() as array<string>)").alias("known"),
                     F.expr("cast(array() as array<struct<rank:int,parent_id:string,document_id:string,cost:int,admitted:boolean,used:int,reason:string>>)").alias("out"))
 
@@ -28,7 +33,7 @@ def admit(df: DataFrame, budget: int = CONTEXT_TOKENS, per_document: int | None
         parent, doc, cost = x["parent_id"].cast("string"), x["document_id"].cast("string"), x["cost"].cast("int")
         known = F.array_contains(acc["known"], parent)
         mine = F.coalesce(F.try_element_at(acc["per"], doc), F.lit(0))
-        over_doc, over = mine + cost > limit, acc["used"] + cost > budget
+        over_doc, over = mine + cost > x["quota"], acc["used"] + cost > budget
         take = ~known & ~over & ~over_doc
         used = acc["used"] + F.when(take, cost).otherwise(0)
         per = F.when(take, F.map_concat(F.map_filter(acc["per"], lambda k, v: k != doc), F.create_map(doc, mine + cost))).otherwise(acc["per"])
@@ -58,11 +63,22 @@ def batches(df: DataFrame, budget: int = CONTEXT_TOKENS, max_batches: int = MAX_
     """Next-fit batches for full coverage: group, order, item, cost, batch (null where skipped).
 
     An item above the budget is skipped, a full batch closes, and nothing enters once max_batches are closed. What stands
-    behind max_batches full batches cannot enter, so only the items before that are folded: a number that the budget bounds.
+    behind max_batches full batches cannot enter, so only the items before that are folded: a number that the budget bounds. They are found by
+    prefix sums range by range: ranges of about RANGE_ROWS items, sums of whole ranges, then sums within the few ranges where a group's
+    bound may lie. No task orders a whole group.
     """
-    by = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    fits = F.col("cost") <= budget
-    marked = df.select(group, order, item, "cost", (fits & (F.coalesce(F.sum(F.when(fits, F.col("cost"))).over(by), F.lit(0)) <= budget * max_batches)).alias("__near"))
+    rows = df.select(group, order, item, F.col("cost").cast("int").alias("cost"))
+    n = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = materialize(rows.repartitionByRange(n, group, order).withColumn("__range", F.spark_partition_id()), "batch-ranges")
+    weight = F.when(F.col("cost") <= budget, F.col("cost")).otherwise(0)
+    sums = ranged.groupBy(group, "__range").agg(F.sum(weight).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    placed = ranged.join(sums.select(group, "__range", before.alias("__before")), [group, "__range"])
+    open_ = F.col("__before") <= budget * max_batches
+    within = Window.partitionBy(group, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.where(open_).withColumn("__sofar", F.col("__before") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    inner = inner.withColumn("__near", (F.col("cost") <= budget) & (F.col("__sofar") <= budget * max_batches))
+    marked = inner.select(group, order, item, "cost", "__near").unionByName(placed.where(~open_).select(group, order, item, "cost", F.lit(False).alias("__near")))
     behind = marked.where("not __near").select(group, order, item, "cost", F.lit(None).cast("int").alias("batch"))
     items = _ordered(marked.where("__near"), [group], order, item, "cost")
     zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("size"), F.expr("cast(array() as array<int>)").alias("out"))

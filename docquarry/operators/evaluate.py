@@ -86,13 +86,18 @@ def features(text: Column) -> Column:
     return F.struct(normalize_identifier(text).alias("plain"), numbers_in(text).alias("numbers"), percentages_in(text).alias("percents"), currencies_in(text).alias("amounts"), dates_in(text).alias("dates"), search_tokens(text).alias("words"))
 
 
+def telling_words(variant: Column) -> Column:
+    """The words of a variant (features()) that any text that supports it contains: those that are neither figures nor units, where it has figures."""
+    valued = (F.size(variant["numbers"]) > 0) | (F.size(variant["percents"]) > 0) | (F.size(variant["amounts"]) > 0) | (F.size(variant["dates"]) > 0)
+    return F.when(valued, F.filter(variant["words"], lambda w: ~w.isin(*UNITS) & ~w.rlike("^[0-9]+$"))).otherwise(variant["words"])
+
+
 def support_of(text: Column, variant: Column) -> Column:
     """explicit where the variant stands in the text, implicit where its values and telling words do, else not_found. Both are features()."""
     t, v = text, variant
     valued = (F.size(v["numbers"]) > 0) | (F.size(v["percents"]) > 0) | (F.size(v["amounts"]) > 0) | (F.size(v["dates"]) > 0)
     same = _subset(v["amounts"], F.array_union(t["amounts"], t["numbers"])) & _subset(v["percents"], F.array_union(t["percents"], t["numbers"])) & _subset(v["dates"], t["dates"]) & _subset(v["numbers"], t["numbers"])
-    telling = F.filter(v["words"], lambda w: ~w.isin(*UNITS) & ~w.rlike("^[0-9]+$"))
-    by_values = same & F.forall(telling, lambda w: F.contains(t["plain"], w))
+    by_values = same & F.forall(telling_words(v), lambda w: F.contains(t["plain"], w))
     by_words = (F.size(v["words"]) > 0) & F.forall(v["words"], lambda w: F.contains(t["plain"], w))
     implicit = F.when(valued, by_values).otherwise(by_words)
     return F.when(t["plain"] == "", "not_found").when((v["plain"] != "") & F.contains(t["plain"], v["plain"]), "explicit").when(implicit, "implicit").otherwise("not_found")

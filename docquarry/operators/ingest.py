@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.scratch import scratch_dir
+
 # File kinds by ending and by MIME type.
 TEXT_ENDINGS, SHEET_ENDINGS, RICH_ENDINGS = ("md", "txt"), ("csv", "xlsx"), ("docx", "pptx", "html", "png", "jpg", "jpeg", "webp", "tiff", "bmp")
 OFFICE = "application/vnd.openxmlformats-officedocument."
@@ -46,10 +46,7 @@ def _nth(df: DataFrame, order: list[Column], name: str = "nth", keys: list[str]
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))  # one machine, as in tests
+    scratch_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # read twice below, and another run could draw other ranges: one result is kept
     ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).checkpoint()

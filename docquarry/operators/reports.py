@@ -2,46 +2,118 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import normalize_identifier
 from docquarry.operators import evaluate as E
+from docquarry.operators.retrieval import small
+from docquarry.scratch import materialize
 
 # The outcomes that a grading may name.
 CORRECTNESS, GROUNDING, SUPPORT = ("correct", "partially_correct", "incorrect"), ("grounded", "weakly_grounded", "unsupported"), ("explicit", "implicit", "not_found")
 FAILURES = ("no_failure", "benchmark_data_mismatch", "document_resolution_failure", "retrieval_failure", "selection_failure", "generation_failure")
 CONTEXT_CHARS, QUESTION_CHARS, ANSWER_CHARS, CONTEXTS = 6000, 1000, 500, 5
+#: Characters of a gram, by which containment is looked up.
+GRAM = 3
 
 
 def expected_variants(questions: DataFrame) -> DataFrame:
     """id, variant: the expected and accepted answers of each question, trimmed, each normalized form once, the first as written."""
-    from docquarry.functions.text import normalize_identifier
-
     every = F.concat(F.array("expected_answer"), F.coalesce("accepted_answers", F.expr("cast(array() as array<string>)")))
     rows = questions.select("id", F.posexplode(every).alias("pos", "raw")).select("id", "pos", F.trim("raw").alias("variant")).withColumn("key", normalize_identifier(F.col("variant")))
     return rows.where("key <> ''").groupBy("id", "key").agg(F.min(F.struct("pos", "variant")).alias("v")).select("id", F.col("v.variant").alias("variant"))
 
 
+def _grams(words: Column) -> Column:
+    """The different runs of GRAM characters within words."""
+    long = F.filter(F.array_distinct(words), lambda w: F.length(w) >= GRAM)
+    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - GRAM + 1), lambda i: F.substring(w, i, F.lit(GRAM))))))
+
+
+def gram_candidates(entries: DataFrame, needles: DataFrame) -> DataFrame:
+    """entry, needle: pairs in which the entry has the needle's rarest gram. An entry whose text contains all of a needle's words is among them.
+
+    entries: entry, words; needles: needle, words (of GRAM characters at least one; others have no pairs). Two passes over the entries: how many have each gram of the
+    needles, then the entries that have a chosen one. Nothing else of an entry travels.
+    """
+    asked = needles.select("needle", F.explode(_grams(F.col("words"))).alias("gram"))
+    held = entries.select("entry", F.explode(_grams(F.col("words"))).alias("gram"))
+    counts = held.join(small(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return held.join(small(rarest.where("r.n > 0").select("needle", F.col("r.gram").alias("gram"))), "gram").select("entry", "needle")
+
+
+def _without_grams(needles: DataFrame) -> DataFrame:
+    return needles.where(~F.exists("words", lambda w: F.length(w) >= GRAM))
+
+
+def contained_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """entry, needle: texts (entry, plain) that contain needles (needle, plain) as substrings; both normalized. Only needles without a word of GRAM characters meet every text."""
+    words = lambda df, name: df.select(name, F.split("plain", " ").alias("words"))
+    wanted = words(needles, "needle")
+    short = _without_grams(wanted).select("needle")
+    pairs = gram_candidates(words(texts, "entry"), wanted)
+    if not short.isEmpty():
+        pairs = pairs.unionByName(texts.select("entry").crossJoin(small(short)))
+    return pairs.join(texts, "entry").join(needles.withColumnRenamed("plain", "inner"), "needle").where(F.contains("plain", "inner")).select("entry", "needle").distinct()
+
+
+def fitting_names(names: DataFrame, sources: DataFrame) -> DataFrame:
+    """document_name, source_document: names and sources of which one contains the other, both normalized and not empty."""
+    plain = lambda df, c: materialize(df.select(F.col(c), normalize_identifier(F.col(c)).alias("plain")).where("plain <> ''"), "names")
+    n, s = plain(names, "document_name"), plain(sources, "source_document")
+    inside = contained_pairs(n.withColumnRenamed("document_name", "entry"), s.withColumnRenamed("source_document", "needle")).toDF("document_name", "source_document")
+    around = contained_pairs(s.withColumnRenamed("source_document", "entry"), n.withColumnRenamed("document_name", "needle")).toDF("source_document", "document_name")
+    return inside.unionByName(around).distinct()
+
+
+def _value_keys(f: Column) -> Column:
+    """What a text says in figures, each as a key of its kind; an amount or a percentage may also stand as a plain number."""
+    tagged = lambda tag, values: F.transform(values, lambda x: F.concat(F.lit(tag), x.cast("string")))
+    text = lambda values: F.transform(values, lambda x: x.cast("string"))
+    n = text(f["numbers"])
+    return F.array_distinct(F.concat(tagged("n", n), tagged("d", text(f["dates"])), tagged("a", F.array_union(text(f["amounts"]), n)), tagged("p", F.array_union(text(f["percents"]), n))))
+
+
+def _value_key(f: Column) -> Column:
+    """One key that every text with all of a variant's figures has."""
+    first = lambda tag, values: F.when(F.size(values) > 0, F.concat(F.lit(tag), values[0].cast("string")))
+    return F.coalesce(first("n", f["numbers"]), first("d", f["dates"]), first("a", f["amounts"]), first("p", f["percents"]))
+
+
 def corpus_hits(questions: DataFrame, variants: DataFrame, corpus: DataFrame) -> DataFrame:
     """id, candidate_id, document_name, level: entries that support an expected answer, explicit before implicit.
 
     Where a question names a source, only the entries of documents that the name fits count, and the two meet by the document's
-    name. Questions without one are compared with every entry, block by block, as containment has no key.
+    name. Otherwise an index proposes what is then judged: whatever supports a variant contains its telling words, hence the rarest
+    run of characters of these; a variant of figures alone is found by its characters or by one of its values. Only variants
+    without either (a text of one or two letters) are held against every entry, a stated set in one broadcast.
     """
-    from docquarry.operators.retrieval import in_blocks
-
-    asked = questions.select("id", "source_document").join(variants, "id").select("id", "source_document", E.features(F.col("variant")).alias("v"))
-    seen = corpus.select("candidate_id", "document_name", E.features(F.col("text")).alias("t"))  # each text is read once, not once a question
+    asked = materialize(questions.select("id", "source_document").join(variants, "id").select("id", "source_document", E.features(F.col("variant")).alias("v")), "asked")
+    seen = corpus.select("candidate_id", "document_name", "text")
     bound = F.coalesce(F.col("source_document"), F.lit("")) != ""
-    names = corpus.select("document_name").distinct()
-    sources = asked.where(bound).select("source_document").distinct()
-    fits = [names.join(F.broadcast(part), E.source_matches(F.col("source_document"), F.col("document_name"))) for part in in_blocks(sources, "source_document")]
-    matched = functools.reduce(DataFrame.unionByName, fits).join(asked.where(bound), "source_document").select("id", "v", "document_name")
-    every = [seen.join(matched, "document_name")]
-    every += [seen.crossJoin(F.broadcast(part)) for part in in_blocks(asked.where(~bound).select("id", "v"), "id")]  # the stated set, a block at a time
-    levels = functools.reduce(DataFrame.unionByName, (part.select("id", "candidate_id", "document_name", E.support_of(F.col("t"), F.col("v")).alias("level")) for part in every))
+    fits = fitting_names(corpus.select("document_name").distinct(), asked.where(bound).select("source_document").distinct())
+    named = materialize(fits.join(asked.where(bound), "source_document").select("id", "v", "document_name"), "asked-named")
+
+    free = asked.where(~bound).select(F.struct("id", "v.plain").alias("needle"), "id", "v")
+    telling = E.telling_words(F.col("v"))
+    free = materialize(free.withColumn("words", F.when(F.exists(telling, lambda w: F.length(w) >= GRAM), telling).otherwise(F.split("v.plain", " "))).withColumn("told", F.exists(telling, lambda w: F.length(w) >= GRAM)), "asked-free")
+    entries = materialize(seen.select(F.col("candidate_id").alias("entry"), F.array_distinct(F.split(normalize_identifier(F.col("text")), " ")).alias("words")), "entry-words")
+    pairs = gram_candidates(entries, free.select("needle", "words"))
+    figures = free.where(~F.col("told")).select("needle", _value_key(F.col("v")).alias("key")).where("key IS NOT NULL")
+    if not figures.isEmpty():
+        values = seen.select(F.col("candidate_id").alias("entry"), E.features(F.col("text")).alias("t")).select("entry", F.explode(_value_keys(F.col("t"))).alias("key"))
+        pairs = pairs.unionByName(values.join(small(figures), "key").select("entry", "needle"))
+    short = _without_grams(free.select("needle", "words")).select("needle")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(seen.select(F.col("candidate_id").alias("entry")).crossJoin(small(short)))
+    proposed = materialize(pairs.distinct().withColumnRenamed("entry", "candidate_id").join(free.select("needle", "id", "v"), "needle").drop("needle"), "proposed")
+    flag = lambda df, c, name: df.select(c).distinct().withColumn(name, F.lit(True))
+    met = seen.join(flag(proposed, "candidate_id", "a"), "candidate_id", "left").join(small(flag(named, "document_name", "b")), "document_name", "left").where("a OR b")
+    judged = materialize(met.select("candidate_id", "document_name", E.features(F.col("text")).alias("t")), "judged")  # each text is read once, not once a question
+    every = judged.join(proposed, "candidate_id").unionByName(judged.join(named, "document_name"))
+    levels = every.select("id", "candidate_id", "document_name", E.support_of(F.col("t"), F.col("v")).alias("level"))
     return levels.where("level <> 'not_found'").groupBy("id", "candidate_id", "document_name").agg(F.min("level").alias("level"))
 
 
