@@ -194,3 +194,28 @@ def test_no_task_orders_a_whole_scope(spark, monkeypatch):
     cut = context.batches(df, 70, 3)
     assert cut.where("batch IS NOT NULL").count() == 30 and cut.count() == 20_000
     assert max(r["count"] for r in ranged[0].groupBy("__range").count().collect()) <= 1_500
+
+
+def test_benchmark_run(spark, collection):
+    from docquarry import benchmark
+
+    data = [("q1", "atlas lake two hops", "financed by aurora", None, None), ("q2", "unknown atlas", "aurora", ["fund"], None), ("q3", "both atlas project", "staff list", None, "doc a"), ("q4", "hello", "no such words", None, None), ("q5", "broken atlas", "schedule", None, "doc a")]
+    questions = spark.createDataFrame(data, "id string, question string, expected_answer string, accepted_answers array<string>, source_document string")
+    corpus = spark.createDataFrame([(c, d, f"doc {d}", t) for c, d, _, t in TEXTS], "candidate_id string, document_id string, document_name string, text string")
+
+    def extractive(role, payload):
+        if role == "answer" and "unknown" not in payload["question"]:
+            return {"claims": [{"text": e["text"], "evidence_ids": [e["evidence_id"]]} for e in payload["evidence"]]}
+        return rule(role, payload)
+
+    made = benchmark.run(answerer(spark, collection, extractive, context_tokens=10), questions, corpus)
+    got = {r["id"]: r for r in made.results.collect()}
+    assert len(got) == 5
+    assert (got["q1"]["hits"], got["q1"]["in_context"], got["q1"]["grounding"], got["q1"]["failure"]) == (1, True, "grounded", "no_failure")
+    assert got["q2"]["hits"] == 2 and got["q2"]["abstained"] and got["q2"]["failure"] in ("retrieval_failure", "generation_failure")
+    assert got["q3"]["hits"] == 1 and not got["q3"]["in_pool"] and got["q3"]["failure"] == "retrieval_failure"
+    assert got["q4"]["failure"] == "benchmark_data_mismatch"
+    assert got["q5"]["abstained"] and got["q5"]["hits"] == 1
+    counters = made.counters.first()
+    assert (counters["questions"], counters["passed"], counters["abstained"]) == (5, 1, 2)
+    assert sum(r["questions"] for r in made.failures.collect()) == 5
