@@ -6,8 +6,8 @@ the pair together. All fingerprints at one variant lie within two bits of each o
 whatever the corpus is, and linking each to the smallest of its bucket loses no component.
 
 near_copies() finds texts whose five-word shingles are SIMILARITY alike. An edited word changes one word of a text but
-five of its shingles, so its fingerprints are over single words, in TABLES independent ones; the pairs that collide in a ball are
-verified by the exact similarity of their shingles.
+five of its shingles, so its fingerprints are over single words, short, and several; each is hashed together with a smallest shingle of the text, which keeps
+texts of common words apart. Pairs that collide in a ball are verified by the exact similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from docquarry.llm import exact_dedup
 from docquarry.llm.common import connected_components, materialize, named, small_batches
 
 SEED, WIDTH, BITS = 42, 3, 64
-#: Words of a shingle, similarity of near copies, fingerprints over single words that propose them, and ways in which a ball is split.
-SHINGLE, SIMILARITY, TABLES, SPLITS = 5, 0.8, 2, 4
+#: Words of a shingle, similarity of near copies, short fingerprints over single words that propose them and their bits, smallest shingles that they are hashed with, and
+#: first texts that a bucket's members meet in turn.
+SHINGLE, SIMILARITY, TABLES, SHORT, SPLITS, ROUNDS = 5, 0.8, 2, 16, 3, 3
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -94,48 +95,57 @@ def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(by_print, "fp").select("doc", "fp", "root", "component_id")
 
 
-def _votes(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes, as a signed number."""
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finalizer of a 64-bit hash."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
-def word_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
-    """Independent SimHashes over the single words of a text, repeats included, as signed numbers; zeros without words."""
+def word_hashes(text: bytes) -> np.ndarray:
     words = text.lower().split()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    out = []
-    for k in range(tables):
-        mixed = (h ^ np.uint64(SEED + k)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        out.append(_votes(mixed ^ (mixed >> np.uint64(29))))
-    return out
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def short_fingerprints(hashes: np.ndarray) -> list[int]:
+    """TABLES fingerprints of SHORT bits over the single words of a text, repeats included: blocks of one SimHash. Zeros without words."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 65536):
+        ones += np.unpackbits(_mixed(hashes[k : k + 65536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return [bits >> SHORT * k & (1 << SHORT) - 1 for k in range(TABLES)]
 
 
-def shingle_set(text: bytes) -> np.ndarray:
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
     """The different hashes of the five-word shingles; of a shorter text that of all its words, of one without words a zero."""
-    words = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    grams = [b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))]
-    return np.unique(np.fromiter((h(g, SEED) for g in grams), np.uint64, len(grams)))
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    width = min(SHINGLE, len(hashes))
+    n = len(hashes) - width + 1
+    line = np.full(n, SEED + width, np.uint64)
+    for k in range(width):
+        line = _mixed(line * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
+    return np.unique(line)
+
+
+def least_shingles(shingles: np.ndarray) -> list[int]:
+    """The smallest shingle under each of SPLITS hash functions."""
+    return [int((_mixed(shingles ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(1)).min()) for k in range(1, SPLITS + 1)]
 
 
-def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = [word_fingerprints(x.as_py()) for x in b["body"]]
-        yield pa.RecordBatch.from_arrays([b["doc"], b["digest"], pa.array(prints, pa.list_(pa.int64()))], ["doc", "digest", "prints"])
+        words = [word_hashes(x.as_py()) for x in b["body"]]
+        prints = pa.array([short_fingerprints(w) for w in words], pa.list_(pa.int32()))
+        least = pa.array([least_shingles(shingle_hashes(w)) for w in words], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b["doc"], b["digest"], prints, least], ["doc", "digest", "prints", "least"])
+    pa.default_memory_pool().release_unused()
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's shingle set, and its smallest member under SPLITS hash functions."""
-    names = ["nid", "shingles", "least"]
     for b in batches:
-        sets = [shingle_set(x.as_py()) for x in b["body"]]
-        least = [[int(((x ^ np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(1)).min()) for k in range(1, SPLITS + 1)] for x in sets]
-        yield pa.RecordBatch.from_arrays([b["nid"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))], names)
+        sets = [shingle_hashes(word_hashes(x.as_py())).tobytes() for x in b["body"]]
+        yield pa.RecordBatch.from_arrays([b["nid"], pa.array(sets, pa.binary())], ["nid", "shingles"])
     pa.default_memory_pool().release_unused()
 
 
@@ -144,6 +154,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for mine, theirs in zip(b["mine"], b["theirs"], strict=True):
             x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(theirs.as_py(), np.uint64)
+            if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                keep.append(False)
+                continue
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
         yield b.select(["member", "rep"]).filter(pa.array(keep, pa.bool_()))
@@ -153,36 +166,47 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: doc, digest, nid of each row; links: member, rep, the nids of different texts that are SIMILARITY alike or more).
 
-    A ball is of use where it holds two different fingerprints, or is the one round a fingerprint that two texts have. Its
-    texts are dealt by their smallest shingle under each of SPLITS hash functions, which two alike texts share with a
-    probability of their similarity for each, and compared with the first text there. So balls of texts that share words but no
-    wording fall apart, and none is compared pair by pair.
+    Each distinct text emits the ball of radius one round each of its short fingerprints, once for each of its smallest shingles: two
+    alike texts share one of SPLITS smallest shingles, and a fingerprint within two bits, with a probability that does not fall with their length. A
+    variant that two texts have is a bucket; its members are compared with its first text. Those that are not like it are a bucket again, with a first text of its own, ROUNDS times in all.
     """
     spark = df.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(named(id_col).alias("doc"), exact_dedup.digest_of(text_col).alias("digest"), exact_dedup.normalised(text_col).cast("binary").alias("body"))
-    prints = materialize(rows.mapInArrow(_word_prints, f"doc {dict(rows.dtypes)['doc']}, digest binary, prints array<long>"), "word-prints")
-    nodes = materialize(prints.groupBy("digest").agg(F.first("prints").alias("prints")).withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
-    masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(BITS)])
-    every = nodes.select("nid", "prints").repartition(n, F.xxhash64("nid")).select("nid", F.posexplode("prints").alias("tab", "fp")).select("nid", "tab", "fp", F.explode(masks).alias("mask"))
-    every = every.select(F.xxhash64("tab", F.col("fp").bitwiseXOR(F.col("mask"))).alias("ball"), "nid", "fp", (F.col("mask") == 0).alias("centre"))
-    shared = every.groupBy("ball").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2"), F.min("nid").alias("n1"), F.max("nid").alias("n2"), F.bool_or("centre").alias("centre"))
-    shared = materialize(shared.where("f1 <> f2 or centre and n1 <> n2").select("ball"), "near-balls")
+    prints = materialize(rows.mapInArrow(_near_prints, f"doc {dict(rows.dtypes)['doc']}, digest binary, prints array<int>, least array<long>"), "near-prints")
+    nodes = prints.groupBy("digest").agg(F.first("prints").alias("prints"), F.first("least").alias("least")).withColumn("nid", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "near-nodes")
+    masks = F.array(F.lit(0), *[F.lit(1 << k) for k in range(SHORT)])
+    every = nodes.repartition(n, F.xxhash64("nid")).select("nid", "least", F.posexplode("prints").alias("tab", "fp")).select("nid", "tab", "fp", F.posexplode("least").alias("fn", "low"))
+    every = every.select("nid", "tab", "fp", "fn", "low", F.explode(masks).alias("mask")).select(F.xxhash64("tab", "fn", "low", F.col("fp").bitwiseXOR(F.col("mask"))).alias("bucket"), "nid")
+    shared = every.groupBy("bucket").agg(F.min("nid").alias("n1"), F.max("nid").alias("n2")).where("n1 <> n2").select("bucket")
+    shared = materialize(shared, "near-buckets")
     size = min(exact_dedup.filter_rows(shared.count()), exact_dedup.BROADCAST_ROWS)
-    few = exact_dedup.probe(every.select(F.col("ball").alias("digest"), "nid"), exact_dedup.build_filter(shared.withColumnRenamed("ball", "digest"), size), size)
-    met = materialize(few.withColumnRenamed("digest", "ball").join(shared.hint("merge"), "ball"), "near-members")
+    few = exact_dedup.probe(every.select(F.col("bucket").alias("digest"), "nid"), exact_dedup.build_filter(shared.withColumnRenamed("bucket", "digest"), size), size)
+    met = materialize(few.withColumnRenamed("digest", "bucket").join(shared.hint("merge"), "bucket"), "near-members")
     wanted = materialize(met.select("nid").distinct().join(nodes.select("nid", "digest"), "nid"), "near-wanted")
     size = min(exact_dedup.filter_rows(wanted.count()), exact_dedup.BROADCAST_ROWS)
     bodies = exact_dedup.probe(rows.select("digest", "body"), exact_dedup.build_filter(wanted, size), size)
     bodies = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(wanted.hint("merge"), "digest").select("nid", "body")
-    sets = materialize(bodies.mapInArrow(_with_sets, "nid long, shingles binary, least array<long>"), "near-sets")
-    dealt = met.join(sets.select("nid", "least"), "nid").select("ball", "nid", F.posexplode("least").alias("fn", "low")).select(F.xxhash64("ball", "fn", "low").alias("part"), "nid")
-    reps = dealt.groupBy("part").agg(F.min("nid").alias("rep"), F.max("nid").alias("last")).where("rep <> last").select("part", "rep")
-    pairs = materialize(dealt.join(reps, "part").where("nid <> rep").select(F.col("nid").alias("member"), "rep").distinct(), "near-pairs")
+    sets = materialize(bodies.mapInArrow(_with_sets, "nid long, shingles binary"), "near-sets")
     side = lambda of, name: sets.select(F.col("nid").alias(of), F.col("shingles").alias(name)).hint("merge")
-    both = pairs.join(side("member", "mine"), "member").join(side("rep", "theirs"), "rep").select("member", "rep", "mine", "theirs")
-    links = materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links")
+    links = tried = None
+    for _ in range(ROUNDS):
+        reps = met.groupBy("bucket").agg(F.min("nid").alias("rep"), F.max("nid").alias("last")).where("rep <> last").select("bucket", "rep")
+        placed = materialize(met.join(reps, "bucket").where("nid <> rep").select("bucket", F.col("nid").alias("member"), "rep"), "near-placed")
+        pairs = placed.select("member", "rep").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["member", "rep"], "left_anti")
+        pairs = materialize(pairs, "near-pairs")
+        if pairs.isEmpty():
+            break
+        both = pairs.join(side("member", "mine"), "member").join(side("rep", "theirs"), "rep").select("member", "rep", "mine", "theirs")
+        found = materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        met = placed.join(links, ["member", "rep"], "left_anti").select("bucket", F.col("member").alias("nid"))
+    links = spark.createDataFrame([], "member long, rep long") if links is None else links
     return prints.select("doc", "digest").join(nodes.select("digest", "nid"), "digest"), links
 
 

@@ -91,3 +91,58 @@ def test_near_copies_against_all_pairs(spark):
     assert set(roots.values()) <= left  # no document goes that is like no other
     gone, should = len(ids) - len(left), len(ids) - len(set(roots.values()))
     assert gone >= 0.9 * should, (gone, should)
+
+
+def test_near_recall_by_length_and_similarity(spark):
+    """Pairs, not family members: for each length and band of similarity the share of planted pairs whose two texts fall into one group."""
+    draw = random.Random(21)
+    word = lambda: f"{draw.choice('abcdefghij')}{min(20000, int(draw.paretovariate(0.4)))}"
+    lengths, bands = (20, 40, 80, 150, 300, 800, 2000), ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0))
+    texts, planted = [], {}
+    for length in lengths:
+        for band in bands:
+            made = 0
+            for _ in range(4000):
+                if made == 24:
+                    break
+                base = [word() for _ in range(length)]
+                copy = list(base)
+                for _ in range(draw.randint(1, max(1, length // 25))):
+                    at = draw.choice([0, len(copy) - 1, draw.randrange(len(copy)), draw.randrange(len(copy))])
+                    kind = draw.random()
+                    if kind < 0.6:
+                        copy[at] = word()
+                    elif kind < 0.8:
+                        del copy[at]
+                    else:
+                        copy.insert(at, word())
+                a, b = (shingle_words(" ".join(t)) for t in (base, copy))
+                if a != b and band[0] <= len(a & b) / len(a | b) < band[1]:
+                    planted[len(texts), len(texts) + 1] = length, band
+                    texts += [" ".join(base), " ".join(copy)]
+                    made += 1
+    rows, links = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    node = {r["doc"]: r["nid"] for r in rows.collect()}
+    root = components(set(node.values()), [(r["member"], r["rep"]) for r in links.collect()])
+    hit, total = {}, {}
+    for (a, b), (length, band) in planted.items():
+        for key in (length, band):
+            total[key] = total.get(key, 0) + 1
+            hit[key] = hit.get(key, 0) + (root[node[a]] == root[node[b]])
+    shares = {k: hit[k] / total[k] for k in total}
+    assert all(total[k] >= 20 for k in lengths) and all(s >= 0.9 for s in shares.values()), shares
+
+
+def test_a_member_unlike_the_first_meets_another(spark):
+    """Many texts with one common opening, in which each second text has an edited copy."""
+    draw = random.Random(4)
+    head = [f"licence{k}" for k in range(60)]
+    texts = []
+    for _ in range(120):
+        body = [f"w{draw.randrange(3000)}" for _ in range(60)]
+        texts += [head + body, head + body[:30] + ["changed"] + body[31:]]
+    rows, links = simhash.near_copies(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3))
+    node = {r["doc"]: r["nid"] for r in rows.collect()}
+    root = components(set(node.values()), [(r["member"], r["rep"]) for r in links.collect()])
+    joined = sum(root[node[k]] == root[node[k + 1]] for k in range(0, 240, 2))
+    assert joined >= 108 and len({root[node[k]] for k in range(0, 240, 2)}) == 120
