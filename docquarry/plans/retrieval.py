@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import STOPWORDS
 from docquarry.operators import retrieval as R
 from docquarry.plans.registry import query
+from docquarry.scratch import scratch_dir
+from docquarry.sources import postings
 
 #: Every row whose identifier this divides asks a question; all rows are searched.
 QUESTIONS = 20
@@ -74,6 +78,15 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_SPARSE}, {_SPARSE_RANK} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sr WHERE rank <= 30")
+def posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over a stored index of all tokens."""
+    path = f"{scratch_dir(spark)}/postings-{uuid.uuid4().hex}"
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    postings.save(R.postings(chunks), path)
+    return postings.search(spark, path, terms(spark, sf_dir)).rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 _FUSED = f"""{_DENSE}, dr AS (SELECT query_id, chunk_id, {_RANK.format('score')} AS rank FROM s), {_SPARSE}, {_SPARSE_RANK},
  f AS (SELECT coalesce(d.query_id, x.query_id) AS query_id, coalesce(d.chunk_id, x.chunk_id) AS chunk_id, d.rank AS dense_rank, x.rank AS sparse_rank,
    coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0) AS rrf_score

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from docquarry.functions.text import decode_with_fallback, display_label
+from docquarry.sources import postings, states
 
 ROOT_NAMES = ("__root__", "uploaded_files")
 DELIMITERS, SNIFF_CHARS = ",;\t|", 4096
@@ -88,28 +89,29 @@ def only_questions(questions: DataFrame, ids: Sequence[str] | None) -> DataFrame
     return left
 
 
-def save_state(df: DataFrame, path: str) -> None:
-    """Add df to the table at path as its newest state: manifests, chat states, sidecars. Spark commits it as a whole, so readers see the old state or the new one."""
-    last = read_or_empty(df.sparkSession, path, "seq long")[0].agg(F.max("seq")).first()[0] or 0
-    df.withColumn("seq", F.lit(last + 1).cast("long")).write.mode("append").parquet(path)
+def save_state(df: DataFrame, path: str, base: int | None = None) -> int:
+    """df as the newest state at path: manifests, chat states, sidecars. See states; base makes it a compare-and-swap."""
+    return states.save(df, path, base)
 
 
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest state at path, or an empty one."""
-    states, there = read_or_empty(spark, path, f"{schema}, seq long")
-    return states.where(F.col("seq") == (states.agg(F.max("seq")).first()[0] or 0)).drop("seq") if there else states.drop("seq")
+    return states.load(spark, path, schema)
 
 
 def save_sidecars(docs: DataFrame, path: str) -> None:
-    """Sections of texts (relative_path, text, sections) with the hash of the text that they were made for; texts without sections get none."""
-    save_state(docs.where(F.size("sections") > 0).select("relative_path", F.sha2("text", 256).alias("markdown_sha256"), "sections"), path)
+    """Sections of texts (relative_path, text, sections) with the hash of the text that they were made for. Sidecars of other texts stay; a text without sections loses its own."""
+    kind = dict(docs.dtypes)["sections"]
+    fresh = docs.where(F.size("sections") > 0).select("relative_path", F.sha2("text", 256).alias("markdown_sha256"), "sections")
+    others = lambda old: old.join(docs.select("relative_path").distinct(), "relative_path", "left_anti")
+    states.change(docs.sparkSession, path, f"relative_path string, markdown_sha256 string, sections {kind}", lambda old: others(old).unionByName(fresh))
 
 
 def save_run(results: DataFrame, lines: DataFrame, folder: str, run_id: str, latest: bool = False) -> None:
     """A run's results as JSON lines and its report (line_no, line) as text below its id, and below latest too where asked."""
     for name in [run_id, "latest"] if latest else [run_id]:
         results.write.mode("overwrite").json(f"{folder}/{name}/results")
-        lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/report")
+        lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(f"{folder}/{name}/report")  # parts in the order of their names
 
 
 def read_csv_sheet(spark: SparkSession, path: str, sheet: str = "CSV") -> DataFrame:
@@ -142,15 +144,15 @@ def fingerprint(files: DataFrame, settings: dict[str, object]) -> str:
 
 
 def save_index(chunks: DataFrame, index: DataFrame, folder: str, name: str) -> None:
-    """The tables of an index below its fingerprint; Spark commits each as a whole."""
+    """The tables of an index below its fingerprint, the postings in sorted blocks; Spark commits each as a whole."""
     chunks.write.mode("overwrite").parquet(f"{folder}/{name}/chunks")
-    index.write.mode("overwrite").parquet(f"{folder}/{name}/postings")
+    postings.save(index, f"{folder}/{name}/postings")
 
 
 def load_index(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame] | None:
     """The index of a fingerprint, or None where it is missing or not sound: repeated chunk ids, chunks without parent, weights that are negative or not finite."""
     try:
-        chunks, index = spark.read.parquet(f"{folder}/{name}/chunks"), spark.read.parquet(f"{folder}/{name}/postings")
+        chunks, index = spark.read.parquet(f"{folder}/{name}/chunks"), postings.load(spark, f"{folder}/{name}/postings")
         c = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("ids"), F.count_if(F.col("parent_id").isNull()).alias("orphans")).first()
         bad = index.where(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0) | (F.col("weight") == float("inf"))).limit(1).count()
     except AnalysisException:
