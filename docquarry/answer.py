@@ -7,7 +7,7 @@ selection, checks and the status come from the operators. Questions are answered
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docquarry.boundary import LanguageModel
 from docquarry.frontier import NO_ANSWER, Answers, Frontier
 from docquarry.operators import retrieval
+from docquarry.scratch import materialize
 
 __all__ = ["NO_ANSWER", "Answerer", "Answers", "Collection", "Run", "Settings", "load"]
 
@@ -98,6 +99,32 @@ class Answerer:
                    {r["evidence_id"]: r["status"] for r in got.focus.collect()}, got.trace)
 
 
+def load_collection(spark: SparkSession, root: str, names: Sequence[str], encoder, folder: str, sidecars: DataFrame | None = None, settings: Settings | None = None) -> Collection:
+    """The collection of the markdown files below names, scanned, cut and indexed below folder.
+
+    The index is found by the fingerprint of files, sidecars (relative_path, markdown_sha256, sections) and settings. Where it has to be made, only texts that the
+    store of vectors has not met are encoded, so another subset, or one changed file among many, costs what is new.
+    """
+    from docquarry.operators import building
+    from docquarry.sources import files, vectors
+
+    s, folder = settings or Settings(), folder.rstrip("/")
+    scanned = files.scan_collection(spark, root, names)
+    listed = files.inventory(scanned).select("relative_path", "sha256")
+    if sidecars is not None:
+        beside = sidecars.join(listed.select("relative_path"), "relative_path", "left_semi")
+        listed = listed.unionByName(beside.select(F.concat("relative_path", F.lit(".structure")).alias("relative_path"), F.sha2(F.to_json(F.struct("markdown_sha256", "sections")), 256).alias("sha256")))
+    name = files.fingerprint(listed, {"child": s.child_tokens, "parent": s.parent_tokens, "encoder": encoder.identity})
+    if files.load_index(spark, folder, name) is None:
+        docs = files.documents(scanned)
+        made = materialize(building.build_chunks(files.with_sidecars(docs, sidecars) if sidecars is not None else docs, s.parent_tokens, s.child_tokens), "collection-chunks")
+        if made.isEmpty():
+            raise ValueError("no text to index")
+        full = made.join(vectors.vectors_for(made, encoder, f"{folder}/vectors"), "chunk_id")
+        files.save_index(full, retrieval.postings(made), folder, name)
+    return load(spark, spark.createDataFrame([], "chunk_id string"), encoder, folder=folder, name=name)
+
+
 def load(spark: SparkSession, chunks: DataFrame, encoder, rows: DataFrame | None = None, folder: str | None = None, name: str | None = None) -> Collection:
     """Index chunks (chunk_id, document_id, parent_id, parent_text, text): vectors, postings and parents with their token counts.
 
@@ -119,6 +146,6 @@ def load(spark: SparkSession, chunks: DataFrame, encoder, rows: DataFrame | None
             found = files.load_index(spark, folder, name)
         full, postings = found
     else:
-        full, postings = (df.persist() for df in made())
-    parents = full.groupBy("parent_id").agg(F.min("parent_text").alias("text")).withColumn("cost", token_count(F.col("text"))).persist()
+        full, postings = (materialize(df, "index") for df in made())
+    parents = materialize(full.groupBy("parent_id").agg(F.min("parent_text").alias("text")).withColumn("cost", token_count(F.col("text"))), "parents")
     return Collection(full.drop("parent_text"), parents, postings, full.select("document_id").distinct(), rows)
