@@ -102,6 +102,20 @@ def _name(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def _split_hot(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dealt, sizes: k, grp, size) with no group much above GROUP_ROWS. Rows of one identifier, or without any, share a group; where they are too many
+    for it they are told apart by their place in a written table, and groups of their own stand in that group's place."""
+    sizes = dealt.groupBy("k", "grp").agg(F.count(F.lit(1)).alias("size"))
+    hot = sizes.where(F.col("size") > 2 * GROUP_ROWS)
+    if hot.isEmpty():
+        return dealt, sizes
+    kept = materialize(dealt.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
+    parts = materialize(hot.select("k", "grp", F.ceil(F.col("size") / GROUP_ROWS).alias("parts")), "mix-hot")
+    split = kept.join(parts, ["k", "grp"], "left").withColumn("sub", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("uid"), F.col("parts"))))
+    split = split.withColumn("grp", F.struct("grp", "sub")).drop("uid", "parts", "sub")
+    return split, split.groupBy("k", "grp").agg(F.count(F.lit(1)).alias("size"))
+
+
 def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
                 block_rows: int = BLOCK_ROWS, epoch: int = EPOCH, seed: int = 11) -> DataFrame:
     """Every row of df, as struct column row, with source, block, slot, turn, nth, place and on_target.
@@ -111,7 +125,8 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, i
     No row is dropped or repeated: when a source runs dry the slots that would be its own stay empty and the others keep
     their proportions; on_target is true for the slots up to where the first source ends, within which the targets hold to
     less than one block. turn counts the blocks before a block's slot, so it has no gaps. Repeated rows are mixed like
-    others; rows of one identifier stand together in their source, in no fixed order among themselves. The driver holds two numbers a
+    others; rows of one identifier stand together in their source (near one another, if
+    they are more than a group holds), in no fixed order among themselves. The driver holds two numbers a
     source. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -124,7 +139,7 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, i
     slots = _slots(spark, share, [-(-n // block_rows) for _, n in counts], max(epoch, 16 * len(counts)))
     plan = spark.createDataFrame([(src, k, -(-n // GROUP_ROWS)) for k, (src, n) in enumerate(counts)], "src string, k int, groups long")
     dealt = rows.join(F.broadcast(plan) if len(counts) <= FEW_SOURCES else plan, "src").withColumn("grp", F.pmod(F.shiftrightunsigned("toss", 7), F.col("groups")))
-    sizes = dealt.groupBy("k", "grp").agg(F.count(F.lit(1)).alias("size"))
+    dealt, sizes = _split_hot(dealt)
     before = sizes.select("k", "grp", (F.sum("size").over(Window.partitionBy("k").orderBy("grp")) - F.col("size")).alias("before"))
     number = F.row_number().over(Window.partitionBy("k", "grp").orderBy("toss", F.col(f"row.{quoted(id_col)}"))) - 1
     ranked = dealt.withColumn("rn", number).join(before, ["k", "grp"]).withColumn("nth", (F.col("before") + F.col("rn")).cast("long"))

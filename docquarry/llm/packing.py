@@ -285,7 +285,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     one. Every sequence is filled without gaps from offset 0. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    cut = materialize(pieces(df, vocabulary, id_col, text_col, length, turn_col), "pieces")
+    cut = materialize(pieces(df, vocabulary, id_col, text_col, length, turn_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     seen = cut.agg(F.sum("length").alias("tokens"), F.max("turn").alias("last")).first()
     parts = max(1, min(STRETCHES, (seen["tokens"] or 0) // (length * STRETCH_SEQUENCES))) if turn_col else 1
     cut = cut.withColumn("part", F.floor(F.col("turn") * parts / ((seen["last"] or 0) + 1)).cast("long"))
@@ -315,7 +315,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         dealt = cut.withColumn("grp", F.floor(F.col("turn") / TURN_ROWS))
     else:
         groups = spark.createDataFrame([(r["length"], -(-r["n"] // GROUP_ROWS)) for r in counts], "length long, groups long")
-        dealt = cut.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.col("groups")))
+        dealt = cut.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("uid"), F.col("groups")))  # rows that are alike in everything fall apart too
     keys = ["part", "length", "grp"]
     sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select(*keys, (F.sum("size").over(Window.partitionBy("part", "length").orderBy("grp")) - F.col("size")).alias("before"))

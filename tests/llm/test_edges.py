@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, substring_dedup, suffix_dedup, warc
+from docquarry.llm import embedding_dedup, exact_dedup, filter_audit, lexical, mixing, packing, pii, quality, sentencepieces, simhash, substring_dedup, suffix_dedup, warc
 
 LONG = " ".join(f"word{i % 7919}" for i in range(60_000))
 ROWS = [(1, "one two three four"), (1, "one two three four"), (2, "ONE two three FOUR"), (3, None), (4, ""), (5, " \n\t "), (6, LONG), (7, LONG), (None, "no identifier"), (8, "é" * 5000), (9, "spam " * 4000)]
@@ -112,3 +112,61 @@ def test_odd_pages(spark, tmp_path):
     folder = f"file:{tmp_path}/warc"
     got = sorted((r["page"] or 0, r["type"], r["payload_bytes"], r["refers_to"] or 0) for r in warc.read_archives(warc.write_archives(df, folder), folder).collect())
     assert got == [(0, "revisit", 1200, 2)] * 2 + [(1, "response", 0, 0)] * 3 + [(2, "response", 1200, 0)] * 2 + [(3, "response", 2, 0)]
+
+
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_no_group_holds_all_rows_of_an_identifier(spark, monkeypatch, ids):
+    """Many rows without an identifier, or under one, in op6 and op9."""
+    n = 3_000
+    doc = F.lit(None).cast("long") if ids == "null" else F.lit(7).cast("long")
+    df = spark.range(n).select(doc.alias("doc_id"), F.lit("s").alias("source"), F.lit("the same words").alias("text"))
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 100)
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    seen = []
+    keep = mixing._split_hot
+    monkeypatch.setattr(mixing, "_split_hot", lambda dealt: seen.append(keep(dealt)) or seen[-1])
+    got = mixing.mix_sources(df).select("slot", "place", "nth").collect()
+    assert sorted(r["nth"] for r in got) == list(range(n)) and len({(r["slot"], r["place"]) for r in got}) == n
+    sizes = [r["size"] for r in seen[0][1].collect()]
+    assert sum(sizes) == n and max(sizes) <= 200
+    packed = packing.pack(df, packing.default_vocabulary()).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == n
+    tables = []
+    write = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda d, label: tables.append(write(d, label)) or tables[-1])
+    packing.pack(df, packing.default_vocabulary())
+    groups = tables[0].groupBy("length", F.pmod(F.xxhash64("uid"), F.lit(n // 100))).count().collect()
+    assert max(r["count"] for r in groups) <= 200
+
+
+def test_search_of_odd_rows(odd):
+    index = lexical.build_index(odd)
+    assert index.documents == 8  # null, empty and blank texts have no term
+    items = odd.select(F.col("doc_id").alias("item_id"), "text", "doc", "score", "`a.b`").withColumnRenamed("score", "term")
+    got = [tuple(r) for r in lexical.search(index, items).collect()]
+    best = {item: doc for item, rank, doc, _ in got if rank == 1}
+    assert {k: v for k, v in best.items() if k in (6, 9, None)} == {6: 6, 9: 9, None: None} and best[1] == 1 and best[2] == 1 and not {3, 4, 5} & set(best)
+    assert [(r, d) for i, r, d, _ in sorted(got, key=lambda r: r[1]) if i == 2] == [(1, 1), (2, 1), (3, 2)]  # letter case apart they are equal; the smaller identifier first
+    dotted = odd.select(F.col("doc_id").alias("a.b"), "text")
+    assert lexical.search(lexical.build_index(dotted, "a.b"), dotted, id_col="a.b").count() == len(got)
+
+
+def test_audit_of_odd_rows(odd):
+    labels = odd.select("doc_id", F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    got = filter_audit.audit(filter_audit.flagged(odd, labels)).collect()
+    assert len(got) == 600 and {r["part"] for r in got} == {"en"}
+    first = next(r for r in got if r["filter_order"] == "EABCD" and r["step"] == 1)
+    assert (first["kept"], first["removed"], first["good_lost"], first["toxic_lost"]) == (9, 2, 2, 0)  # 4 repeats 3, 7 repeats 6; rows of one identifier do not count against each other
+    assert filter_audit.audit(filter_audit.flagged(odd.limit(0), labels)).collect() == [] and filter_audit.audit(filter_audit.flagged(odd, labels.limit(0))).count() == 600
+
+
+def test_pieces_of_odd_rows(odd):
+    model = sentencepieces.default_model()
+    got = {}
+    for r in sentencepieces.encode(odd, model, decoded=True).collect():
+        got.setdefault(r["doc"], []).append(r)
+    assert sum(map(len, got.values())) == len(ROWS) and all(r["decoded"] == (t or "") for d, t in ROWS for r in got[d])
+    assert got[3][0]["ids"] == got[4][0]["ids"] and len(got[3][0]["ids"]) == 8
+    assert sentencepieces.encode(odd.limit(0), model).collect() == []
+    dotted = odd.select(F.col("doc_id").alias("a.b"), "text")
+    assert sentencepieces.encode(dotted, model, "a.b").count() == len(ROWS)
