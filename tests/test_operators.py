@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import numbers, text, urls
-from docquarry.operators import chunking, context, evidence, ingest, retrieval, tables
+from docquarry.operators import chunking, context, evidence, ingest, retrieval, sessions, tables
 from docquarry.sources import files
 
 
@@ -207,3 +207,10 @@ def test_empty_tables(spark):
     assert chunking.children(chunking.parents(chunking.prose(none))).count() == 0
     assert retrieval.postings(none, "doc_id").count() == 0
     assert none.select(urls.normalize_url(F.col("text"))).count() == 0
+
+
+def test_follow_ups(spark):
+    yes = ["e quais?", "mas quais sao", "ok", "e mas", "beleza mas os nomes", "certo as planilhas", "quais", "qual delas?", "os nomes", "entendi, os pdfs"]
+    no = ["", "as planilhas", "quais arquivos", "e a outra", "mas mas mas", "ok quais sao elas", "nomes", "os pdfs"]
+    df = spark.createDataFrame([(t,) for t in yes + no], "t string").select("t", sessions.is_follow_up(F.col("t")).alias("f"))
+    assert sorted(r["t"] for r in df.collect() if r["f"]) == sorted(yes)
