@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load_all() -> None:
-    from docquarry.plans import claims, evaluation, ingestion, outcomes, passages, retrieval, sheets, stored, tables, texts  # noqa: F401
+    from docquarry.plans import claims, evaluation, ingestion, outcomes, passages, retrieval, runs, sheets, stored, tables, texts  # noqa: F401
