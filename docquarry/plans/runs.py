@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docquarry import importing
 from docquarry.answer import Answerer, Collection, Settings
 from docquarry.boundary import RuleModel
+from docquarry.operators import building
 from docquarry.operators import retrieval as R
 from docquarry.operators.chunking import token_count
 from docquarry.plans.passages import docs
@@ -97,3 +98,26 @@ def sidecar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.save_sidecars(rows.where("third < 2").withColumn("sections", F.when(F.col("third") == 0, F.array(F.lit("again"), F.col("source"))).otherwise(F.array().cast("array<string>"))), path)
     kept = files.load_state(spark, path, "relative_path string, markdown_sha256 string, sections array<string>")
     return kept.select(F.regexp_extract("relative_path", "^([0-9]+)", 1).cast("long").alias("doc_id"), "markdown_sha256", "sections")
+
+
+_ROW = "'Spreadsheet file f | Sheet S | Row 2: Key=' || md5(text) || ' | Lang=' || lang"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, 0 AS sec, CASE WHEN doc_id % 3 = 0 THEN 'Head' ELSE 'Part' END AS title, replace(text, '#', '+') AS body FROM documents WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, 1, '', lang FROM documents WHERE doc_id % 3 = 1),
+ p AS (SELECT doc_id, sec, title, regexp_extract_all(regexp_replace(body, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[^\s\p{{Z}}]+[\s\p{{Z}}]*') AS t FROM s),
+ c AS (SELECT doc_id, sec, title, t, len(t) AS n, unnest(range(0, len(t), 120)) AS parent_start FROM p),
+ d AS (SELECT *, least(parent_start + 120, n) AS stop, unnest(range(parent_start, least(parent_start + 120, n), 50)) AS child_start FROM c),
+ e AS (SELECT *, least(child_start + 50, stop) AS child_stop FROM d),
+ x AS (SELECT doc_id, sec, title, 'section_detail' AS chunk_kind, parent_start, child_start, CASE WHEN title = '' THEN '' ELSE title || chr(10) END || regexp_replace(array_to_string(t[child_start + 1:child_stop], ''), '[\s\p{{Z}}]+$', '') AS text FROM e
+   UNION ALL SELECT doc_id, 0, '', 'summary', 0, 0, 'Document type: Spreadsheet' FROM documents WHERE doc_id % 3 = 2 UNION ALL SELECT doc_id, 1, 'S', 'row_record', 0, 0, 'S' || chr(10) || {_ROW} FROM documents WHERE doc_id % 3 = 2)
+ SELECT doc_id, title, chunk_kind, (row_number() OVER (PARTITION BY doc_id ORDER BY sec, parent_start, child_start) - 1)::INT AS chunk_order, parent_start::INT AS parent_start, child_start::INT AS child_start, md5(text) AS text_md5 FROM x""")
+def mixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the one builder: a third under a heading, a third with a sidecar, a third as records of a spreadsheet."""
+    third, body = F.col("doc_id") % 3, F.replace(F.col("text"), F.lit("#"), F.lit("+"))
+    lines = F.concat_ws("\n", F.lit("x"), F.lit("Document type: Spreadsheet"), F.lit("## Sheet: S"), F.lit("Row records:"), F.concat(F.lit("- Spreadsheet file f | Sheet S | Row 2: Key="), F.md5("text"), F.lit(" | Lang="), "lang"))
+    section = lambda title, text: F.struct(F.lit(title).alias("title"), text.alias("text"), F.lit(None).cast("string").alias("provenance"))
+    rows = docs(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("relative_path"), F.col("source").alias("source"), F.lit(0).alias("collection_order"),
+                                      F.when(third == 0, F.concat(F.lit("# Head\n"), body)).when(third == 1, body).otherwise(lines).alias("text"),
+                                      F.when(third == 1, F.array(section("Part", body), section("", F.col("lang")))).alias("sections"))
+    made = building.build_chunks(rows, 120, 50)
+    return made.select(F.regexp_extract("relative_path", "^([0-9]+)", 1).cast("long").alias("doc_id"), "title", "chunk_kind", F.col("chunk_order").cast("int").alias("chunk_order"), "parent_start", "child_start", F.md5("text").alias("text_md5"))
