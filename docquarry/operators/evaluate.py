@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,20 @@ def evidence_key(document: Column, kind: Column, order: Column, text: Column) ->
     return F.concat_ws("|", normalize_identifier(document), normalize_identifier(kind), F.coalesce(order.cast("string"), F.lit("")), F.substring(normalize_identifier(text), 1, 500))
 
 
+def merge_hits(*groups: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """The hits of several groups as one list, each once: of equal ones that of the first group that has it, and of these the first.
+
+    Groups have key, order, candidate_id, document_name, chunk_kind, excerpt and columns of their own, which are alike. Hits are equal whose candidate, document, kind
+    and first 500 normalized characters are. Tasks keep one of each before any travels.
+    """
+    columns = groups[0].columns
+    every = functools.reduce(DataFrame.unionByName, (g.withColumn("__group", F.lit(k)) for k, g in enumerate(groups)))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    same = [F.col(key), named("candidate_id").alias("__c"), named("document_name").alias("__d"), named("chunk_kind").alias("__k"), F.substring(normalize_identifier(F.col("excerpt")), 1, 500).alias("__e")]
+    first = every.select("__group", *columns, *same[1:]).groupBy(key, "__c", "__d", "__k", "__e").agg(F.min_by(F.struct(*columns), F.struct("__group", order)).alias("__row"))
+    return first.select("__row.*")
+
+
 def failure_class(hits: Column, explicit_scope: Column, scope_excludes: Column, retrieved_relevant: Column, in_pool: Column, in_context: Column, evidence_has_answer: Column, answer_has_expected: Column, abstained: Column) -> Column:
     """The first rule that holds, in order of the path of an answer: data, document, retrieval, selection, generation."""
     return (

@@ -210,3 +210,13 @@ def pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("  "), "text", F.lit(" "))).otherwise("another question")
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", R.query_list(F.col("text"), original, F.array("role", "role")).alias("queries"))
+
+
+@query(f"""WITH g AS (SELECT 0 AS grp, * FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT 1, * FROM documents WHERE n_chars % 2 = 0 UNION ALL SELECT 2, * FROM documents),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, doc_id % 50, substr({_NORM.format('text')}, 1, 500) ORDER BY grp, doc_id) AS nth FROM g)
+ SELECT lang AS id, doc_id AS ord, doc_id % 50 AS candidate_id, source AS document_name, ['explicit', 'implicit', 'listed'][grp + 1] AS level FROM r WHERE nth = 1""")
+def merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three overlapping groups of hits as one list, copies of a text under one candidate once."""
+    rows = docs(spark, sf_dir).select(F.col("lang").alias("id"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 50).alias("candidate_id"), F.col("source").alias("document_name"), F.lit("section").alias("chunk_kind"), F.col("text").alias("excerpt"), "n_chars")
+    groups = [rows.where(rule).withColumn("level", F.lit(name)) for name, rule in (("explicit", "n_chars % 3 = 0"), ("implicit", "n_chars % 2 = 0"), ("listed", "true"))]
+    return E.merge_hits(*groups).select("id", "ord", "candidate_id", "document_name", "level")
