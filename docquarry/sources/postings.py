@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import retrieval
+from docquarry.scratch import materialize
 
 #: Buckets of tokens, postings in a block, tokens that are pushed into the scan, and what rounding may take from a score.
 BUCKETS, BLOCK, PUSHED, SLACK = 64, 512, 1_000, 1e-6
@@ -83,7 +84,8 @@ def wanted(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int = retrieval.SEARCH_K, item: str = "chunk_id", digits: int = 9) -> Found:
     """questions: query_id, token, weight (question_terms)."""
-    asked = retrieval.small(questions.select("query_id", "token", F.col("weight").alias("q_weight")))
+    questions = materialize(questions.select("query_id", "token", "weight"), "asked-terms")
+    asked = retrieval.small(questions.withColumnRenamed("weight", "q_weight"))
     met = wanted(spark, path, questions).where("top > 0").join(asked, "token")
     peaks = met.groupBy("query_id", "token").agg(F.max("top").alias("peak"), F.max("q_weight").alias("w"))
     total = peaks.groupBy("query_id").agg(F.sum(F.col("peak") * F.col("w")).alias("total"))
