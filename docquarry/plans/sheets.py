@@ -159,3 +159,23 @@ def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, kind = F.regexp_replace("text", r"[^\x{00}-\x{FF}]", ""), F.col("doc_id") % 3
     content = F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(kind == 1, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
     return docs(spark, sf_dir).select("doc_id", F.md5(T.decode_with_fallback(content)).alias("text_md5"))
+
+
+_LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
+_VALUES = "v AS (SELECT 'part' AS kind, p_partkey AS key, p_name AS value FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'page', page_id, url FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)"
+_COLLAPSED = r"trim(regexp_replace(value, '[\s\p{Z}]+', ' ', 'g'))"
+
+
+@query(rf"""WITH {_VALUES}, n AS (SELECT kind, key, {_COLLAPSED} AS t, {_NORM.format('value')} AS name FROM v), w AS (SELECT *, len(regexp_extract_all(t, '[A-Za-zÀ-ÿ]+')) AS words FROM n)
+ SELECT kind, key, length(t) >= 5 AND NOT regexp_matches(t, '\p{{Nd}}') AND regexp_matches(t, '\p{{Ll}}') AND name <> '' AND name NOT IN ({_LISTED(T.PERSON_BLOCKED)}) AND words >= 2
+   AND NOT ({" OR ".join(f"starts_with(name, '{p}')" for p in T.PERSON_PREFIXES)}) AS person,
+  name <> '' AND name NOT IN ({_LISTED(T.ROLE_BLOCKED)}) AND NOT regexp_matches(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND words BETWEEN 1 AND 12 AS role FROM w""")
+def people_in_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names, addresses and texts of five tables pass for a person's name, and which for a role; none of them is a number."""
+    columns = (("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"), ("pages", "page_id", "url"), ("documents", "doc_id", "text"))
+    every = None
+    for table, key, value in columns:
+        kind = {"pages": "page", "documents": "document"}.get(table, table)
+        one = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), F.col(value).alias("value"))
+        every = one if every is None else every.unionByName(one)
+    return every.select("kind", "key", T.is_person_name(F.col("value")).alias("person"), T.is_role(F.col("value")).alias("role"))
