@@ -88,6 +88,14 @@ def features(text: Column) -> Column:
     return F.struct(normalize_identifier(text).alias("plain"), numbers_in(text).alias("numbers"), percentages_in(text).alias("percents"), currencies_in(text).alias("amounts"), dates_in(text).alias("dates"), search_tokens(text).alias("words"))
 
 
+def judged_by(text: Column) -> Column:
+    """features() of a text without its words, which only variants need. A text without a digit has no figures."""
+    none = F.expr("cast(array() as array<string>)")
+    some = text.rlike(r"\p{Nd}")
+    figures = {"numbers": numbers_in, "percents": percentages_in, "amounts": currencies_in, "dates": dates_in}
+    return F.struct(normalize_identifier(text).alias("plain"), *(F.when(some, of(text)).otherwise(none).alias(name) for name, of in figures.items()))
+
+
 def telling_words(variant: Column) -> Column:
     """The words of a variant (features()) that any text that supports it contains: those that are neither figures nor units, where it has figures."""
     valued = (F.size(variant["numbers"]) > 0) | (F.size(variant["percents"]) > 0) | (F.size(variant["amounts"]) > 0) | (F.size(variant["dates"]) > 0)

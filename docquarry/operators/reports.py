@@ -16,6 +16,8 @@ FAILURES = ("no_failure", "benchmark_data_mismatch", "document_resolution_failur
 CONTEXT_CHARS, QUESTION_CHARS, ANSWER_CHARS, CONTEXTS = 6000, 1000, 500, 5
 #: Characters of a gram, by which containment is looked up.
 GRAM = 3
+#: Questions whose variants are held against a text in one row.
+TOGETHER = 500
 
 
 def expected_variants(questions: DataFrame) -> DataFrame:
@@ -44,6 +46,23 @@ def gram_candidates(entries: DataFrame, needles: DataFrame) -> DataFrame:
     return held.join(small(rarest.where("r.n > 0").select("needle", F.col("r.gram").alias("gram"))), "gram").select("entry", "needle")
 
 
+def word_candidates(entries: DataFrame, needles: DataFrame) -> DataFrame:
+    """entry, needle: pairs in which a word of the entry contains the needle's rarest word. An entry whose text contains all of a needle's words is among them.
+
+    entries and needles as in gram_candidates(), which is asked of the different words of all entries alone: which of them contain a word of a needle. Entries
+    then meet needles by whole words, and nothing else of an entry travels.
+    """
+    asked = needles.select("needle", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) >= GRAM))).alias("part"))
+    held = entries.select("entry", F.explode_outer(F.array_distinct("words")).alias("word"))
+    counted = materialize(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    inside = gram_candidates(counted.select(F.col("word").alias("entry"), F.array("word").alias("words")), asked.select(F.col("part").alias("needle"), F.array("part").alias("words")).distinct())
+    inside = materialize(inside.where(F.contains("entry", "needle")).distinct().toDF("word", "part"), "word-parts")
+    totals = inside.join(counted, "word").groupBy("part").agg(F.sum("n").alias("n"))
+    rarest = asked.join(totals, "part", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r"))
+    wanted = inside.join(rarest.where("r.n > 0").select("needle", F.col("r.part").alias("part")), "part").select("word", "needle")
+    return held.join(small(wanted), "word").select("entry", "needle")
+
+
 def _without_grams(needles: DataFrame) -> DataFrame:
     return needles.where(~F.exists("words", lambda w: F.length(w) >= GRAM))
 
@@ -99,22 +118,25 @@ def corpus_hits(questions: DataFrame, variants: DataFrame, corpus: DataFrame) ->
     free = asked.where(~bound).select(F.struct("id", "v.plain").alias("needle"), "id", "v")
     telling = E.telling_words(F.col("v"))
     free = materialize(free.withColumn("words", F.when(F.exists(telling, lambda w: F.length(w) >= GRAM), telling).otherwise(F.split("v.plain", " "))).withColumn("told", F.exists(telling, lambda w: F.length(w) >= GRAM)), "asked-free")
-    entries = materialize(seen.select(F.col("candidate_id").alias("entry"), F.array_distinct(F.split(normalize_identifier(F.col("text")), " ")).alias("words")), "entry-words")
-    pairs = gram_candidates(entries, free.select("needle", "words"))
+    judged = materialize(seen.select("candidate_id", "document_name", E.judged_by(F.col("text")).alias("t")), "judged")  # each text is read once, not once a question
+    entries = judged.select(F.col("candidate_id").alias("entry"), F.split("t.plain", " ").alias("words"))
+    pairs = word_candidates(entries, free.select("needle", "words"))
     figures = free.where(~F.col("told")).select("needle", _value_key(F.col("v")).alias("key")).where("key IS NOT NULL")
     if not figures.isEmpty():
-        values = seen.select(F.col("candidate_id").alias("entry"), E.features(F.col("text")).alias("t")).select("entry", F.explode(_value_keys(F.col("t"))).alias("key"))
+        values = judged.select(F.col("candidate_id").alias("entry"), F.explode(_value_keys(F.col("t"))).alias("key"))
         pairs = pairs.unionByName(values.join(small(figures), "key").select("entry", "needle"))
     short = _without_grams(free.select("needle", "words")).select("needle")
     if not short.isEmpty():
         pairs = pairs.unionByName(seen.select(F.col("candidate_id").alias("entry")).crossJoin(small(short)))
-    proposed = materialize(pairs.distinct().withColumnRenamed("entry", "candidate_id").join(free.select("needle", "id", "v"), "needle").drop("needle"), "proposed")
-    flag = lambda df, c, name: df.select(c).distinct().withColumn(name, F.lit(True))
-    met = seen.join(flag(proposed, "candidate_id", "a"), "candidate_id", "left").join(small(flag(named, "document_name", "b")), "document_name", "left").where("a OR b")
-    judged = materialize(met.select("candidate_id", "document_name", E.features(F.col("text")).alias("t")), "judged")  # each text is read once, not once a question
-    every = judged.join(proposed, "candidate_id").unionByName(judged.join(named, "document_name"))
-    levels = every.select("id", "candidate_id", "document_name", E.support_of(F.col("t"), F.col("v")).alias("level"))
-    return levels.where("level <> 'not_found'").groupBy("id", "candidate_id", "document_name").agg(F.min("level").alias("level"))
+    proposed = pairs.distinct().withColumnRenamed("entry", "candidate_id").join(small(free.select("needle", "id", "v")), "needle")
+    parts = questions.count() // TOGETHER + 1
+    listed = lambda df, c: df.groupBy(c, F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("needles")).drop("part")
+    # a text goes once to the variants of many questions, not once to each
+    every = judged.join(listed(proposed, "candidate_id"), "candidate_id").unionByName(judged.join(small(listed(named, "document_name")), "document_name"))
+    found = F.transform("needles", lambda n: F.struct(n["id"].alias("id"), E.support_of(F.col("t"), n["v"]).alias("level")))
+    # outer: for a plain explode Spark infers filters that work the list out again
+    levels = every.select("candidate_id", "document_name", F.explode_outer(F.filter(found, lambda x: x["level"] != "not_found")).alias("h")).where("h is not null")
+    return levels.groupBy("h.id", "candidate_id", "document_name").agg(F.min("h.level").alias("level"))
 
 
 def grounding(evidence_level: Column, answer_has_expected: Column) -> Column:
@@ -185,6 +207,7 @@ def report_lines(results: DataFrame) -> DataFrame:
     """line_no, line: counters, then one table row per question. One row a question; written out with df.write.text."""
     from docquarry.operators.ingest import _nth
 
+    results = materialize(results, "report")  # counters, numbers and body read the rows, none works them out again
     total = E.run_counters(results).select(F.explode(F.array(F.lit("# Evaluation"), F.concat(F.lit("Questions: "), "questions"), F.concat(F.lit("Passed: "), "passed"), F.concat(F.lit("Abstained: "), "abstained", F.lit(" ("), "abstained_percent", F.lit("%)")), F.lit("| id | failure | grounding | confidence |"))).alias("line"))
     head = total.select((F.monotonically_increasing_id() - 1_000).alias("line_no"), "line")
     row = F.concat(F.lit("| "), table_cell(F.col("id")), F.lit(" | "), "failure", F.lit(" | "), "grounding", F.lit(" | "), F.format_string("%.2f", "confidence"), F.lit(" |"))

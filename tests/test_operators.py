@@ -214,3 +214,21 @@ def test_follow_ups(spark):
     no = ["", "as planilhas", "quais arquivos", "e a outra", "mas mas mas", "ok quais sao elas", "nomes", "os pdfs"]
     df = spark.createDataFrame([(t,) for t in yes + no], "t string").select("t", sessions.is_follow_up(F.col("t")).alias("f"))
     assert sorted(r["t"] for r in df.collect() if r["f"]) == sorted(yes)
+
+
+def test_entries_meet_needles_by_whole_words(spark):
+    from docquarry.operators import reports as R
+
+    entries = spark.createDataFrame([(1, ["premium", "plan"]), (2, ["plans", "mium"]), (3, ["other"]), (4, [""])], "entry int, words array<string>")
+    needles = spark.createDataFrame([("a", ["mium", "plan"]), ("b", ["absent", "plan"]), ("c", ["the", "other"]), ("d", ["mi"])], "needle string, words array<string>")
+    got = {(r["entry"], r["needle"]) for r in R.word_candidates(entries, needles).collect()}
+    assert {(1, "a"), (2, "a")} <= got <= {(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, "c")}
+
+
+def test_report_reads_results_once(spark):
+    from docquarry.operators import reports as R
+
+    rows = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("no_failure").alias("failure"), F.lit("grounded").alias("grounding"), F.lit(0.5).alias("confidence"), F.lit(False).alias("abstained"), F.lit(1.0).alias("context_hit_rate"))
+    got = R.report_lines(rows)
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 8
