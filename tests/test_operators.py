@@ -232,3 +232,11 @@ def test_report_reads_results_once(spark):
     got = R.report_lines(rows)
     assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 8
+
+
+def test_inventory_answers_are_written_by_all_tasks(spark):
+    asked = spark.createDataFrame([(k, 1, "files") for k in range(40)], "conv_id int, turn int, resolved string")
+    files_ = spark.createDataFrame([(f"n{k}", "pdf") for k in range(30)], "name string, kind string")
+    got = sessions.inventory_answer(asked, files_)
+    spread = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in spread) == 1200
