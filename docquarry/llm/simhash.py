@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm import exact_dedup
@@ -25,7 +25,7 @@ from docquarry.llm.common import connected_components, materialize, named, small
 
 SEED, WIDTH, BITS = 42, 3, 64
 #: Words of a shingle, similarity of near copies, short fingerprints over single words that propose them and their bits, smallest shingles that they are hashed with, and
-#: first texts that a bucket's members meet in turn.
+#: rounds in which a bucket's members meet its first text, before all that is left meets.
 SHINGLE, SIMILARITY, TABLES, SHORT, SPLITS, ROUNDS = 5, 0.8, 2, 16, 3, 3
 
 
@@ -163,12 +163,56 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
+def _unsettled(met: DataFrame, links: DataFrame | None) -> DataFrame:
+    """bucket, nid, label (component by links) of the buckets whose members are not of one component yet."""
+    rows = met.select("bucket", "nid")
+    if links is None:
+        labelled = rows.withColumn("label", F.col("nid"))
+    else:
+        labelled = rows.join(connected_components(links, "member", "rep").withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("label"))
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return materialize(labelled.join(apart, "bucket"), "near-open")
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = np.fromiter((len(x.as_py()) // 8 for x in b["shingles"]), np.int64, len(b))
+        flat = np.frombuffer(b"".join(x.as_py() for x in b["shingles"]), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["nid"].to_numpy(), sizes)), pa.array(flat), pa.array(np.repeat(sizes, sizes))], ["nid", "bucket", "size"])
+
+
+def _rarest(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, nid: the texts of met by their rarest shingles, as many as two that are SIMILARITY alike must share one of: all but ceil(SIMILARITY * n), and one more.
+
+    No pair of alike texts is lost. Shingles that one text alone has come first and need no rows; a text of which they fill all places is like no other.
+    """
+    every = materialize(sets.join(met.select("nid").distinct(), "nid").select("nid", "shingles").mapInArrow(_exploded, "nid long, bucket long, size long"), "near-shingles")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = every.join(shared, "bucket")
+    of = Window.partitionBy("nid")
+    alone = F.col("size") - F.count(F.lit(1)).over(of)
+    # a little more than the bound, for rounding in doubles
+    places = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1
+    return held.select("bucket", "nid", (F.row_number().over(of.orderBy("n", "bucket")) + alone).alias("nth"), places.alias("places")).where("nth <= places").select("bucket", "nid")
+
+
+def _across(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """member, rep: all pairs of a bucket's members of different components whose sizes allow SIMILARITY. What is outside a bucket's largest component meets the
+    whole bucket, so no pairs within the largest are ever made."""
+    sized = met.join(sets.select("nid", F.octet_length("shingles").alias("size")), "nid")
+    largest = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    others = sized.join(largest, "bucket").where("label <> largest").select("bucket", F.col("nid").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
+    near = others.join(sized, "bucket").where((F.col("la") != F.col("label")) & (F.least("sa", "size") >= F.lit(SIMILARITY) * F.greatest("sa", "size")))
+    return near.select(F.greatest("a", "nid").alias("member"), F.least("a", "nid").alias("rep")).distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: doc, digest, nid of each row; links: member, rep, the nids of different texts that are SIMILARITY alike or more).
 
     Each distinct text emits the ball of radius one round each of its short fingerprints, once for each of its smallest shingles: two
     alike texts share one of SPLITS smallest shingles, and a fingerprint within two bits, with a probability that does not fall with their length. A
-    variant that two texts have is a bucket; its members are compared with its first text. Those that are not like it are a bucket again, with a first text of its own, ROUNDS times in all.
+    variant that two texts have is a bucket, whose members are compared with its first text unless links join them already. After ROUNDS the texts of buckets that are not
+    joined yet meet by their rarest shingles, in the same way, and then in all pairs that no link joins yet: every pair of a bucket is joined by links or unlike.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -191,21 +235,33 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bodies = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(wanted.hint("merge"), "digest").select("nid", "body")
     sets = materialize(bodies.mapInArrow(_with_sets, "nid long, shingles binary"), "near-sets")
     side = lambda of, name: sets.select(F.col("nid").alias(of), F.col("shingles").alias(name)).hint("merge")
-    links = tried = None
-    for _ in range(ROUNDS):
-        reps = met.groupBy("bucket").agg(F.min("nid").alias("rep"), F.max("nid").alias("last")).where("rep <> last").select("bucket", "rep")
-        placed = materialize(met.join(reps, "bucket").where("nid <> rep").select("bucket", F.col("nid").alias("member"), "rep"), "near-placed")
-        pairs = placed.select("member", "rep").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["member", "rep"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
+    links, tried = None, None
+
+    def verified(pairs: DataFrame) -> None:
+        nonlocal links, tried
         both = pairs.join(side("member", "mine"), "member").join(side("rep", "theirs"), "rep").select("member", "rep", "mine", "theirs")
         found = materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        met = placed.join(links, ["member", "rep"], "left_anti").select("bucket", F.col("member").alias("nid"))
+
+    fresh = lambda pairs: pairs if tried is None else pairs.join(tried, ["member", "rep"], "left_anti")
+    def first_texts(met: DataFrame) -> DataFrame:
+        """What is unsettled of met after ROUNDS in which members meet two of their buckets' first texts a round."""
+        for _ in range(ROUNDS):
+            met = _unsettled(met, links)
+            reps = met.groupBy("bucket").agg(F.min(F.struct("nid", "label")).alias("r"))
+            placed = fresh(met.join(reps, "bucket").where("label <> r.label").select(F.col("nid").alias("member"), F.col("r.nid").alias("rep")))
+            pairs = placed.groupBy("member").agg(F.array_distinct(F.array(F.min("rep"), F.max("rep"))).alias("reps")).select("member", F.explode("reps").alias("rep"))
+            pairs = materialize(pairs, "near-pairs")
+            if pairs.isEmpty():
+                break
+            verified(pairs)
+        return _unsettled(met, links)
+
+    left = first_texts(first_texts(met).transform(_rarest, sets))
+    pairs = materialize(fresh(_across(left, sets)), "near-rest")
+    if not pairs.isEmpty():
+        verified(pairs)
     links = spark.createDataFrame([], "member long, rep long") if links is None else links
     return prints.select("doc", "digest").join(nodes.select("digest", "nid"), "digest"), links
 

@@ -146,3 +146,21 @@ def test_a_member_unlike_the_first_meets_another(spark):
     root = components(set(node.values()), [(r["member"], r["rep"]) for r in links.collect()])
     joined = sum(root[node[k]] == root[node[k + 1]] for k in range(0, 240, 2))
     assert joined >= 108 and len({root[node[k]] for k in range(0, 240, 2)}) == 120
+
+
+def test_near_texts_of_one_base_lose_no_link(spark):
+    """Two edits put most pairs of a family below the similarity: first texts of buckets are unlike many, and what is alike among these must be found too."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for d in range(80):
+        words = list(base)
+        for k in rng.sample(range(120), 2):
+            words[k] = f"e{d}x{k}"
+        texts[d] = " ".join(words)
+    shingled = {d: shingle_words(t) for d, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and alike(shingled[a], shingled[b])]
+    roots = components(list(texts), pairs)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    left = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    assert left == set(roots.values())
