@@ -12,6 +12,7 @@ texts of common words apart. Pairs that collide in a ball are verified by the ex
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,13 +164,23 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-def _unsettled(met: DataFrame, links: DataFrame | None) -> DataFrame:
+def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels (nid, label: the smallest nid of its component) after more links (member, rep). Only the components that these links touch are worked out, as
+    nodes of their own, so a round costs what it finds and not all links again."""
+    if labels is None:
+        return materialize(connected_components(found, "member", "rep").select(F.col("node").alias("nid"), F.col("component").alias("label")), "near-labels")
+    of = lambda c: labels.select(F.col("nid").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = found.join(of("member"), "member", "left").join(of("rep"), "rep", "left")
+    moved = connected_components(ends.select(F.coalesce("member_label", "member").alias("a"), F.coalesce("rep_label", "rep").alias("b")), "a", "b")
+    # a label is the smallest nid of its component and has a row of its own, so what labels lack is a text that was alone
+    both = labels.join(moved.withColumnRenamed("node", "label"), "label", "full_outer").select(F.coalesce("nid", "label").alias("nid"), F.coalesce("component", "label").alias("label"))
+    return materialize(both, "near-labels")
+
+
+def _unsettled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     """bucket, nid, label (component by links) of the buckets whose members are not of one component yet."""
     rows = met.select("bucket", "nid")
-    if links is None:
-        labelled = rows.withColumn("label", F.col("nid"))
-    else:
-        labelled = rows.join(connected_components(links, "member", "rep").withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("label"))
+    labelled = rows.withColumn("label", F.col("nid")) if labels is None else rows.join(labels, "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label"))
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     return materialize(labelled.join(apart, "bucket"), "near-open")
 
@@ -214,6 +225,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     variant that two texts have is a bucket, whose members are compared with its first text unless links join them already. After ROUNDS the texts of buckets that are not
     joined yet meet by their rarest shingles, in the same way, and then in all pairs that no link joins yet: every pair of a bucket is joined by links or unlike.
     """
+    rows, links, _ = _near(df, id_col, text_col)
+    return rows, links
+
+
+def _near(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """near_copies() and labels (nid, label: the smallest nid that links reach) of the nids that have a link."""
     spark = df.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -235,20 +252,22 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bodies = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(wanted.hint("merge"), "digest").select("nid", "body")
     sets = materialize(bodies.mapInArrow(_with_sets, "nid long, shingles binary"), "near-sets")
     side = lambda of, name: sets.select(F.col("nid").alias(of), F.col("shingles").alias(name)).hint("merge")
-    links, tried = None, None
+    links, tried, labels = [], [], None
+    told = lambda tables: functools.reduce(DataFrame.unionByName, tables)
 
     def verified(pairs: DataFrame) -> None:
-        nonlocal links, tried
+        nonlocal labels
         both = pairs.join(side("member", "mine"), "member").join(side("rep", "theirs"), "rep").select("member", "rep", "mine", "theirs")
-        found = materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        links.append(materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links"))
+        tried.append(pairs)
+        labels = _relabelled(labels, links[-1])
+
+    fresh = lambda pairs: pairs.join(told(tried), ["member", "rep"], "left_anti") if tried else pairs
 
-    fresh = lambda pairs: pairs if tried is None else pairs.join(tried, ["member", "rep"], "left_anti")
     def first_texts(met: DataFrame) -> DataFrame:
         """What is unsettled of met after ROUNDS in which members meet two of their buckets' first texts a round."""
+        met = _unsettled(met, labels)
         for _ in range(ROUNDS):
-            met = _unsettled(met, links)
             reps = met.groupBy("bucket").agg(F.min(F.struct("nid", "label")).alias("r"))
             placed = fresh(met.join(reps, "bucket").where("label <> r.label").select(F.col("nid").alias("member"), F.col("r.nid").alias("rep")))
             pairs = placed.groupBy("member").agg(F.array_distinct(F.array(F.min("rep"), F.max("rep"))).alias("reps")).select("member", F.explode("reps").alias("rep"))
@@ -256,14 +275,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             if pairs.isEmpty():
                 break
             verified(pairs)
-        return _unsettled(met, links)
+            met = _unsettled(met, labels)
+        return met
 
     left = first_texts(first_texts(met).transform(_rarest, sets))
     pairs = materialize(fresh(_across(left, sets)), "near-rest")
     if not pairs.isEmpty():
         verified(pairs)
-    links = spark.createDataFrame([], "member long, rep long") if links is None else links
-    return prints.select("doc", "digest").join(nodes.select("digest", "nid"), "digest"), links
+    none = lambda columns: spark.createDataFrame([], columns)
+    return prints.select("doc", "digest").join(nodes.select("digest", "nid"), "digest"), told(links or [none("member long, rep long")]), none("nid long, label long") if labels is None else labels
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,9 +293,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an identifier stays only if its whole group has none. Equal texts are one group; letter case A-Z makes no difference. Texts of fewer words than a
     shingle are alike if all their words are. An empty table gives an empty result.
     """
-    rows, links = near_copies(df, id_col, text_col)
-    groups = connected_components(links, "member", "rep").withColumnRenamed("node", "nid")
-    grouped = materialize(rows.join(groups, "nid", "left").select("doc", "digest", F.coalesce("component", "nid").alias("root")), "near-groups")
+    rows, _, labels = _near(df, id_col, text_col)
+    grouped = materialize(rows.join(labels, "nid", "left").select("doc", "digest", F.coalesce("label", "nid").alias("root")), "near-groups")
     first = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc").isNull(), "doc", "digest")).alias("one")).where("n > 1")
     decided = grouped.select("digest", "root").distinct().join(first, "root").select("digest", F.col("one.doc").alias("keep_id"), F.col("one.digest").alias("keep_digest"))
     return exact_dedup.keep_decided(df, id_col, text_col, materialize(decided, "near-decided"))

@@ -164,3 +164,32 @@ def test_near_texts_of_one_base_lose_no_link(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     left = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
     assert left == set(roots.values())
+
+
+def test_near_rounds_hold_labels(spark):
+    """Components are carried from round to round: labels are those of all links, and a run plans fewer jobs than if each round began anew."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for d in range(60):
+        words = list(base)
+        for k in rng.sample(range(120), 2):
+            words[k] = f"e{d}x{k}"
+        texts.append(" ".join(words))
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = runs()
+    rows, links, labels = simhash._near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "doc_id", "text")
+    assert runs() - before < 66
+    node = {r["doc"]: r["nid"] for r in rows.collect()}
+    root = components(set(node.values()), [(r["member"], r["rep"]) for r in links.collect()])
+    label = {r["nid"]: r["label"] for r in labels.collect()}
+    assert len(label) and {n: label.get(n, n) for n in root} == root
+
+
+def test_labels_after_more_links(spark):
+    made = lambda pairs: spark.createDataFrame(pairs, "member long, rep long")
+    first, second, third = [(2, 1), (5, 4), (5, 3)], [(7, 6), (4, 2), (9, 7)], [(9, 1), (11, 10)]
+    labels = None
+    for found in (first, second, [], third):
+        labels = simhash._relabelled(labels, made(found))
+    assert {r["nid"]: r["label"] for r in labels.collect()} == {**{n: 1 for n in (1, 2, 3, 4, 5, 6, 7, 9)}, 10: 10, 11: 10} and labels.count() == 10
