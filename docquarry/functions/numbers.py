@@ -70,26 +70,34 @@ def _evidence_digits(digits: Column) -> Column:
     return F.when(comma & dot, _both(digits)).when(comma, by_comma).when(dot, by_dot).otherwise(digits)
 
 
+def _signs_and_digits(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9,.\-]", "")
+
+
+def _signed(bare: Column) -> Column:
+    sign = F.when(F.startswith(bare, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, let(F.regexp_replace(bare, "^-+", ""), _evidence_digits))
+
+
 def evidence_text(text: Column) -> Column:
     """The digits of a number in prose, with a dot as decimal mark."""
+    return let(_signs_and_digits(text), _signed)
 
-    def read(bare: Column) -> Column:
-        sign = F.when(F.startswith(bare, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        return F.concat(sign, let(F.regexp_replace(bare, "^-+", ""), _evidence_digits))
 
-    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9,.\-]", ""), read)
+def evidence_number(text: Column) -> Column:
+    """A number in prose as plain text without trailing zeros, or null. Digits alone, which most are, need no marks read and no decimals cut."""
 
+    def read(bare: Column) -> Column:
+        found = _signed(bare).try_cast("decimal(38,12)").cast("string")
+        plain = F.regexp_replace(F.regexp_replace(found, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        return F.when(bare.rlike("^[0-9]{1,18}$"), bare.cast("long").cast("string")).otherwise(let(plain, lambda p: F.when(p.isin("-0", ""), F.lit("0")).otherwise(p)))
 
-def evidence_number(text: Column) -> Column:
-    """A number in prose as plain text without trailing zeros, or null."""
-    found = evidence_text(text).try_cast("decimal(38,12)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(found, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return let(plain, lambda p: F.when(p.isin("-0", ""), F.lit("0")).otherwise(p))
+    return let(_signs_and_digits(text), read)
 
 
 def _values(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, evidence_number), lambda v: v.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(found, evidence_number), lambda v: v.isNotNull())))
 
 
 def numbers_in(text: Column) -> Column:
@@ -120,7 +128,7 @@ def dates_in(text: Column) -> Column:
         return F.concat_ws("-", part(x, leading, 1), F.lpad(part(x, leading, 2), 2, "0"), F.lpad(part(x, leading, 3), 2, "0"))
 
     both = F.concat(F.transform(F.regexp_extract_all(clean, F.lit(first), 0), day_first), F.transform(F.regexp_extract_all(clean, F.lit(leading), 0), year_first))
-    return F.array_sort(F.array_distinct(both))
+    return F.sort_array(F.array_distinct(both))
 
 
 def format_number(value: Column) -> Column:

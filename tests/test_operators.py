@@ -240,3 +240,16 @@ def test_inventory_answers_are_written_by_all_tasks(spark):
     got = sessions.inventory_answer(asked, files_)
     spread = got.groupBy(F.spark_partition_id()).count().collect()
     assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in spread) == 1200
+
+
+def test_values_in_text_writes_its_text_once(spark, small):
+    from docquarry.plans import sheets
+
+    plan = sheets.values_in_text(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == 1
+
+
+def test_evidence_numbers_of_digits_alone(spark):
+    told = ["0", "00", "007", "12", "1234", "999999999999999999", "1000000000000000000", "12%", "1,5", "-3", "--4", "", "x", None, "12345678901234567890123456789"]
+    got = [r["v"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(told)], "k int, t string").select("k", numbers.evidence_number(F.col("t")).alias("v")).orderBy("k").collect()]
+    assert got == ["0", "0", "7", "12", "1234", "999999999999999999", "1000000000000000000", "12", "1.5", "-3", "-4", None, None, None, None]
