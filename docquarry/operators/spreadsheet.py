@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import is_person_name, is_role, normalize_identifier, normalize_whitespace, stable_id
+from docquarry.functions.text import collapse, is_person_name, is_role, normalize_identifier, stable_id
 
 _SECTIONS = {"Column profiles:": "column_profile", "People index:": "people_index", "Row records:": "row_record"}
 _PAIR = "struct<header:string,value:string>"
@@ -17,7 +17,10 @@ def parse_lines(df: DataFrame, id_col: str = "document_id", text_col: str = "tex
     kind: summary, sheet_summary, column_profile, people_index or row_record. The first line and the marker lines are left
     out. The state of a line is the last marker before it, one window per document.
     """
-    lines = df.select(F.col(id_col).alias("document"), F.posexplode(F.split(normalize_whitespace(F.col(text_col)), "\n")).alias("line_no", "line")).where("line_no > 0 and line <> ''")
+    raw = df.select(F.col(id_col).alias("document"), F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")), "\n")).alias("at", "raw"))
+    # each line is cleaned as a row: a text of very many lines is not held again and again as an array
+    full = raw.select("document", "at", collapse(F.col("raw")).alias("line")).where("line <> ''")
+    lines = full.withColumn("line_no", F.row_number().over(Window.partitionBy("document").orderBy("at")) - 1).where("line_no > 0").select("document", "line_no", "line")
     by = Window.partitionBy("document").orderBy("line_no")
     is_sheet = F.startswith("line", F.lit("## Sheet: "))
     marker = F.when(is_sheet, F.lit("sheet_summary"))

@@ -61,8 +61,10 @@ def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = rows.select("sheet").distinct().select("sheet", F.lit(1).alias("ord"), F.lit("Name: sample values=Ana").alias("line"))
     who = rows.where("name <> 'Total'").select("sheet", "row_number", "name", F.when(F.col("row_number") % 2 == 0, F.col("role")).alias("role"))
     lines = spreadsheet.render_document(rows.select("sheet", "row_number", "pairs"), profiles, who, "f.xlsx")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ord", "line"))), lambda x: x["line"]), "\n")
-    return spreadsheet.parse_lines(lines.groupBy("sheet").agg(F.concat(F.lit("# f.xlsx\n"), text).alias("text")).select(F.col("sheet").alias("document_id"), "text"))
+    joined = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n")
+    # pieces of a thousand places are joined wherever they are; the task of a sheet meets these and not its lines
+    pieces = lines.groupBy("sheet", "part", F.floor(F.col("ord") / 1000).alias("piece")).agg(joined("ord").alias("line"))
+    return spreadsheet.parse_lines(pieces.groupBy("sheet").agg(F.concat(F.lit("# f.xlsx\n"), joined("part", "piece")).alias("text")).select(F.col("sheet").alias("document_id"), "text"))
 
 
 @query(f"""WITH {_ROWS} SELECT sheet, unnest(['sheet_summary', 'column_profile', 'people_index', 'row_record']) AS kind, unnest([3, 1, count(*) FILTER (name <> 'Total'), count(*)]) AS n FROM c GROUP BY sheet""")

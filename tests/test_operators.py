@@ -253,3 +253,13 @@ def test_evidence_numbers_of_digits_alone(spark):
     told = ["0", "00", "007", "12", "1234", "999999999999999999", "1000000000000000000", "12%", "1,5", "-3", "--4", "", "x", None, "12345678901234567890123456789"]
     got = [r["v"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(told)], "k int, t string").select("k", numbers.evidence_number(F.col("t")).alias("v")).orderBy("k").collect()]
     assert got == ["0", "0", "7", "12", "1234", "999999999999999999", "1000000000000000000", "12", "1.5", "-3", "-4", None, None, None, None]
+
+
+def test_spreadsheet_lines_are_cleaned_as_rows(spark):
+    from docquarry.operators import spreadsheet
+
+    told = "# f.xlsx\r\n\r\n  Document type:   Spreadsheet \n \t \n## Sheet: A\r\nSheet name: A\nRow records:\n-  Spreadsheet file f | Sheet A | Row 2: K=1\n"
+    lines = spreadsheet.parse_lines(spark.createDataFrame([("d", told), ("e", " \n\n"), ("f", None)], "document_id string, text string"))
+    assert "array_join" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in lines.orderBy("document", "line_no").collect()]
+    assert got == [("d", 1, None, "summary", "Document type: Spreadsheet"), ("d", 3, "A", "sheet_summary", "Sheet name: A"), ("d", 5, "A", "row_record", "Spreadsheet file f | Sheet A | Row 2: K=1")]
