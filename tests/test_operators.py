@@ -263,3 +263,10 @@ def test_spreadsheet_lines_are_cleaned_as_rows(spark):
     assert "array_join" not in lines._jdf.queryExecution().optimizedPlan().toString()
     got = [tuple(r) for r in lines.orderBy("document", "line_no").collect()]
     assert got == [("d", 1, None, "summary", "Document type: Spreadsheet"), ("d", 3, "A", "sheet_summary", "Sheet name: A"), ("d", 5, "A", "row_record", "Spreadsheet file f | Sheet A | Row 2: K=1")]
+
+
+def test_dense_search_gives_workers_small_batches(spark):
+    vectors = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "chunk_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    found = retrieval.dense_top_k(vectors, vectors.where("chunk_id < 2").withColumnRenamed("chunk_id", "query_id"), 2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{4 << 20}b" and found.count() == 4
