@@ -58,6 +58,7 @@ def save(postings: DataFrame, path: str, item: str = "chunk_id") -> None:
     kind = dict(postings.dtypes)[item]
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = postings.select(_bucket(F.col("token")).alias("bucket"), "token", F.col("weight").cast("double").alias("weight"), item)
+    rows = materialize(rows, "posting-rows")  # the ranges are found in a pass of their own, which would make all postings again
     order = ["bucket", "token", F.desc("weight"), item]
     made = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks(item), f"bucket int, token string, top double, items array<{kind}>, weights array<double>")
     made.withColumn("size", F.size("items")).write.mode("overwrite").partitionBy("bucket").parquet(path)

@@ -52,3 +52,20 @@ def test_no_postings(spark, tmp_path):
     assert postings.search(spark, path, none).rows.count() == 0
     assert postings.search(spark, path, spark.createDataFrame([(1, "b", 1.0)], "query_id int, token string, weight double")).rows.count() == 0
     assert postings.load(spark, path).select(F.sum("weight")).first()[0] == 1.0
+
+
+def test_saving_makes_each_posting_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docquarry.sources import postings
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def weight(k):
+        made.add(1)
+        return float(k)
+
+    rows = spark.range(500).select(F.concat(F.lit("t"), F.col("id") % 7).alias("token"), F.col("id").alias("chunk_id"), weight("id").alias("weight"))
+    postings.save(rows, str(tmp_path / "index"))
+    assert made.value == 500 and postings.load(spark, str(tmp_path / "index")).count() == 500
