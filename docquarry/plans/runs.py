@@ -16,7 +16,7 @@ from docquarry.operators.chunking import token_count
 from docquarry.plans.passages import docs
 from docquarry.plans.registry import query
 from docquarry.plans.retrieval import _RANK, _SPARSE_RANK, QUESTIONS, tokens_sql, vectors
-from docquarry.scratch import scratch_dir
+from docquarry.scratch import materialize, scratch_dir
 from docquarry.sources import files
 
 _WIDTH = 64
@@ -59,10 +59,11 @@ def question_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth item as a question to all documents with a vector, in one frontier: search, admission, claims, verdicts, one repair."""
     texts = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
     chunks = vectors(spark, sf_dir).drop("label").join(texts, "chunk_id").select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("chunk_id").cast("string").alias("parent_id"), F.col("chunk_id").cast("string").alias("document_id"), "text", "embedding")
+    chunks = materialize(chunks, "run-chunks")  # joined once; passages, postings and every search read them
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     terms = R.question_terms(asked.select(F.col("question_id").alias("query_id"), F.col("question").alias("query")))
-    parents = chunks.select("parent_id", "text", token_count(F.col("text")).alias("cost"))
-    collection = Collection(chunks, parents, R.postings(chunks, tokens=terms), chunks.select("document_id"))
+    parents = materialize(chunks.select("parent_id", "text", token_count(F.col("text")).alias("cost")), "run-parents")
+    collection = Collection(chunks, parents, materialize(R.postings(chunks, tokens=terms), "run-postings"), chunks.select("document_id"))
     scorer = lambda q, t: F.round(R.token_overlap(q, t), 9)
     done = Answerer(spark, collection, RuleModel(_every_second), _first_axis, scorer, Settings(context_tokens=1 << 30)).ask_all(asked)
     said = done.claims.where("accepted").select("question_id", "claim_id", F.explode("evidence_ids").alias("evidence_id"))
