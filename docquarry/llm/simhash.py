@@ -13,12 +13,12 @@ texts of common words apart. Pairs that collide in a ball are verified by the ex
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm import exact_dedup
@@ -26,8 +26,10 @@ from docquarry.llm.common import connected_components, materialize, named, small
 
 SEED, WIDTH, BITS = 42, 3, 64
 #: Words of a shingle, similarity of near copies, short fingerprints over single words that propose them and their bits, smallest shingles that they are hashed with, and
-#: rounds in which a bucket's members meet its first text, before all that is left meets.
+#: rounds in which members of a bucket of rarest shingles meet one of its texts, before all that is left meets.
 SHINGLE, SIMILARITY, TABLES, SHORT, SPLITS, ROUNDS = 5, 0.8, 2, 16, 3, 3
+#: Bits of a sketch that tells pairs apart before their shingles are compared.
+SKETCH = 512
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -178,9 +180,9 @@ def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """bucket, nid, label (component by links) of the buckets whose members are not of one component yet."""
-    rows = met.select("bucket", "nid")
-    labelled = rows.withColumn("label", F.col("nid")) if labels is None else rows.join(labels, "nid", "left").select("bucket", "nid", F.coalesce("label", "nid").alias("label"))
+    """met with label (component by links) of the buckets whose members are not of one component yet."""
+    rows = met.drop("label")
+    labelled = rows.withColumn("label", F.col("nid")) if labels is None else rows.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     return materialize(labelled.join(apart, "bucket"), "near-open")
 
@@ -189,32 +191,66 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes = np.fromiter((len(x.as_py()) // 8 for x in b["shingles"]), np.int64, len(b))
         flat = np.frombuffer(b"".join(x.as_py() for x in b["shingles"]), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["nid"].to_numpy(), sizes)), pa.array(flat), pa.array(np.repeat(sizes, sizes))], ["nid", "bucket", "size"])
+        told = [np.repeat(c, sizes) for c in (b["nid"].to_numpy(), b["label"].to_numpy(), sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*told, flat)], ["nid", "label", "size", "bucket"])
+
+
+def _needed(size, other):
+    """Shingles that texts of these sizes must share to be SIMILARITY alike; a little less than the bound, for rounding in doubles."""
+    return F.ceil((size + other) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
 
 
 def _rarest(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """bucket, nid: the texts of met by their rarest shingles, as many as two that are SIMILARITY alike must share one of: all but ceil(SIMILARITY * n), and one more.
+    """bucket, nid, label, nth, size: the texts of met by their rarest shingles, as many as two that are SIMILARITY alike must share one of: all but ceil(SIMILARITY * n), and one more.
 
-    No pair of alike texts is lost. Shingles that one text alone has come first and need no rows; a text of which they fill all places is like no other.
+    No alike texts of different components are lost. Shingles that one component alone has come first and need no rows; a text of which they fill all places is like
+    none of another component.
     """
-    every = materialize(sets.join(met.select("nid").distinct(), "nid").select("nid", "shingles").mapInArrow(_exploded, "nid long, bucket long, size long"), "near-shingles")
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = sets.join(met.select("nid", "label").distinct(), "nid").select("nid", "label", "shingles")
+    every = materialize(held.mapInArrow(_exploded, "nid long, label long, size long, bucket long"), "near-shingles")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "n")
     held = every.join(shared, "bucket")
     of = Window.partitionBy("nid")
     alone = F.col("size") - F.count(F.lit(1)).over(of)
     # a little more than the bound, for rounding in doubles
     places = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1
-    return held.select("bucket", "nid", (F.row_number().over(of.orderBy("n", "bucket")) + alone).alias("nth"), places.alias("places")).where("nth <= places").select("bucket", "nid")
+    nth = (F.row_number().over(of.orderBy("n", "bucket")) + alone).alias("nth")
+    return held.select("bucket", "nid", "label", nth, "size", places.alias("places")).where("nth <= places").drop("places")
+
+
+def _may_meet(nth, size, other_nth, other_size):
+    """Whether texts of these sizes that are alike may first meet in shingles at these places: each has room for what both must share from there on."""
+    need = _needed(size, other_size)
+    return (nth <= size - need + 1) & (other_nth <= other_size - need + 1)
+
+
+def _by_hub(met: DataFrame, turn: int) -> DataFrame:
+    """member, rep: the texts of each bucket of rarest shingles with one of them, where they may be alike. The bucket's shingle stands first in the text that has the
+    fewest rarer ones, which is the one that the others were made from or nearest to it; later turns take others."""
+    first = F.struct(F.when(F.lit(turn == 0), F.col("nth")).otherwise(F.xxhash64("nid", F.lit(turn))).alias("turn"), "nid", "label", "nth", "size")
+    reps = met.groupBy("bucket").agg(F.min(first).alias("r"))
+    near = met.join(reps, "bucket").where((F.col("label") != F.col("r.label")) & _may_meet(F.col("nth"), F.col("size"), F.col("r.nth"), F.col("r.size")))
+    return near.select(F.greatest("nid", "r.nid").alias("member"), F.least("nid", "r.nid").alias("rep")).distinct()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SKETCH bits of each text: whether an odd number of its shingles falls on the bit. What two texts share cancels out, so they differ in as many shingles as in bits, or more."""
+    for b in batches:
+        odd = [np.bincount((_mixed(np.frombuffer(x.as_py(), np.uint64)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2 for x in b["shingles"]]
+        yield pa.RecordBatch.from_arrays([b["nid"], pa.array([np.packbits(o.astype(bool)).view(np.int64) for o in odd], pa.list_(pa.int64()))], ["nid", "sketch"])
 
 
 def _across(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """member, rep: all pairs of a bucket's members of different components whose sizes allow SIMILARITY. What is outside a bucket's largest component meets the
-    whole bucket, so no pairs within the largest are ever made."""
-    sized = met.join(sets.select("nid", F.octet_length("shingles").alias("size")), "nid")
+    """member, rep: all pairs of members of different components that may be alike, by their places in a bucket and by their sketches. What is outside a bucket's
+    largest component meets the whole bucket, so no pairs within the largest are ever made."""
+    sketches = sets.join(met.select("nid").distinct(), "nid").select("nid", "shingles").mapInArrow(_sketches, "nid long, sketch array<long>")
+    met = materialize(met.join(sketches, "nid"), "near-sketched")
     largest = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    others = sized.join(largest, "bucket").where("label <> largest").select("bucket", F.col("nid").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
-    near = others.join(sized, "bucket").where((F.col("la") != F.col("label")) & (F.least("sa", "size") >= F.lit(SIMILARITY) * F.greatest("sa", "size")))
-    return near.select(F.greatest("a", "nid").alias("member"), F.least("a", "nid").alias("rep")).distinct()
+    others = met.join(largest, "bucket").where("label <> largest").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("nid", "label", "nth", "size", "sketch")])
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_a")[k])) for k in range(SKETCH // 64)])
+    near = _may_meet(F.col("nth_a"), F.col("size_a"), F.col("nth"), F.col("size")) & (apart <= F.col("size_a") + F.col("size") - 2 * _needed(F.col("size_a"), F.col("size")))
+    pairs = others.join(met, "bucket").where((F.col("label_a") != F.col("label")) & near)
+    return pairs.select(F.greatest("nid_a", "nid").alias("member"), F.least("nid_a", "nid").alias("rep")).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -222,8 +258,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Each distinct text emits the ball of radius one round each of its short fingerprints, once for each of its smallest shingles: two
     alike texts share one of SPLITS smallest shingles, and a fingerprint within two bits, with a probability that does not fall with their length. A
-    variant that two texts have is a bucket, whose members are compared with its first text unless links join them already. After ROUNDS the texts of buckets that are not
-    joined yet meet by their rarest shingles, in the same way, and then in all pairs that no link joins yet: every pair of a bucket is joined by links or unlike.
+    variant that two texts have is a bucket, whose members are compared with first texts. Then the texts of buckets that are not
+    joined yet meet by their rarest shingles: with the text of each bucket that is nearest to the others, and then in all pairs that no link joins yet and
+    whose places and sketches allow it: every pair of a bucket is joined by links or unlike.
     """
     rows, links, _ = _near(df, id_col, text_col)
     return rows, links
@@ -255,33 +292,37 @@ def _near(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFra
     links, tried, labels = [], [], None
     told = lambda tables: functools.reduce(DataFrame.unionByName, tables)
 
-    def verified(pairs: DataFrame) -> None:
+    def verified(pairs: DataFrame) -> bool:
+        """Whether any of pairs, which are different from those before, are alike."""
         nonlocal labels
         both = pairs.join(side("member", "mine"), "member").join(side("rep", "theirs"), "rep").select("member", "rep", "mine", "theirs")
-        links.append(materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links"))
+        found = materialize(both.mapInArrow(_alike, "member long, rep long"), "near-links")
         tried.append(pairs)
-        labels = _relabelled(labels, links[-1])
+        if found.isEmpty():
+            return False
+        links.append(found)
+        labels = _relabelled(labels, found)
+        return True
 
     fresh = lambda pairs: pairs.join(told(tried), ["member", "rep"], "left_anti") if tried else pairs
 
-    def first_texts(met: DataFrame) -> DataFrame:
-        """What is unsettled of met after ROUNDS in which members meet two of their buckets' first texts a round."""
+    def by_first(met: DataFrame, turn: int) -> DataFrame:
+        """Each member with two of its buckets' first texts."""
+        reps = met.groupBy("bucket").agg(F.min(F.struct("nid", "label")).alias("r"))
+        placed = met.join(reps, "bucket").where("label <> r.label").select(F.col("nid").alias("member"), F.col("r.nid").alias("rep"))
+        return placed.groupBy("member").agg(F.array_distinct(F.array(F.min("rep"), F.max("rep"))).alias("reps")).select("member", F.explode("reps").alias("rep"))
+
+    def rounds(met: DataFrame, proposed: Callable[[DataFrame, int], DataFrame], most: int) -> DataFrame:
+        """What is unsettled of met after so many rounds at most, or once one finds no link."""
         met = _unsettled(met, labels)
-        for _ in range(ROUNDS):
-            reps = met.groupBy("bucket").agg(F.min(F.struct("nid", "label")).alias("r"))
-            placed = fresh(met.join(reps, "bucket").where("label <> r.label").select(F.col("nid").alias("member"), F.col("r.nid").alias("rep")))
-            pairs = placed.groupBy("member").agg(F.array_distinct(F.array(F.min("rep"), F.max("rep"))).alias("reps")).select("member", F.explode("reps").alias("rep"))
-            pairs = materialize(pairs, "near-pairs")
-            if pairs.isEmpty():
+        for turn in range(most):
+            if not verified(materialize(fresh(proposed(met, turn)), "near-pairs")):
                 break
-            verified(pairs)
             met = _unsettled(met, labels)
         return met
 
-    left = first_texts(first_texts(met).transform(_rarest, sets))
-    pairs = materialize(fresh(_across(left, sets)), "near-rest")
-    if not pairs.isEmpty():
-        verified(pairs)
+    left = rounds(rounds(met, by_first, 1).transform(_rarest, sets), _by_hub, ROUNDS)
+    verified(materialize(fresh(_across(left, sets)), "near-rest"))
     none = lambda columns: spark.createDataFrame([], columns)
     return prints.select("doc", "digest").join(nodes.select("digest", "nid"), "digest"), told(links or [none("member long, rep long")]), none("nid long, label long") if labels is None else labels
 

@@ -193,3 +193,27 @@ def test_labels_after_more_links(spark):
     for found in (first, second, [], third):
         labels = simhash._relabelled(labels, made(found))
     assert {r["nid"]: r["label"] for r in labels.collect()} == {**{n: 1 for n in (1, 2, 3, 4, 5, 6, 7, 9)}, 10: 10, 11: 10} and labels.count() == 10
+
+
+def test_near_pairs_of_a_family_grow_with_its_size(spark, monkeypatch):
+    """Texts of one base, three or four edits from it and so unlike one another, some with an edited copy: no link is lost, and what is compared goes with the texts and not with their square."""
+    rng = random.Random(9)
+    edits = lambda words, d, n: [f"e{d}x{k}" if k in places else w for places in [set(rng.sample(range(150), n))] for k, w in enumerate(words)]
+    base = [f"w{k}" for k in range(150)]
+    data = []
+    for d in range(0, 320, 2):
+        one = edits(base, d, rng.choice([3, 4]))
+        data += [(d, " ".join(one)), (d + 1, " ".join(edits(one, d + 1, 1 if d % 8 == 0 else 4)))]
+    shingled = {d: shingle_words(t) for d, t in data}
+    roots = components(list(shingled), [(a, b) for a in shingled for b in shingled if a < b and alike(shingled[a], shingled[b])])
+    counts, written = {}, simhash.materialize
+
+    def counted(df, label, *more):
+        out = written(df, label, *more)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    left = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert left == set(roots.values()) and 10 < len(data) - len(left)
+    assert sum(counts["near-pairs"] + counts["near-rest"]) < 8 * len(data), counts
