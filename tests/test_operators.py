@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +243,21 @@ def test_inventory_answers_are_written_by_all_tasks(spark):
     assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in spread) == 1200
 
 
+def test_inventory_answers_take_little_disk(spark, tmp_path):
+    asked = spark.range(400).select("id", F.lit(1).alias("turn"), F.lit("pdfs").alias("resolved")).withColumnRenamed("id", "conv_id")
+    files_ = spark.range(9000).select(F.sha2(F.col("id").cast("string"), 512).alias("name"), F.lit("pdf").alias("kind"))
+    sessions.inventory_answer(asked, files_).write.parquet(str(tmp_path / "answers"))
+    assert spark.read.parquet(str(tmp_path / "answers")).groupBy("conv_id").agg(F.countDistinct("name").alias("n")).where("n = 9000").count() == 400
+    assert sum(p.stat().st_size for p in (tmp_path / "answers").glob("*.parquet")) < 2 * 400 * 9000
+
+
+def test_inventory_answers_keep_equal_rows(spark):
+    asked = spark.createDataFrame([(1, 1, "pdfs"), (1, 1, "pdfs"), (2, None, "files"), (3, 1, "images"), (4, 1, None)], "conv_id int, turn int, resolved string")
+    files_ = spark.createDataFrame([("a", "pdf"), ("a", "pdf"), (None, "pdf"), ("b", None)], "name string, kind string")
+    got = Counter(tuple(r) for r in sessions.inventory_answer(asked, files_).collect())
+    assert got == {(1, 1, "pdfs", 3, "a"): 4, (1, 1, "pdfs", 3, None): 2, (2, None, "files", 4, "a"): 2, (2, None, "files", 4, None): 1, (2, None, "files", 4, "b"): 1, (3, 1, "images", 0, None): 1}
+
+
 def test_values_in_text_writes_its_text_once(spark, small):
     from docquarry.plans import sheets
 
