@@ -605,6 +605,48 @@ def test_recall_by_bands_of_similarity(spark):
     assert all(kin[a] == kin[b] for a, b in links)  # nothing else is linked
 
 
+def test_passages_round_a_common_line_meet_without_a_representative(spark):
+    """Pairs share 50 words of which 44 are a line that others have too: no representative of the line has the pair's passage."""
+    draw = random.Random(12)
+    word = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = {}, []
+    for _ in range(60):
+        line = word(44)
+        for _ in range(6):
+            passage = [*word(3), *line, *word(3)]
+            pairs.append((len(texts), len(texts) + 1))
+            for _ in range(2):
+                texts[len(texts)] = [*word(20), *passage, *word(20)]
+    got = substring_dedup.near_passages(frame(spark, [(d, " ".join(t)) for d, t in texts.items()])).collect()
+    assert {tuple(sorted((r["doc"], r["other"]))) for r in got} == set(pairs)
+    assert all(similarity(texts[r["doc"]][r["start"] : r["stop"]], texts[r["other"]][r["other_start"] : r["other_stop"]]) >= 0.8 for r in got)
+
+
+def test_prefixes_of_alike_stretches_meet():
+    draw = np.random.default_rng(4)
+    counts, far, met = draw.integers(0, 9, 1 << 16), substring_dedup._AROUND, 0
+    for letters in (10**9, 30):
+        for _ in range(400):
+            one = draw.integers(0, letters, 60)
+            two = one.copy()
+            two[draw.choice(60, draw.integers(0, 4), replace=False)] = draw.integers(0, letters, 1)
+            x, y = (substring_dedup.shingles(" ".join(f"v{v}" for v in w).encode()) for w in (one, two))
+            k = int(draw.choice(np.flatnonzero(x == y))) if (x == y).any() else None
+            alike = [j for j in range(11) if k is not None and j <= k < j + 46 and substring_dedup._alike(x[j : j + 46], y[j : j + 46]) >= 0.8]
+            if not alike:
+                continue
+            found = []
+            for s in (x, y):
+                place = k + np.arange(-far, far + 1)[None]
+                near, there = s[np.clip(place, 0, len(s) - 1)], (place >= 0) & (place < len(s))
+                chosen, n, shared = substring_dedup.prefixes(near, there, counts)
+                assert n[0] == len(set(near[there].tolist()))
+                found.append((set(near[chosen].tolist()), shared[0], set(near[there].tolist())))
+            met += 1
+            assert found[0][0] & found[1][0] and len(found[0][2] & found[1][2]) >= max(found[0][1], found[1][1])
+    assert met > 200
+
+
 def test_edited_passages_against_brute_force():
     draw = np.random.default_rng(5)
     word = lambda n: [f"w{v}" for v in draw.integers(0, 10**9, n)]
